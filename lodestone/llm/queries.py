@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.ann import nearest_neighbours
+from lodestone.llm.decontam import mark_contamination
+from lodestone.llm.langid import predict_languages, train_languages
 from lodestone.llm.linededup import drop_repeated_lines
 from lodestone.llm.minhash import near_duplicate_classes
+from lodestone.llm.ngramlm import language_model_scores
+from lodestone.llm.packing import pack_sequences
+from lodestone.llm.quality import score_quality, train_quality
 from lodestone.llm.substring import remove_repeated_substrings
+from lodestone.llm.toxicity import score_toxicity, train_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +27,28 @@ def _sha256(column: str) -> F.Column:
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+def _crc_mod(doc_id: str, n: int) -> F.Column:
+    """The remainder of crc32(doc_id as text); a null doc_id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = train_languages(docs.filter(_crc_mod("doc_id", 5) != 0))
+    out = predict_languages(docs.select("doc_id", "text"), filters)
+    return out.select("doc_id", (_crc_mod("doc_id", 5) == 0).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language_model_scores(docs, _crc_mod("doc_id", 7) != 2)
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_substrings(_table(spark, sf_dir, "documents"), window=20)
     return out.select("doc_id", "n_words", "n_removed", _sha256("text").alias("kept_sha256"))
@@ -35,12 +60,56 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), _sha256("text").alias("kept_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = train_quality(docs, labels.filter(_crc_mod("doc_id", 3) != 1))
+    out = score_quality(docs, model)
+    return out.select("doc_id", (_crc_mod("doc_id", 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mark_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), window=10)
+    return out.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_hit").alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("_n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = train_toxicity(docs, labels.filter(_crc_mod("doc_id", 3) != 1))
+    out = score_toxicity(docs, model)
+    return out.select("doc_id", (_crc_mod("doc_id", 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_language_id": op2_language_id,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_packing": op6_packing,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
+_ITEM_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -78,4 +147,20 @@ told AS (SELECT doc_id, i, line, k IN (SELECT k FROM bad) AS gone FROM keyed)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM told GROUP BY doc_id""",
+    "op9_benchmark_decontamination": rf"""
+WITH docs AS (SELECT doc_id, {_ITEM_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+items AS (SELECT item_id, {_ITEM_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[s.i : s.i + least(10, len(w)) - 1], ' ') AS k
+  FROM items, LATERAL (SELECT unnest(range(1, greatest(len(w) - 8, 2))) AS i) s WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, size, s.i AS i, array_to_string(w[s.i : s.i + size - 1], ' ') AS k
+  FROM docs, sizes, LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS i) s WHERE len(w) >= size),
+hits AS (SELECT doc_id, item_id, d.size, i FROM doc_windows d JOIN item_windows m ON d.k = m.k AND d.size = m.size),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(found.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
 }
