@@ -63,12 +63,14 @@ class Words(NamedTuple):
     hash: np.ndarray
     #: Words of text i: lo[i] to lo[i + 1].
     lo: np.ndarray
+    #: Hashes of the words' first bytes, for each length asked for.
+    stems: list[np.ndarray]
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.lo) - 1), np.diff(self.lo))
 
 
-def words_of(texts: list[bytes], table: np.ndarray, hashed: bool = True) -> Words:
+def words_of(texts: list[bytes], table: np.ndarray, hashed: bool = True, stems: tuple[int, ...] = ()) -> Words:
     """Finds and hashes the words of texts; table tells word characters by byte and must exclude newline."""
     data = b"\n".join(texts) + b"\n"
     buffer = np.frombuffer(data, dtype=np.uint8)
@@ -79,15 +81,17 @@ def words_of(texts: list[bytes], table: np.ndarray, hashed: bool = True) -> Word
     start, end = edge[::2], edge[1::2]
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     lo = np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)]))
+    beginnings = [np.zeros(0, dtype=np.uint64) for _ in stems]
     if hashed and len(start):
         power, inverse = _powers(len(buffer))
         sums = np.empty(len(buffer) + 1, dtype=np.uint64)
         sums[0] = 0
         np.cumsum(_BYTE_KEYS[buffer] * power, out=sums[1:])
         hashes = mix64((sums[end] - sums[start]) * inverse[start])
+        beginnings = [mix64((sums[np.minimum(end, start + n)] - sums[start]) * inverse[start]) for n in stems]
     else:
         hashes = np.zeros(len(start), dtype=np.uint64)
-    return Words(data, start, end, hashes, lo)
+    return Words(data, start, end, hashes, lo, beginnings)
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A document's features are the distinct hashes of its words, pairs of neighbouring
-words and pairs with one word between.  Weights are learned one example at a time
+A document's features are the distinct hashes of its words, of their first 4, 6
+and 8 bytes (so that inflected forms share features), of pairs of neighbouring
+words and of pairs with one word between.  Weights are learned one example at a time
 with per-coordinate rates; L1 keeps most of them at exactly zero, so the model is
 a short list of slots and weights that is broadcast to the scoring tasks.
 
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.textops import ALNUM, blocks, mix64, words_of
 
 SLOT_BITS = 20
-_KINDS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F], dtype=np.uint64)
+STEMS = (4, 6, 8)
+_KINDS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F, 0x510E527FADE682D1], dtype=np.uint64)
 
 
 class Model(NamedTuple):
@@ -38,9 +40,11 @@ class Model(NamedTuple):
 
 def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(text, slot) of each n-gram occurrence, in no order."""
-    words = words_of([(t or b"").lower() for t in texts], ALNUM)
+    words = words_of([(t or b"").lower() for t in texts], ALNUM, stems=STEMS)
     text, h = words.text_of(), words.hash
     parts = [(text, mix64(h + _KINDS[0]))]
+    for n, stem in zip(STEMS, words.stems, strict=True):
+        parts.append((text, mix64(stem + _KINDS[3] + np.uint64(n))))
     for kind, gap in ((1, 1), (2, 2)):
         if len(h) > gap:
             same = text[gap:] == text[:-gap]
@@ -86,7 +90,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return taken.join(known, taken["doc_id"] == known["_labelled"]).select("text", "label")
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 6000, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 0.1, epochs: int = 4) -> Model:
+def train_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 8000, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 0.1, epochs: int = 4) -> Model:
     """Fits the model on at most about train_docs of the docs that labels.toxic marks.
 
     The features of the sample, but no texts, come to the driver: train_docs times
