@@ -2,7 +2,8 @@
 
 A document's features are the distinct hashes of its words, of their first 4, 6
 and 8 bytes (so that inflected forms share features), of pairs of neighbouring
-words and of pairs with one word between.  Weights are learned one example at a time
+words and of pairs with one word between; a hash that occurs twice, and one that
+occurs three times or more, is a further feature each, so that repeated use counts.  Weights are learned one example at a time
 with per-coordinate rates; L1 keeps most of them at exactly zero, so the model is
 a short list of slots and weights that is broadcast to the scoring tasks.
 
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.textops import ALNUM, blocks, mix64, words_of
 
 SLOT_BITS = 20
+#: A slot's feature for at least n occurrences is number slot + (n - 1) * 2**SLOT_BITS.
+LEVELS = 3
+SIZE = LEVELS << SLOT_BITS
 STEMS = (4, 6, 8)
 _KINDS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F, 0x510E527FADE682D1], dtype=np.uint64)
 
@@ -33,7 +37,7 @@ class Model(NamedTuple):
     weights: np.ndarray
 
     def table(self) -> np.ndarray:
-        out = np.zeros(1 << SLOT_BITS, dtype=np.float32)
+        out = np.zeros(SIZE, dtype=np.float32)
         out[self.slots] = self.weights
         return out
 
@@ -52,9 +56,15 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), (np.concatenate([p[1] for p in parts]) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
 
 
+def leveled(slots: np.ndarray) -> np.ndarray:
+    """A text's features from the slots of its n-gram occurrences."""
+    own, n = np.unique(slots, return_counts=True)
+    return np.concatenate([own[n > i] + (i << SLOT_BITS) for i in range(LEVELS)]).astype(np.int32)
+
+
 def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float, beta: float, l1: float, l2: float, epochs: int) -> Model:
-    """Learns from (distinct slots, label)."""
-    z, n = np.zeros(1 << SLOT_BITS), np.zeros(1 << SLOT_BITS)
+    """Learns from (features, label)."""
+    z, n = np.zeros(SIZE), np.zeros(SIZE)
     bias_z = bias_n = 0.0
     order = np.random.default_rng(7)
 
@@ -90,7 +100,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return taken.join(known, taken["doc_id"] == known["_labelled"]).select("text", "label")
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 8000, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 0.1, epochs: int = 4) -> Model:
+def train_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 8000, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, epochs: int = 6) -> Model:
     """Fits the model on at most about train_docs of the docs that labels.toxic marks.
 
     The features of the sample, but no texts, come to the driver: train_docs times
@@ -101,7 +111,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 8000, a
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
             text, slot = features(texts)
-            rows = [np.unique(slot[text == i]).astype(np.int32).tobytes() for i in range(len(texts))]
+            slot = slot[np.argsort(text, kind="stable")]
+            end = np.cumsum(np.bincount(text, minlength=len(texts)))
+            rows = [leveled(own).tobytes() for own in np.split(slot, end[:-1])]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("label")], ["slots", "label"])
 
     rows = labelled_sample(docs, labels, "toxic", train_docs).mapInArrow(encode, "slots binary, label int").collect()
@@ -120,11 +132,13 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, table = shared.value.bias, shared.value.table()
+        used = table.reshape(LEVELS, -1).any(axis=0)
         for batch, texts in blocks(batches):
             text, slot = features(texts)
-            heavy = np.flatnonzero(table[slot])
-            own = np.unique(text[heavy].astype(np.int64) << SLOT_BITS | slot[heavy])
-            total = bias + np.bincount(own >> SLOT_BITS, weights=table[own & ((1 << SLOT_BITS) - 1)], minlength=len(texts))
+            heavy = np.flatnonzero(used[slot])
+            own, n = np.unique(text[heavy].astype(np.int64) << SLOT_BITS | slot[heavy], return_counts=True)
+            weights = sum(np.where(n > i, table[(own & ((1 << SLOT_BITS) - 1)) + (i << SLOT_BITS)], 0) for i in range(LEVELS))
+            total = bias + np.bincount(own >> SLOT_BITS, weights=weights, minlength=len(texts))
             scores = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             columns = {n: batch.column(n) for n in batch.schema.names} | {"_score": pa.array(scores, pa.float64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
