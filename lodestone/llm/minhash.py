@@ -7,8 +7,9 @@ Registers are exponentially spaced minima, so sketches of parts merge by maximum
 and two sets agree in a register about as often as their Jaccard similarity.
 
 1. Equal sets form a class; only one sketch of a class is used from here on.
-2. Bands of registers are hashed.  A class meets the least class of each bucket
-   it falls into; the pair with the best estimate is verified.
+2. Bands of registers are hashed; buckets with one class are done.  A class meets
+   two classes of each bucket it falls into, the least by id and the least by
+   hash; its pairs with the best estimates are verified.
 3. Verified links form components.  Where a bucket still holds several
    components, all pairs across them are estimated, in blocks of bounded size,
    and those that may reach the threshold are verified.
@@ -25,9 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm import bloom
 from lodestone.llm.components import connected_components
 from lodestone.llm.shared import id_or_null, row_id, stored
 from lodestone.llm.textops import NON_SPACE, blocks, mix64, window_hashes, words_of
@@ -37,7 +39,13 @@ RATE = 20.0
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 #: Pairs whose estimate is below the threshold by more than this many standard deviations are not verified.
-DEVIATIONS = 5.0
+DEVIATIONS = 4.0
+#: Pairs with the best estimates that are verified first, for each class.
+BEST = 2
+#: Bits of the filter that tells which texts are worth reading again; it is broadcast (8 MiB).
+FILTER_BITS = 1 << 26
+#: Sets on either side of a block of pairs to verify.
+SETS = 4096
 #: Rows on either side of a block of pairs.
 BLOCK = 1024
 
@@ -159,65 +167,119 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimate, "a bigint, b bigint, j double")
 
 
-def _across(bands: DataFrame, classes: DataFrame, component: DataFrame, least: float) -> DataFrame:
+def _across(shared: DataFrame, classes: DataFrame, placed: DataFrame, least: float) -> DataFrame:
     """Pairs of one bucket but different components whose estimate is at least least: a, b.
 
     In a bucket, every class outside its largest component meets every class of
     other components, in blocks of about BLOCK rows a side.
     """
-    sizes = component.groupBy("component").agg(F.count("*").alias("size"))
-    placed = component.join(sizes, "component").select("rep", "component", "size")
-    rows = bands.join(placed, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
-    buckets = rows.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).filter("low < high").drop("low", "high")
-    mixed = rows.join(buckets, "bucket").withColumn("minor", F.col("component") != F.col("main"))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
+    known = placed.join(sizes, "component").select("rep", "component", "size")
+    rows = shared.join(known, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    main = F.max_by("component", F.struct("size", "component")).alias("main")
+    buckets = rows.groupBy("bucket").agg(main, F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).filter("low < high").drop("low", "high")
+    mixed = stored(rows.join(buckets, "bucket").withColumn("minor", F.col("component") != F.col("main")).select("bucket", "rep", "component", "minor", "rows"), "mixed")
     minors = mixed.filter("minor").groupBy("bucket").agg(F.count("*").alias("minors"))
-    mixed = mixed.join(minors, "bucket").withColumns({"across": F.ceil(F.col("rows") / BLOCK).cast("int"), "down": F.ceil(F.col("minors") / BLOCK).cast("int")})
+    sized = mixed.join(minors, "bucket").withColumns({"across": F.ceil(F.col("rows") / BLOCK).cast("int"), "down": F.ceil(F.col("minors") / BLOCK).cast("int")})
     own = F.xxhash64("rep")
-    every = mixed.select("bucket", "rep", "component", F.lit(False).alias("side"), F.pmod(own, "across").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"))
-    minor = mixed.filter("minor").select("bucket", "rep", "component", F.lit(True).alias("side"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), F.pmod(own, "down").cast("int").alias("y"))
+    every = sized.select("bucket", "rep", "component", F.lit(False).alias("side"), F.pmod(own, "across").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"))
+    minor = sized.filter("minor").select("bucket", "rep", "component", F.lit(True).alias("side"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), F.pmod(own, "down").cast("int").alias("y"))
     dealt = every.union(minor).join(classes.select("rep", "n", "sketch"), "rep")
-
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates(["rep", "side"])
-        registers = np.frombuffer(b"".join(block["sketch"]), dtype=np.uint16).reshape(-1, REGISTERS)
-        side, component, rep, n = (block[c].to_numpy() for c in ("side", "component", "rep", "n"))
-        others, out = np.flatnonzero(~side), []
-        enough = (least - 0.05) * REGISTERS  # sets that reach the estimate agree in about as many registers
+    # one bit of a register agrees with probability J + (1 - J) / 2; five deviations below what `least` gives
+    agree = (least + 1) / 2
+    differ = REGISTERS * (1 - agree) + 5 * np.sqrt(REGISTERS * agree * (1 - agree))
+
+    def block_pairs(side: np.ndarray, component: np.ndarray, rep: np.ndarray, n: np.ndarray, registers: np.ndarray) -> list[np.ndarray]:
+        bits = np.packbits(mix64(registers.astype(np.uint64)).astype(np.uint8) & 1, axis=1)
+        bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+        others, a, b = np.flatnonzero(~side), [], []
         for i in np.flatnonzero(side):
             meets = others[(component[others] != component[i]) & (np.minimum(n[others], n[i]) >= least * np.maximum(n[others], n[i]))]
-            meets = meets[(registers[meets] == registers[i]).sum(axis=1) >= enough]
-            if len(meets):
-                x, y = registers[i][None, :], registers[meets]
-                j = estimates((x > y).sum(axis=1), (x < y).sum(axis=1), np.full(len(meets), float(n[i])), n[meets].astype(float))
-                out.append(np.stack([np.full((j >= least).sum(), rep[i]), rep[meets[j >= least]]]))
-        found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
-        return pd.DataFrame({"a": found.max(axis=0).astype(np.int64), "b": found.min(axis=0).astype(np.int64)})
-
-    return dealt.groupBy("bucket", "x", "y").applyInPandas(pairs, "a bigint, b bigint").distinct()
+            meets = meets[np.bitwise_count(bits[meets] ^ bits[i]).sum(axis=1) <= differ]
+            a.append(np.full(len(meets), i))
+            b.append(meets)
+        a, b = np.concatenate(a), np.concatenate(b)
+        out = []
+        for begin in range(0, len(a), 4096):
+            i, k = a[begin : begin + 4096], b[begin : begin + 4096]
+            x, y = registers[i], registers[k]
+            j = estimates((x > y).sum(axis=1), (x < y).sum(axis=1), n[i].astype(float), n[k].astype(float))
+            out.append(np.stack([np.maximum(rep[i], rep[k]), np.minimum(rep[i], rep[k])])[:, j >= least])
+        return out
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            columns = [table.column(c).to_numpy() for c in ("bucket", "x", "y", "side", "component", "rep", "n")]
+            registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+            new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)]))
+            found = []
+            for a, b in zip(new, [*new[1:], len(registers)], strict=True):
+                if columns[3][a:b].any():
+                    found += block_pairs(*(c[a:b] for c in columns[3:]), registers[a:b])
+            if found:
+                both = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []  # batches that end inside a block
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            ends = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "x", "y")]
+            cut = np.flatnonzero(np.any([e != e[-1] for e in ends], axis=0))
+            if len(cut):  # all but the last block is whole
+                table = pa.Table.from_batches(held)
+                left = batch.num_rows - int(cut[-1]) - 1
+                yield from of(table.slice(0, table.num_rows - left))
+                held = [batch.slice(batch.num_rows - left)]
+        if held:
+            yield from of(pa.Table.from_batches(held))
+
+    partitions = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocked = dealt.repartition(partitions, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return blocked.mapInArrow(pairs, "a bigint, b bigint").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of _ids those with 100 * |A and B| >= percent * |A or B| on the full sets: u, v."""
-    needed = pairs.select(F.col("a").alias("_need")).union(pairs.select(F.col("b").alias("_need"))).distinct()
+    """Of pairs (a, b) of _ids, a table, those with 100 * |A and B| >= percent * |A or B| on the full sets: u, v.
+
+    A filter over the pairs' ids tells which texts are read into sets.  Sets and
+    pairs meet in blocks of about SETS sets a side; a set goes to a block once.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_need")).distinct()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield bloom.part(mix64(batch.column("_need").to_numpy(zero_copy_only=False).view(np.uint64)), FILTER_BITS)
+
+    needed = docs.sparkSession.sparkContext.broadcast(bloom.plane(ids.mapInArrow(parts, bloom.PARTS), FILTER_BITS, 1))
+    sides = max(1, -(-ids.count() // SETS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())], ["_id", "own"])
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            hit = bloom.hits(needed.value, mix64(whole.column("_id").to_numpy(zero_copy_only=False).view(np.uint64)), FILTER_BITS)
+            for batch, texts in blocks([whole.filter(pa.array(hit))]):
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())], ["_id", "own"])
 
-    held = docs.join(needed, docs["_id"] == needed["_need"], "left_semi").select("_id", "text").dropDuplicates(["_id"]).mapInArrow(sets, "_id bigint, own binary")
+    held = docs.select("_id", "text").mapInArrow(sets, "_id bigint, own binary").dropDuplicates(["_id"])
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(sides)).cast("int")
+    asked = pairs.select("a", "b", spot("a").alias("x"), spot("b").alias("y"))
+    places = asked.select("x", "y", F.explode(F.array("a", "b")).alias("_id")).distinct()
+    dealt = places.join(held, "_id").select(F.col("x").alias("px"), F.col("y").alias("py"), "_id", "own")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column("own_a").to_pylist(), batch.column("own_b").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                kept.append(100 * both >= percent * (len(a) + len(b) - both))
-            kept = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["u", "v"])
+    def confirm(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        own = {i: np.frombuffer(s, dtype=np.uint64) for i, s in zip(known["_id"], known["own"], strict=True)}
+        kept = []
+        for a, b in zip(asks["a"], asks["b"], strict=True):
+            s, t = sorted((own[a], own[b]), key=len)
+            both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(t) else 0
+            kept.append(100 * both >= percent * (len(s) + len(t) - both))
+        out = asks[np.array(kept, dtype=bool)]
+        return pd.DataFrame({"u": out["a"], "v": out["b"]})
 
-    side = lambda x: held.select(F.col("_id").alias(x), F.col("own").alias(f"own_{x}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(confirm, "u bigint, v bigint")
+    return asked.groupBy("x", "y").cogroup(dealt.groupBy("px", "py")).applyInPandas(confirm, "u bigint, v bigint")
 
 
 def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -242,15 +304,17 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
     members = stored(_sketched(keyed, shingle), "members")
     classes = stored(members.filter("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
     bands = _bands(classes)
-    leads = bands.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    stars = bands.join(leads, "bucket").filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    best = _estimated(stars, classes, least).groupBy("a").agg(F.max_by("b", F.struct("j", -F.col("b"))).alias("b"))
+    leads = bands.groupBy("bucket").agg(F.min("rep").alias("l1"), F.min_by("rep", F.xxhash64("rep")).alias("l2"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    shared = stored(bands.join(leads, "bucket"), "shared")
+    stars = shared.select(F.col("rep").alias("a"), F.explode(F.array("l1", "l2")).alias("b")).filter("a <> b").distinct()
+    order = Window.partitionBy("a").orderBy(F.desc("j"), "b")
+    best = _estimated(stars, classes, least).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= BEST).select("a", "b")
     links = stored(_verified(stored(best, "best"), keyed, shingle, percent), "links")
     first = connected_components(links).select(F.col("vertex").alias("rep"), "component")
     roots = first.select(F.col("component").alias("rep"), "component").distinct()
     placed = stored(first.union(roots), "placed")
-    more = stored(_across(bands, classes, placed, least), "across")
-    late = _verified(more, keyed, shingle, percent)
+    more = stored(_across(shared.select("bucket", "rep"), classes, placed, least), "across")
+    late = stored(_verified(more, keyed, shingle, percent), "late")
     final = connected_components(links.union(late)).select(F.col("vertex").alias("rep"), "component")
     labels = classes.join(final, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("_component"))
     told = members.join(labels, ["h1", "h2"], "left").withColumn("_component", F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("_id")))
