@@ -23,23 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textops import runs
+from lodestone.llm import bloom
+from lodestone.llm.shared import stored
 
 SPACE = b" \t\n\x0b\x0c\r"
-SEGMENT_BITS = 1 << 16
-FLUSH = 1 << 20
 
 
 def line_key(line: bytes) -> bytes:
     return line.strip(SPACE).lower()
 
 
-def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Two positions a hash."""
-    mask = np.uint64(bits - 1)
-    return np.stack([hashes & mask, (hashes >> np.uint64(32)) & mask])
-
-
 def _keys_of(text: bytes | None, min_chars: int) -> dict[bytes, list[int]]:
     """Line numbers by key; the empty key and shorter ones than min_chars code points are left out."""
     keys: dict[bytes, list[int]] = {}
@@ -54,57 +47,21 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.large_binary()).to_pylist()
 
 
-def twice_seen(docs: DataFrame, filter_bits: int, min_chars: int) -> np.ndarray:
-    """The twice-seen plane over all of docs, packed into filter_bits / 8 bytes."""
+def _twice_seen(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
+    """The twice-seen plane over the lines of docs, each key once a document."""
 
-    def plane_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[int] = []
-
-        def flush() -> pa.RecordBatch:
-            at, count = np.unique(_positions(np.array(hashes, dtype=np.uint64), filter_bits).ravel(), return_counts=True)
-            hashes.clear()
-            segment, within = (at // np.uint64(SEGMENT_BITS)).astype(np.int32), (at % np.uint64(SEGMENT_BITS)).astype(np.uint16)
-            begin = runs(segment)
-            rows = []
-            for a, b in zip(begin, [*begin[1:], len(segment)], strict=True):
-                more = count[a:b] > 1
-                rows.append((int(segment[a]), within[a:b][~more].tobytes(), within[a:b][more].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["segment", "once", "twice"])
-
         for batch in batches:
             for text in _texts(batch):
                 hashes.extend(map(xxhash.xxh3_64_intdigest, _keys_of(text, min_chars)))
-                if len(hashes) >= FLUSH:
-                    yield flush()
+                if len(hashes) >= bloom.FLUSH:
+                    yield bloom.part(np.array(hashes, dtype=np.uint64), bits)
+                    hashes = []
         if hashes:
-            yield flush()
+            yield bloom.part(np.array(hashes, dtype=np.uint64), bits)
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, np.zeros(SEGMENT_BITS, dtype=np.uint8)
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(seen > 1, bitorder="little").tobytes()], pa.binary())], ["segment", "plane"])
-
-        for batch in batches:
-            for segment, once, twice in zip(*(batch.column(c).to_pylist() for c in ("segment", "once", "twice")), strict=True):
-                if segment != now:
-                    if now is not None:
-                        yield out()
-                    now = segment
-                    seen[:] = 0
-                at = np.frombuffer(once, dtype=np.uint16)
-                seen[at] = np.minimum(seen[at] + 1, 2)
-                seen[np.frombuffer(twice, dtype=np.uint16)] = 2
-        if now is not None:
-            yield out()
-
-    parts = docs.select("text").mapInArrow(plane_parts, "segment int, once binary, twice binary")
-    planes = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(merged, "segment int, plane binary")
-    plane = np.zeros(filter_bits // 8, dtype=np.uint8)
-    size = SEGMENT_BITS // 8
-    for row in planes.collect():  # filter_bits / 8 bytes at most
-        plane[row.segment * size : (row.segment + 1) * size] = np.frombuffer(row.plane, dtype=np.uint8)
-    return plane
+    return bloom.plane(docs.select("text").mapInArrow(parts, bloom.PARTS), bits, 2)
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int = 1 << 26) -> DataFrame:
@@ -124,9 +81,9 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     """
     if min_docs < 2 or keep not in ("none", "first"):
         raise ValueError("min_docs must be at least 2, keep one of none, first")
-    if filter_bits & (filter_bits - 1) or not SEGMENT_BITS <= filter_bits <= 1 << 32:
+    if filter_bits & (filter_bits - 1) or not bloom.SEGMENT_BITS <= filter_bits <= 1 << 32:
         raise ValueError("filter_bits must be a power of two from 2**16 to 2**32")
-    plane = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, filter_bits, min_chars))
+    plane = docs.sparkSession.sparkContext.broadcast(_twice_seen(docs, filter_bits, min_chars))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = plane.value
@@ -136,8 +93,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
                 if not (own := _keys_of(text, min_chars)):
                     continue
                 hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, own), dtype=np.uint64, count=len(own))
-                at = _positions(hashes, filter_bits)
-                hit = ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+                hit = bloom.hits(bits, hashes, filter_bits)
                 if hit.any():
                     for (key, where), suspected in zip(own.items(), hit.tolist(), strict=True):
                         if suspected:
@@ -150,6 +106,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     version = F.xxhash64("text")
     suspected = docs.select(F.col("doc_id").alias("_id"), version.alias("_version"), "text").mapInArrow(suspects, "_id bigint, _version bigint, _key binary, _at array<int>")
     repeated = suspected.groupBy("_key").agg(F.countDistinct(F.struct("_id")).alias("_docs"), F.min(F.struct("_id", F.col("_at")[0].alias("_line"))).alias("_first")).filter(F.col("_docs") >= min_docs)
+    repeated = stored(repeated, "repeated")  # a table, so that the join below can split a line that very many documents hold
     found = suspected.join(repeated, "_key")
     if keep == "first":
         stays = F.col("_id").eqNullSafe(F.col("_first._id"))
