@@ -12,7 +12,9 @@ and two sets agree in a register about as often as their Jaccard similarity.
    hash; its pairs with the best estimates are verified.
 3. Verified links form components.  Where a bucket still holds several
    components, all pairs across them are estimated, in blocks of bounded size,
-   and those that may reach the threshold are verified.
+   each pair in the first bucket it shares.  Those that may reach the threshold
+   are counted on the sets' 32-bit hashes, which can only raise the count, and
+   what is left is verified.
 
 Estimates maximise the joint likelihood of the registers' order (greater, less,
 equal) given both sizes.  Links are confirmed on the full sets.  Pairs inside a
@@ -167,8 +169,31 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimate, "a bigint, b bigint, j double")
 
 
-def _across(shared: DataFrame, classes: DataFrame, placed: DataFrame, least: float) -> DataFrame:
-    """Pairs of one bucket but different components whose estimate is at least least: a, b.
+def _sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The shingle sets of documents (_id, text), of all that ids (_need) holds and few others: _id, own.
+
+    A filter over the ids tells which texts are read into sets, so texts aren't shuffled.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield bloom.part(mix64(batch.column("_need").to_numpy(zero_copy_only=False).view(np.uint64)), FILTER_BITS)
+
+    needed = docs.sparkSession.sparkContext.broadcast(bloom.plane(ids.mapInArrow(parts, bloom.PARTS), FILTER_BITS, 1))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            hit = bloom.hits(needed.value, mix64(whole.column("_id").to_numpy(zero_copy_only=False).view(np.uint64)), FILTER_BITS)
+            for batch, texts in blocks([whole.filter(pa.array(hit))]):
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())], ["_id", "own"])
+
+    return docs.select("_id", "text").mapInArrow(sets, "_id bigint, own binary").dropDuplicates(["_id"])
+
+
+def _across(shared: DataFrame, classes: DataFrame, placed: DataFrame, docs: DataFrame, size: int, percent: int, least: float) -> DataFrame:
+    """Pairs of one bucket but different components that look linked, with few others: a, b.
 
     In a bucket, every class outside its largest component meets every class of
     other components, in blocks of about BLOCK rows a side.
@@ -184,12 +209,26 @@ def _across(shared: DataFrame, classes: DataFrame, placed: DataFrame, least: flo
     own = F.xxhash64("rep")
     every = sized.select("bucket", "rep", "component", F.lit(False).alias("side"), F.pmod(own, "across").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"))
     minor = sized.filter("minor").select("bucket", "rep", "component", F.lit(True).alias("side"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), F.pmod(own, "down").cast("int").alias("y"))
-    dealt = every.union(minor).join(classes.select("rep", "n", "sketch"), "rep")
+    held = _sets_of(mixed.select(F.col("rep").alias("_need")).distinct(), docs, size)
+
+    def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(np.frombuffer(x, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("own").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(own, pa.binary())], ["rep", "own"])
+
+    known_sets = classes.select("rep", "n", "sketch").join(held.mapInArrow(shorter, "rep bigint, own binary"), "rep")
+    dealt = every.union(minor).join(known_sets, "rep")
     # one bit of a register agrees with probability J + (1 - J) / 2; five deviations below what `least` gives
     agree = (least + 1) / 2
     differ = REGISTERS * (1 - agree) + 5 * np.sqrt(REGISTERS * agree * (1 - agree))
 
-    def block_pairs(side: np.ndarray, component: np.ndarray, rep: np.ndarray, n: np.ndarray, registers: np.ndarray) -> list[np.ndarray]:
+    def linked(own: list[bytes], i: int, k: int) -> bool:
+        s, t = sorted((np.frombuffer(own[i], dtype=np.uint32), np.frombuffer(own[k], dtype=np.uint32)), key=len)
+        both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+        return 100 * both >= percent * (len(s) + len(t) - both)
+
+    def block_pairs(bucket: int, side: np.ndarray, component: np.ndarray, rep: np.ndarray, n: np.ndarray, registers: np.ndarray, own: list[bytes]) -> list[np.ndarray]:
+        band = int(np.flatnonzero(band_keys(registers[:1])[0].view(np.int64) == bucket)[0])
         bits = np.packbits(mix64(registers.astype(np.uint64)).astype(np.uint8) & 1, axis=1)
         bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
         others, a, b = np.flatnonzero(~side), [], []
@@ -203,19 +242,23 @@ def _across(shared: DataFrame, classes: DataFrame, placed: DataFrame, least: flo
         for begin in range(0, len(a), 4096):
             i, k = a[begin : begin + 4096], b[begin : begin + 4096]
             x, y = registers[i], registers[k]
+            first = (x == y).reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            i, k, x, y = i[first], k[first], x[first], y[first]
             j = estimates((x > y).sum(axis=1), (x < y).sum(axis=1), n[i].astype(float), n[k].astype(float))
-            out.append(np.stack([np.maximum(rep[i], rep[k]), np.minimum(rep[i], rep[k])])[:, j >= least])
+            kept = np.array([jj >= least and linked(own, a_, b_) for jj, a_, b_ in zip(j.tolist(), i.tolist(), k.tolist(), strict=True)], dtype=bool)
+            out.append(np.stack([np.maximum(rep[i], rep[k]), np.minimum(rep[i], rep[k])])[:, kept])
         return out
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
             columns = [table.column(c).to_numpy() for c in ("bucket", "x", "y", "side", "component", "rep", "n")]
             registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+            own = table.column("own").to_pylist()
             new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)]))
             found = []
             for a, b in zip(new, [*new[1:], len(registers)], strict=True):
                 if columns[3][a:b].any():
-                    found += block_pairs(*(c[a:b] for c in columns[3:]), registers[a:b])
+                    found += block_pairs(int(columns[0][a]), *(c[a:b] for c in columns[3:]), registers[a:b], own[a:b])
             if found:
                 both = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
@@ -243,27 +286,11 @@ def _across(shared: DataFrame, classes: DataFrame, placed: DataFrame, least: flo
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of _ids, a table, those with 100 * |A and B| >= percent * |A or B| on the full sets: u, v.
 
-    A filter over the pairs' ids tells which texts are read into sets.  Sets and
-    pairs meet in blocks of about SETS sets a side; a set goes to a block once.
+    Sets and pairs meet in blocks of about SETS sets a side; a set goes to a block once.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_need")).distinct()
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield bloom.part(mix64(batch.column("_need").to_numpy(zero_copy_only=False).view(np.uint64)), FILTER_BITS)
-
-    needed = docs.sparkSession.sparkContext.broadcast(bloom.plane(ids.mapInArrow(parts, bloom.PARTS), FILTER_BITS, 1))
     sides = max(1, -(-ids.count() // SETS))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            if not whole.num_rows:
-                continue
-            hit = bloom.hits(needed.value, mix64(whole.column("_id").to_numpy(zero_copy_only=False).view(np.uint64)), FILTER_BITS)
-            for batch, texts in blocks([whole.filter(pa.array(hit))]):
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())], ["_id", "own"])
-
-    held = docs.select("_id", "text").mapInArrow(sets, "_id bigint, own binary").dropDuplicates(["_id"])
+    held = _sets_of(ids, docs, size)
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(sides)).cast("int")
     asked = pairs.select("a", "b", spot("a").alias("x"), spot("b").alias("y"))
     places = asked.select("x", "y", F.explode(F.array("a", "b")).alias("_id")).distinct()
@@ -313,7 +340,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
     first = connected_components(links).select(F.col("vertex").alias("rep"), "component")
     roots = first.select(F.col("component").alias("rep"), "component").distinct()
     placed = stored(first.union(roots), "placed")
-    more = stored(_across(shared.select("bucket", "rep"), classes, placed, least), "across")
+    more = stored(_across(shared.select("bucket", "rep"), classes, placed, keyed, shingle, percent, least), "across")
     late = stored(_verified(more, keyed, shingle, percent), "late")
     final = connected_components(links.union(late)).select(F.col("vertex").alias("rep"), "component")
     labels = classes.join(final, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("_component"))
