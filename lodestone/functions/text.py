@@ -257,3 +257,23 @@ def whole_number(value: Column) -> Column:
 
 def exit_ok(code: Column, allowed: Column) -> Column:
     return (F.size(allowed) == 0) | F.array_contains(allowed, code)
+
+
+def desktop_link(content: Column, marker: str) -> Column:
+    """A link file with its `Name=` lines cleaned of the download folder, the marker and escaped spaces."""
+    clean = lambda x: F.replace(F.replace(F.regexp_replace(x, "^(downloads/)+", ""), F.lit(marker), F.lit("")), F.lit("\\s"), F.lit(" "))
+    line = lambda x: F.when(x.startswith("Name="), F.concat(F.lit("Name="), clean(F.substr(x, F.lit(6))))).otherwise(x)
+    return F.array_join(F.transform(F.split(content, "\n"), line), "\n")
+
+
+def sandbox_member(path: Column, marker: str) -> Column:
+    """A member's path without the download folder and the marker, with forward slashes."""
+    return F.replace(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^downloads/", ""), F.lit(marker), F.lit(""))
+
+
+def os_selector(choices: list[tuple[str, str]]) -> str:
+    """A template that picks by platform; the last choice stands for all others."""
+    out = choices[-1][1]
+    for name, value in reversed(choices[:-1]):
+        out = f'${{context.os == "{name}" ? {value} : {out}}}'
+    return out

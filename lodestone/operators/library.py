@@ -218,3 +218,49 @@ def close_keys(unknown: DataFrame, known: DataFrame, most: int = 3, cutoff: floa
     ratio = 1 - F.levenshtein("key", "near") / F.greatest(F.length("key"), F.length("near"))
     ranked = both.withColumn("ratio", ratio).filter(F.col("ratio") >= cutoff).withColumn("rank", F.row_number().over(Window.partitionBy("tool", "key").orderBy(F.desc("ratio"), "near")))
     return ranked.filter(F.col("rank") <= most).select("tool", "key", "near", F.col("rank").cast("long").alias("rank"))
+
+
+def with_aux(objects: DataFrame, aux: DataFrame, name: str) -> DataFrame:
+    """Objects with their side payload of one name, null where there is none; aux(hash, name, data)."""
+    own = aux.filter(F.col("name") == name).select("hash", F.col("data").alias(name))
+    return objects.join(own, "hash", "left")
+
+
+def backfilled_variants(stored_: DataFrame, produced: DataFrame, live: DataFrame) -> DataFrame:
+    """Variants (media, variant, hash) with what workflows produced, where that is live; others stay as stored."""
+    new = produced.join(live, "hash", "left_semi").select("media", "variant", F.col("hash").alias("n"))
+    return stored_.join(new, ["media", "variant"], "full").select("media", "variant", F.coalesce("n", "hash").alias("hash"))
+
+
+def resolved_releases(releases: DataFrame, prefix: str = "autobuild-") -> DataFrame:
+    """Of each repository the tag marked latest, else the first with the prefix."""
+    first = F.min_by("tag", F.when(F.col("tag").startswith(prefix), F.col("ord")))
+    marked = F.min_by("tag", F.when(F.col("latest"), F.col("ord")))
+    some = lambda c: F.coalesce(F.max(c), F.lit(False))
+    own = releases.groupBy("repo").agg(marked.alias("m"), some("latest").alias("has"), first.alias("f"), some(F.col("tag").startswith(prefix)).alias("any"))
+    return own.select("repo", F.when(F.col("has"), F.col("m")).when(F.col("any"), F.col("f")).alias("tag"))
+
+
+def track_positions(releases: DataFrame, recordings: DataFrame) -> DataFrame:
+    """The first medium and track, from 1, that holds each recording: release, recording, medium, track.
+
+    releases(release, media array<array<recording>>).
+    """
+    tracks = releases.select("release", F.posexplode("media").alias("m", "t")).select("release", "m", F.posexplode("t").alias("t", "recording"))
+    at = tracks.join(recordings, "recording", "left_semi").groupBy("release", "recording").agg(F.min(F.struct("m", "t")).alias("p"))
+    return at.select("release", "recording", (F.col("p.m") + 1).cast("long").alias("medium"), (F.col("p.t") + 1).cast("long").alias("track"))
+
+
+def byte_budgets(updates: DataFrame) -> DataFrame:
+    """By group, bytes done and in all of items (item, pos, estimate, actual): the actual size, once known, replaces the estimate."""
+    last = updates.groupBy("group", "item").agg(F.max("pos").alias("pos"), F.max("estimate").alias("estimate"), F.max("actual").alias("actual"))
+    total = F.coalesce("actual", "estimate", F.lit(0))
+    return last.groupBy("group").agg(F.sum(F.least("pos", total)).alias("pos"), F.sum(total).alias("total"))
+
+
+def embedded_covers(images: DataFrame, only_front: bool) -> DataFrame:
+    """The images to embed: all, or each group's first front one."""
+    if not only_front:
+        return images
+    front = images.filter("front").groupBy("group").agg(F.min("ord").alias("ord"))
+    return images.join(front, ["group", "ord"], "left_semi")
