@@ -10,7 +10,7 @@ An n-gram belongs to a language's filter if its share there is at least
 language inside labelled texts don't fill every filter.
 
 Learning takes a bounded sample of labelled texts for each language
-(`train_docs`), chosen by a hash of the text; every whole text is predicted.
+(`train_docs`), chosen by a hash of a column; every whole text is predicted.
 """
 
 from __future__ import annotations
@@ -90,20 +90,21 @@ def build_filters(grams: dict[str, tuple[np.ndarray, np.ndarray]], kinship: floa
     return Filters(languages, masks)
 
 
-def train_languages(docs: DataFrame, train_docs: int = 1500, kinship: float = 0.4, least: int = 2) -> Filters:
+def train_languages(docs: DataFrame, train_docs: int = 1500, kinship: float = 0.4, least: int = 2, sample_by: str = "text") -> Filters:
     """Learns filters from docs with text and lang, at most about train_docs of each language.
 
+    A hash of the column sample_by, best an id, chooses them.
     Counts of n-grams, not texts, come to the driver; there are few of them, as
     n-grams are four bytes long.  Up to 64 languages; rows with null text or lang are left out.
     """
-    known = docs.select("text", "lang").filter("text is not null and lang is not null")
+    known = docs.select("text", "lang", F.xxhash64(sample_by).alias("_hash")).filter("text is not null and lang is not null")
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(65).collect()}
     if len(counts) > 64:
         raise ValueError("a slot holds 64 languages")
     if not counts:
         return Filters([], np.zeros(1 << SLOT_BITS, dtype=np.uint64))
     cut = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, train_docs / n) * (1 << 30))))])
-    taken = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < cut[F.col("lang")])
+    taken = known.filter(F.pmod("_hash", F.lit(1 << 30)) < cut[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
@@ -114,7 +115,7 @@ def train_languages(docs: DataFrame, train_docs: int = 1500, kinship: float = 0.
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     grams: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    table = taken.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
+    table = taken.select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
     for lang, own in table.sort_values("gram").groupby("lang"):
         grams[str(lang)] = own["gram"].to_numpy().astype(np.uint32), own["n"].to_numpy()
     return build_filters(grams, kinship, least)

@@ -6,7 +6,7 @@ learned layer over its byte histogram and a few word statistics; gated attention
 classified.  Encoder, attention and classifier are trained together from document
 labels alone.
 
-Learning takes a bounded sample (`train_docs`), chosen by a hash of the text;
+Learning takes a bounded sample (`train_docs`), chosen by a hash of the id;
 every passage of every text is scored.
 """
 

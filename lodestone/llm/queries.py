@@ -38,7 +38,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    filters = train_languages(docs.filter(_crc_mod("doc_id", 5) != 0))
+    filters = train_languages(docs.filter(_crc_mod("doc_id", 5) != 0), sample_by="doc_id")
     out = predict_languages(docs.select("doc_id", "text"), filters)
     return out.select("doc_id", (_crc_mod("doc_id", 5) == 0).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))
 

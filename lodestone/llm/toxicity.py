@@ -8,7 +8,7 @@ with per-coordinate rates; L1 keeps most of them at exactly zero, so the model i
 a short list of slots and weights that is broadcast to the scoring tasks.
 
 Learning takes a bounded sample (`train_docs` documents at most, as the parameter
-says), chosen by a hash of the text; scoring reads every whole text.
+says), chosen by a hash of the id; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -89,14 +89,15 @@ def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float, beta: float, l1:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """text and label of at most about `most` labelled documents, chosen by a hash of the text.
+    """text and label of at most about `most` labelled documents, chosen by a hash of the id.
 
-    The share to take comes from a count, so no text is shuffled that isn't taken.
+    The share to take comes from a count, so no text is shuffled that isn't taken,
+    and a text that very many documents hold is taken in proportion.
     Null labels and null texts are left out; a document labelled twice differently counts twice.
     """
     known = labels.select(F.col("doc_id").alias("_labelled"), F.col(label).cast("int").alias("label")).filter("label is not null and _labelled is not null").distinct()
     share = min(1.0, most / max(1, known.count()))
-    taken = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    taken = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
     return taken.join(known, taken["doc_id"] == known["_labelled"]).select("text", "label")
 
 
