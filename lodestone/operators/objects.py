@@ -56,8 +56,8 @@ def pruned_constraints(constraints: DataFrame, live: DataFrame) -> DataFrame:
 
 def prune_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """How many targets went; narrowing a target's bases doesn't count."""
-    n = lambda df: df.select("target").distinct().agg(F.count("*").alias("n"))
-    return n(before).withColumnRenamed("n", "before_n").crossJoin(n(after)).select((F.col("before_n") - F.col("n")).alias("pruned_targets"))  # two single rows
+    counted = before.select("target").distinct().withColumn("n", F.lit(1)).union(after.select("target").distinct().withColumn("n", F.lit(-1)))
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("pruned_targets"))
 
 
 def patched(bases: Column, clear: Column, add: Column, remove: Column) -> Column:
@@ -89,9 +89,9 @@ def store_budget(objects: DataFrame) -> DataFrame:
 
 def cache_stats(reads: DataFrame) -> DataFrame:
     """hits, misses, entries and bytes of reads (key, hit, len)."""
-    misses = reads.filter(~F.col("hit"))
-    entries = misses.groupBy("key").agg(F.max("len").alias("len")).agg(F.count("*").alias("entries"), F.sum("len").cast("long").alias("bytes"))
-    return reads.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")).crossJoin(entries)  # two single rows
+    missed = ~F.col("hit")
+    by_key = reads.groupBy("key").agg(F.count_if("hit").alias("hits"), F.count_if(missed).alias("misses"), F.max(F.when(missed, F.col("len"))).alias("len"))
+    return by_key.agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"), F.count_if(F.col("misses") > 0).alias("entries"), F.sum("len").cast("long").alias("bytes"))
 
 
 def after_eviction(entries: DataFrame, group: str, age: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def _recursive(frames: dict[str, DataFrame], sql: str) -> DataFrame:
     spark = next(iter(frames.values())).sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # read when the query runs; the default stops at a million rows
     return spark.sql(sql, **frames)
 
 
