@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,21 +56,24 @@ def sealed_segments(log: DataFrame, part: str, size: str, most: int) -> DataFram
     """Entries with the number of their segment in each part of the log.
 
     A segment is sealed before an append once it holds `most` bytes: a running sum
-    that starts anew, so each part is folded in order by itself.
+    that starts anew, so a task folds its parts' entries in order, one at a time.
     """
 
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("pos")
-        numbers, held, number = [], 0, 0
-        for n in own["size"]:
-            if held >= most:
-                number, held = number + 1, 0
-            held += n
-            numbers.append(number)
-        return own.assign(segment=numbers)[["part", "pos", "segment"]]
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, number = object(), 0, 0
+        for frame in frames:
+            numbers = []
+            for part_, size_ in zip(frame["part"].tolist(), frame["size"].tolist(), strict=True):
+                if part_ != now:
+                    now, held, number = part_, 0, 0
+                if held >= most:
+                    number, held = number + 1, 0
+                held += size_
+                numbers.append(number)
+            yield pd.DataFrame({"part": frame["part"], "pos": frame["pos"], "segment": numbers})
 
     own = log.select(F.col(part).alias("part"), F.col("pos").cast("long").alias("pos"), F.col(size).cast("long").alias("size"))
-    return own.groupBy("part").applyInPandas(fold, f"part {own.schema['part'].dataType.simpleString()}, pos long, segment long")
+    return own.repartition("part").sortWithinPartitions("part", "pos").mapInPandas(fold, f"part {own.schema['part'].dataType.simpleString()}, pos long, segment long")
 
 
 def longest_of_overlapping(segments: DataFrame, part: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,21 +16,20 @@ def topological_levels(steps: DataFrame, dependencies: DataFrame, rounds: int =
     """The level of each step: 0 without dependencies, else one more than the highest of them.
 
     steps(wf, step), dependencies(wf, step, needs).  Each round settles a level of
-    all workflows at once and is checkpointed where a folder is set, so plans don't
-    grow.  Returns wf, step, level; level is null for steps on a cycle or behind
-    one, or behind a step that doesn't exist.
+    all workflows at once and drops the dependencies on it, so rounds shrink; what is
+    left is checkpointed where a folder is set, so plans don't grow.  Returns wf,
+    step, level; level is null for steps on a cycle or behind one, or behind a step
+    that doesn't exist.
     """
-    settled = steps.join(dependencies.select("wf", "step"), ["wf", "step"], "left_anti").select("wf", "step", F.lit(0).alias("level"))
-    open_ = steps.join(settled, ["wf", "step"], "left_anti")
-    for level in range(1, rounds):
-        done = settled.select("wf", F.col("step").alias("needs"))
-        missing = dependencies.join(done, ["wf", "needs"], "left_anti").select("wf", "step")
-        ready = open_.join(missing, ["wf", "step"], "left_anti").select("wf", "step", F.lit(level).alias("level"))
-        settled, ready = _cut(settled.union(ready)), ready
-        open_ = _cut(open_.join(settled, ["wf", "step"], "left_anti"))
-        if settled.filter(F.col("level") == level).isEmpty():
+    open_, waits, settled = steps.select("wf", "step"), dependencies.select("wf", "step", "needs"), []
+    for level in range(rounds):
+        ready = _cut(open_.join(waits.select("wf", "step"), ["wf", "step"], "left_anti"))
+        if ready.isEmpty():
             break
-    return settled.select("wf", "step", F.col("level").cast("long").alias("level")).union(open_.select("wf", "step", F.lit(None).cast("long").alias("level")))
+        settled.append(ready.select("wf", "step", F.lit(level).cast("long").alias("level")))
+        waits = _cut(waits.join(ready.withColumnRenamed("step", "needs"), ["wf", "needs"], "left_anti"))
+        open_ = _cut(open_.join(ready, ["wf", "step"], "left_anti"))
+    return reduce(DataFrame.union, settled, open_.select("wf", "step", F.lit(None).cast("long").alias("level")))
 
 
 def _cut(df: DataFrame) -> DataFrame:
