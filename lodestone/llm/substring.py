@@ -26,6 +26,8 @@ from lodestone.llm.textops import NON_SPACE, blocks, mix64, runs, window_hashes,
 
 #: Text bytes that a map task packs at a time.
 CHUNK_BYTES = 4 << 20
+#: Super-k-mers that a bucket's task unpacks at a time.
+PIECE = 8192
 NULL_ID = -(2**63)
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _OUT = "bucket int, strings binary, ids binary, starts binary, marks binary"
@@ -101,14 +103,15 @@ def _bucket_marks(rows: list[tuple], window: int, mer: int) -> list[np.ndarray]:
     start = np.concatenate([np.frombuffer(row[2], dtype=np.int64) for row in rows])
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
-    words = words_of([strings[i] for i in order.tolist()], NON_SPACE)
-    del strings
-    minimisers = _minimisers(words.hash, window, mer)
-    at = np.flatnonzero(_in_one_text(words.lo, len(minimisers), window))
-    own = words.text_of()[at]
-    begins = start[own] + at - words.lo[own]
-    whole, second = window_hashes(words.hash, window)[at], minimisers[at]
-    del words
+    parts: list[tuple[np.ndarray, ...]] = []
+    for a in range(0, len(order), PIECE):
+        words = words_of([strings[i] for i in order[a : a + PIECE].tolist()], NON_SPACE)
+        minimisers = _minimisers(words.hash, window, mer)
+        at = np.flatnonzero(_in_one_text(words.lo, len(minimisers), window))
+        own = words.text_of()[at]
+        parts.append((own + a, start[own + a] + at - words.lo[own], window_hashes(words.hash, window)[at], minimisers[at]))
+    own, begins, whole, second = (np.concatenate(p) for p in zip(*parts, strict=True))
+    del strings, parts, words, minimisers
     by = np.argsort(whole, kind="stable")  # stable: the first of equal windows is the earliest
     if ((whole[by[1:]] == whole[by[:-1]]) & (second[by[1:]] != second[by[:-1]])).any():
         by = np.lexsort((second, whole))

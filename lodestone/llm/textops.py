@@ -81,16 +81,21 @@ def words_of(texts: list[bytes], table: np.ndarray, hashed: bool = True, stems:
     start, end = edge[::2], edge[1::2]
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     lo = np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)]))
-    beginnings = [np.zeros(0, dtype=np.uint64) for _ in stems]
-    if hashed and len(start):
-        power, inverse = _powers(len(buffer))
-        sums = np.empty(len(buffer) + 1, dtype=np.uint64)
+    hashes = np.zeros(len(start), dtype=np.uint64)
+    beginnings = [np.zeros(len(start), dtype=np.uint64) for _ in stems]
+    i = 0
+    while hashed and i < len(start):  # prefix sums over a block of whole words at a time
+        j = max(i + 1, int(np.searchsorted(start, start[i] + BLOCK_BYTES)))
+        base, own = start[i], buffer[start[i] : end[j - 1]]
+        power, inverse = _powers(len(own))
+        sums = np.empty(len(own) + 1, dtype=np.uint64)
         sums[0] = 0
-        np.cumsum(_BYTE_KEYS[buffer] * power, out=sums[1:])
-        hashes = mix64((sums[end] - sums[start]) * inverse[start])
-        beginnings = [mix64((sums[np.minimum(end, start + n)] - sums[start]) * inverse[start]) for n in stems]
-    else:
-        hashes = np.zeros(len(start), dtype=np.uint64)
+        np.cumsum(_BYTE_KEYS[own] * power, out=sums[1:])
+        a, b = start[i:j] - base, end[i:j] - base
+        hashes[i:j] = mix64((sums[b] - sums[a]) * inverse[a])
+        for n, out in zip(stems, beginnings, strict=True):
+            out[i:j] = mix64((sums[np.minimum(b, a + n)] - sums[a]) * inverse[a])
+        i = j
     return Words(data, start, end, hashes, lo, beginnings)
 
 
