@@ -43,6 +43,11 @@ def export_report(t: Tables) -> DataFrame:
     return archives.export_report(_members(t))
 
 
+@query("SELECT source AS archive, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+def archive_estimate(t: Tables) -> DataFrame:
+    return archives.estimated_sizes(archives.packed(_members(t)).withColumn("kind", F.lit("zip")), "archive", "kind", "data")
+
+
 @query("SELECT source AS run, 'one' AS output, count(*) FILTER (doc_id < 20) AS n, CASE WHEN count(*) FILTER (doc_id < 20) = 1 THEN min(CASE WHEN doc_id < 20 THEN 'doc-' || doc_id END) END AS path FROM documents GROUP BY 1 UNION ALL SELECT source, 'all', count(*), NULL FROM documents GROUP BY 1 HAVING count(*) > 1")
 def output_capture(t: Tables) -> DataFrame:
     own = t.documents.select(F.col("source").alias("run"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"))

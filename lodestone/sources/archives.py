@@ -99,6 +99,29 @@ def export_report(rows: DataFrame) -> DataFrame:
     return rows.groupBy("archive").agg(F.count("*").alias("files"), F.sum(F.octet_length("bytes")).alias("bytes"))
 
 
+def estimated_sizes(archives: DataFrame, key: str, kind: str, data: str) -> DataFrame:
+    """Bytes that archives unpack to, told without unpacking them: archive, bytes.
+
+    zip: the sum of its directory; tar.gz: the size in its trailer, modulo 2**32;
+    0 for other kinds.  Where that can't be read, the archive's own size.
+    """
+
+    def size(kind: str | None, own: bytes) -> int:
+        if kind == "zip":
+            try:
+                return sum(i.file_size for i in zipfile.ZipFile(io.BytesIO(own)).infolist())
+            except zipfile.BadZipFile:
+                return len(own)
+        return (int.from_bytes(own[-4:], "little") or len(own)) if kind == "tar.gz" else 0
+
+    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"archive": frame["archive"], "bytes": [size(k, bytes(d or b"")) for k, d in zip(frame["kind"], frame["data"], strict=True)]})
+
+    own = archives.select(F.col(key).alias("archive"), F.col(kind).alias("kind"), F.col(data).alias("data"))
+    return own.mapInPandas(told, f"archive {own.schema['archive'].dataType.simpleString()}, bytes bigint")
+
+
 def ordered_members(rows: DataFrame) -> DataFrame:
     """Members numbered by path."""
     return rows.withColumn("idx", F.row_number().over(Window.partitionBy("archive").orderBy("path")) - 1)

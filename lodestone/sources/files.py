@@ -33,6 +33,11 @@ def save_state(state: DataFrame, path: str) -> None:
     state.write.mode("overwrite").json(path)
 
 
+def write_texts(rows: DataFrame, path: str) -> None:
+    """Texts as files: a folder `name=...` for each name, made where it isn't there."""
+    rows.select("name", "text").write.mode("append").partitionBy("name").text(path)
+
+
 def schema_document(df: DataFrame) -> str:
     """A table's contract, as JSON."""
     return df.schema.json()

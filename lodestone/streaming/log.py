@@ -36,6 +36,12 @@ def distinct_reads(reads: DataFrame, key: str, at: str, delay: str) -> DataFrame
     return reads.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
+def sweeps(spark: SparkSession, sweep: Callable[[int], None], seconds: int, checkpoint: str) -> StreamingQuery:
+    """Calls sweep, with the number of the tick, every so many seconds until the query is stopped; a tick waits for the one before."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, n: sweep(n)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def log_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A folder of parquet files as a growing log."""
     return spark.readStream.schema(schema).parquet(path)

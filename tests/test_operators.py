@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import io
+import time
 import zipfile
 
 import pytest
@@ -67,6 +69,27 @@ def test_archives_reject_names_that_leave_them(spark):
     assert archives.members(spark.createDataFrame([("a", bytearray(b"text")), ("b", None)], "id string, data binary"), "id", "data").collect() == []
 
 
+def test_sizes_told_without_unpacking(spark):
+    own = [("g", "tar.gz", bytearray(gzip.compress(b"x" * 70000))), ("z", "zip", bytearray(b"broken")), ("e", "tar.gz", bytearray()), ("n", "zip", None), ("b", "binary", bytearray(b"abc"))]
+    got = archives.estimated_sizes(spark.createDataFrame(own, "id string, kind string, data binary"), "id", "kind", "data")
+    assert rows(got) == [("b", 0), ("e", 0), ("g", 70000), ("n", 0), ("z", 6)]
+
+
+def test_texts_are_written_by_name(spark, tmp_path):
+    files.write_texts(spark.createDataFrame([("a", "one"), ("b", "two")], "name string, text string"), f"{tmp_path}/out")
+    assert rows(spark.read.text(f"{tmp_path}/out"), "name", "value") == [("a", "one"), ("b", "two")]
+
+
+def test_sweeps_go_on_until_stopped(spark, tmp_path):
+    seen = []
+    query = streaming.sweeps(spark, seen.append, 1, f"{tmp_path}/sweeps")
+    end = time.time() + 60
+    while len(seen) < 2 and time.time() < end:
+        time.sleep(0.2)
+    query.stop()
+    assert seen[:2] == [0, 1]
+
+
 def test_folders_and_state(spark, tmp_path):
     (tmp_path / "in/deep").mkdir(parents=True)
     (tmp_path / "in/deep/a.txt").write_text("hello")
