@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample; every vector is dealt to a leaf by greed
 descent.  A query walks the tree best bin first: a priority queue holds nodes by
 their centres' distance, and the nearest is opened next until enough leaves have
 been visited.  How many that is, is calibrated: visits widen until sample queries
-reach the wanted recall against brute force on the sample.
+reach the wanted recall against brute force on the sample.  A query whose leaves
+hold too few rows for k neighbours goes on until they do.
 
 Inner products become distances by one more component, sqrt(M^2 - |x|^2), so that
 the nearest vector has the largest inner product, whatever the norms.
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import stored
+
 LEAF_ROWS = 1024
 BLOCK_ROWS = 4096
 PACK_QUERIES = 256
@@ -117,6 +120,16 @@ def best_bins(tree: Tree, query: np.ndarray) -> Iterator[int]:
             heapq.heappush(queue, (d, child))
 
 
+def opened(tree: Tree, rows: np.ndarray, query: np.ndarray, k: int) -> Iterator[int]:
+    """The leaves that a query visits: tree.visits, and more until they hold k rows besides the query; rows are counts by leaf."""
+    held = 0
+    for visit, leaf in enumerate(best_bins(tree, query)):
+        if visit >= tree.visits and held > k:
+            return
+        held += int(rows[leaf])
+        yield leaf
+
+
 def calibrated(tree: Tree, sample: np.ndarray, k: int, recall: float, queries: int = 256) -> Tree:
     """The tree with as many leaf visits as bring sample queries to the recall, the visits widening by an eighth."""
     n_leaves = int(tree.leaf.max()) + 1
@@ -207,9 +220,13 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall:
                 rows = [r.tobytes() for r in x.astype(np.float64)]
                 yield pa.RecordBatch.from_arrays([pa.array(leaves_of(shared.value, x), pa.int32()), batch.column("vec_id"), pa.array(rows, pa.binary())], ["leaf", "vec_id", "v"])
 
-    dealt = base.select("vec_id", "embedding").dropDuplicates(["vec_id"]).mapInArrow(deal, "leaf int, vec_id bigint, v binary")
-    sizes = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    placed = dealt.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))  # a row per leaf: sample_rows / 8 at most
+    dealt = stored(base.select("vec_id", "embedding").dropDuplicates(["vec_id"]).mapInArrow(deal, "leaf int, vec_id bigint, v binary"), "dealt")
+    counts = dealt.groupBy("leaf").count().collect()  # a row per leaf: sample_rows / 8 at most
+    rows_of = np.zeros(int(tree.leaf.max()) + 1, dtype=np.int64)
+    rows_of[[r["leaf"] for r in counts]] = [r["count"] for r in counts]
+    held = spark.sparkContext.broadcast(rows_of)
+    sizes = spark.createDataFrame([(r["leaf"], -(-r["count"] // BLOCK_ROWS)) for r in counts], "leaf int, parts int")
+    placed = dealt.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
 
     def pack(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("vec_id")
@@ -224,7 +241,7 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall:
                 x, ids = matrix(batch), batch.column("vec_id").to_numpy(zero_copy_only=False)
                 asks: dict[int, list[int]] = {}
                 for i, q in enumerate(x):
-                    for _, leaf in zip(range(shared.value.visits), best_bins(shared.value, q), strict=False):
+                    for leaf in opened(shared.value, held.value, q, k):
                         asks.setdefault(leaf, []).append(i)
                 rows = [(leaf, ids[at].astype(np.int64).tobytes(), x[at].astype(np.float64).tobytes()) for leaf, at in asks.items()]
                 if rows:

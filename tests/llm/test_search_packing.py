@@ -54,6 +54,21 @@ def test_neighbours(spark, norms):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_neighbours_of_outliers_among_clusters(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    centres[-1] = -centres[:-1].sum(axis=0)
+    x = np.concatenate([centres[rng.integers(0, 20, 3000)] + 0.02 * rng.normal(size=(3000, 16)), rng.normal(size=(40, 16))])
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in nearest_neighbours(df, F.col("vec_id") >= 2950, k=20, leaf_rows=100).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert sorted(got) == list(range(2950, 3040))
+    for q, rows in got.items():
+        assert [r for r, _ in sorted(rows)] == list(range(1, 21)) and len({i for _, i in rows} - {q}) == 20
+
+
 def test_neighbours_of_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 2.0])], "vec_id bigint, embedding array<float>")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in nearest_neighbours(few, F.col("vec_id") == 0).orderBy("rank").collect()]
