@@ -16,7 +16,7 @@ from lodestone.llm.decontam import mark_contamination
 from lodestone.llm.linededup import drop_repeated_lines
 from lodestone.llm.minhash import near_duplicate_classes
 from lodestone.llm.packing import pack_sequences
-from lodestone.llm.shared import row_id, stored
+from lodestone.llm.shared import stored, told_apart
 from lodestone.llm.toxicity import score_toxicity, train_toxicity
 
 TOXIC = 0.7
@@ -61,9 +61,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that of the smallest doc_id; of rows that repeat it, one."""
-    kept = near_duplicate_classes(docs, shingle=SHINGLE, percent=PERCENT).filter("kept").select("_id")
-    held = _folded(docs).withColumn("_id", row_id())
+    """One document of each near-duplicate class, that of the smallest doc_id; of rows that repeat it and its text, one."""
+    held = told_apart(_folded(docs))
+    kept = near_duplicate_classes(held.select(F.col("_id").alias("doc_id"), "text"), shingle=SHINGLE, percent=PERCENT).filter("kept").select("_id")
     return _unfolded(held.join(kept, "_id", "left_semi").dropDuplicates(["_id"]), docs)
 
 

@@ -41,6 +41,20 @@ def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID) + F.xxhash64(text).bitwiseAND(F.lit(2**61 - 1)))
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs with _id: ordered as doc_id is, nulls first, the same for rows of equal doc_id and text, and another for other rows.
+
+    Where no doc_id has several texts, that is row_id(); else rows are numbered.
+    """
+    keyed = docs.withColumns({"_id": row_id(), "_version": F.xxhash64("text")})
+    versions = keyed.groupBy("_id").agg((F.min("_version") != F.max("_version")).alias("several"))
+    if not versions.agg(F.max("several").alias("several")).first().several:
+        return keyed.drop("_version")
+    texts = keyed.select(F.col("_id").alias("_row"), "_version").distinct().orderBy("_row", "_version")
+    numbers = stored(texts.withColumn("_id", F.monotonically_increasing_id()), "numbers")
+    return keyed.withColumnRenamed("_id", "_row").join(numbers, ["_row", "_version"]).drop("_row", "_version")
+
+
 def id_or_null(column: str | Column) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.when(c >= NULL_IDS_END, c)

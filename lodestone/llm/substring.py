@@ -19,16 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import told_apart
 from lodestone.llm.textops import NON_SPACE, blocks, mix64, runs, window_hashes, words_of
 
 #: Text bytes that a map task packs at a time.
 CHUNK_BYTES = 4 << 20
 #: Super-k-mers that a bucket's task unpacks at a time.
 PIECE = 8192
-NULL_ID = -(2**63)
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _OUT = "bucket int, strings binary, ids binary, starts binary, marks binary"
 
@@ -176,10 +176,6 @@ def repeated_windows(docs: DataFrame, window: int = 20, mer: int = 3, buckets: i
     return shipped.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(marked, "_id bigint, lo int, hi int")
 
 
-def _id() -> Column:
-    return F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).cast("long")
-
-
 def remove_repeated_substrings(docs: DataFrame, window: int = 20, mer: int = 3, buckets: int | None = None) -> DataFrame:
     """Removes each word covered by a window whose word sequence also starts earlier.
 
@@ -189,13 +185,15 @@ def remove_repeated_substrings(docs: DataFrame, window: int = 20, mer: int = 3,
 
     Returns doc_id, `text` (the words that stay, joined by one space), n_words,
     n_removed for each row of docs.  Null and empty texts have no words.  A null
-    doc_id counts as the smallest.  Rows that repeat a doc_id must hold the same
-    text; each is returned, and they do not count as copies of each other.
+    doc_id counts as the smallest.  Rows that repeat a doc_id and its text are each
+    returned and do not count as copies of each other; rows of one doc_id, or of
+    none, with different texts are different documents, in an order by their texts'
+    hashes.
     Other columns of docs are not read.
     """
     if not 1 <= mer <= window:
         raise ValueError("mer must be from 1 to window")
-    keyed = docs.select(_id().alias("_id"), "doc_id", "text")
+    keyed = told_apart(docs.select("doc_id", "text"))
     spans = repeated_windows(keyed, window, mer, buckets).groupBy("_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")).withColumnRenamed("_id", "_marked")
     joined = keyed.join(spans, keyed["_id"] == spans["_marked"], "left").select("doc_id", "text", "lo", "hi")
 

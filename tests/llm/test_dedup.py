@@ -158,3 +158,22 @@ def test_substrings(spark, k, mer):
     got = remove_repeated_substrings(frame(spark, rows).repartition(3), window=k, mer=mer)
     assert sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in got.collect()), key=str) == substrings_by_hand(rows, k)
     assert remove_repeated_substrings(frame(spark, [])).collect() == []
+
+
+def test_substrings_of_documents_without_an_id_or_with_a_repeated_one(spark):
+    rng = random.Random(9)
+    passage = words(rng, 12)
+    texts = {
+        0: [words(rng, 3) + passage, words(rng, 40) + passage + words(rng, 5), words(rng, 30), passage + words(rng, 2)],
+        1: [words(rng, 20) + passage, words(rng, 25), words(rng, 2) + passage],
+        2: [words(rng, 9) + passage],
+    }
+    ids = {0: None, 1: 1, 2: 2}
+    rows = [(ids[i], " ".join(own)) for i, several in texts.items() for own in several]
+    got = sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in remove_repeated_substrings(frame(spark, [*rows, rows[1]]).repartition(3), window=8).collect()), key=str)
+    first = [r[:3] for r in got if r[3] == 0]  # of documents that hold the passage, the one without an id that comes first keeps it
+    holders = [(i, t) for i, t in rows if " ".join(passage) in t]
+    kept = [(i, t) for i, t in holders if (i, t, len(t.split())) in first]
+    assert len(set(kept)) == 1 and kept[0][0] is None
+    want = [(i, t if (i, t) == kept[0] else t.replace(" ".join(passage), "").replace("  ", " ").strip(), len(t.split()), 12 if (i, t) in holders and (i, t) != kept[0] else 0) for i, t in [*rows, rows[1]]]
+    assert got == sorted(want, key=str)

@@ -78,3 +78,12 @@ def test_stages_keep_the_columns(spark, tables):
         assert out.count() > 0 and stage(spark, docs.filter("false"), tables[0]).count() == 0
         assert {r._score for r in out.select("_score").collect()} <= {"src", None}
     assert corpus_pipeline.STAGES[-1][1](spark, docs.filter("false"), tables[0]).count() == 0
+
+
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(10)
+    a, b, c = (" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (7, a + " edit"), (8, b + " edit"), (None, c), (9, c + " edit"), (3, b + " other")]
+    docs = spark.createDataFrame([(i, t, "en", 0) for i, t in rows], "doc_id bigint, text string, lang string, n_chars bigint")
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("5", a), ("None", c), ("3", b + " other")])
