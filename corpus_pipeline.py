@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.decontam import mark_contamination
 from lodestone.llm.linededup import drop_repeated_lines
 from lodestone.llm.minhash import near_duplicate_classes
-from lodestone.llm.packing import pack_sequences
+from lodestone.llm.packing import added_tokens, pack_sequences
 from lodestone.llm.shared import stored, told_apart
 from lodestone.llm.toxicity import score_toxicity, train_toxicity
 
@@ -75,7 +75,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, packed into sequences: a row per piece."""
-    return pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    specials = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special_tokens=specials)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -17,9 +17,10 @@ holds no more than its open sequences.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from pathlib import Path
 from typing import NamedTuple
 
@@ -129,23 +130,33 @@ def powers_of_two(pieces: list[Piece]) -> Iterator[list[Piece]]:
 
 
 @lru_cache(maxsize=2)
-def encoder(ranks_path: str, pattern: str) -> tiktoken.Encoding:
-    """A byte-level BPE; special strings in a text are ordinary text."""
+def encoder(ranks_path: str, pattern: str, special_tokens: tuple[tuple[str, int], ...] = ()) -> tiktoken.Encoding:
+    """A byte-level BPE; strings of special tokens in a text are those tokens, whatever surrounds them."""
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks_path).read_bytes().splitlines())}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special_tokens))
+
+
+def added_tokens(json_path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a vocabulary in the form of `tokenizers`, with their ids."""
+    added = json.loads(Path(json_path).read_text())["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
+        raise ValueError("added tokens must be matched as they are")
+    return tuple((t["content"], t["id"]) for t in added)
 
 
 OUT = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _NAMES = [x.split()[0] for x in OUT.split(", ")]
 
 
-def pack_sequences(docs: DataFrame, ranks_path: str, pattern: str, limits: Limits = Limits(), open_most: int = 64, with_ids: bool = False, loss_mask: str | None = None) -> DataFrame:
+def pack_sequences(docs: DataFrame, ranks_path: str, pattern: str, limits: Limits = Limits(), open_most: int = 64, with_ids: bool = False, loss_mask: str | None = None, special_tokens: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """Packs the token ids of docs, each document's followed by id 0, into sequences.
 
     `ranks_path` names a byte-level BPE's ranks (base64 token and rank a line) and
     `pattern` its pre-token pattern; every executor has the file at that path.
     `loss_mask` names a column array<boolean> that tells which ids bear loss (by
     position; positions beyond its end bear loss); by default all do.
+    `special_tokens` are strings with their ids that a text may hold as tokens
+    (see added_tokens); by default such strings are ordinary text.
 
     Returns a row per piece: doc_id, start (its document's ids before it), length,
     ids_crc32 (of the ids as little-endian unsigned 32-bit integers), doc_tokens
@@ -158,7 +169,8 @@ def pack_sequences(docs: DataFrame, ranks_path: str, pattern: str, limits: Limit
         raise ValueError("limits must be positive")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern).encode_ordinary
+        encoding = encoder(ranks_path, pattern, special_tokens)
+        encode = partial(encoding.encode, allowed_special="all") if special_tokens else encoding.encode_ordinary
         packer, number = Packer(limits, open_most), TaskContext.get().partitionId() << 33
         held: dict[int, list] = {}  # documents with pieces in open sequences: doc_id, ids as bytes, tokens, tokens not yet written
         rows: list[tuple] = []

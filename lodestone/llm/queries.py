@@ -13,7 +13,7 @@ from lodestone.llm.langid import predict_languages, train_languages
 from lodestone.llm.linededup import drop_repeated_lines
 from lodestone.llm.minhash import near_duplicate_classes
 from lodestone.llm.ngramlm import language_model_scores
-from lodestone.llm.packing import pack_sequences
+from lodestone.llm.packing import added_tokens, pack_sequences
 from lodestone.llm.quality import score_quality, train_quality
 from lodestone.llm.substring import remove_repeated_substrings
 from lodestone.llm.toxicity import score_toxicity, train_toxicity
@@ -63,7 +63,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    specials = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special_tokens=specials)
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

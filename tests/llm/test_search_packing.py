@@ -11,9 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lodestone.llm.ann import nearest_neighbours
 from lodestone.llm.decontam import mark_contamination, remove_spans
 from lodestone.llm.packing import Limits, pack_sequences
+from lodestone.llm.queries import op6_packing
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -167,3 +169,20 @@ def test_packing_under_three_limits(spark):
     check_packing(rows, docs, limits, masks)
     again = pack_sequences(df, RANKS, public_tokenizers.PATTERN, limits, open_most=6, with_ids=True).collect()
     assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32 for r in again)
+
+
+def test_added_tokens_in_texts_are_tokens_as_in_the_vocabulary(spark, tmp_path):
+    rng = random.Random(8)
+    parts = ["alpha", " ", "\n\n", "<|endoftext|>", "<|endof", "|>", "'s", "日本", "7"]
+    docs = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(30)))) for i in range(60)] + [(60, "a <|endoftext|> b")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*encode.encode(t, add_special_tokens=False).ids, 0] for i, t in docs}
+    assert want[60] == [64, 220, 50256, 275, 0]
+    for got in (op6_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))):
+        at = dict.fromkeys(want, 0)
+        for r in got.orderBy("doc_id", "start").collect():
+            assert r.start == at[r.doc_id] and r.doc_tokens == len(want[r.doc_id])
+            assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], dtype="<u4").tobytes())
+            at[r.doc_id] += r.length
+        assert at == {i: len(x) for i, x in want.items()}
