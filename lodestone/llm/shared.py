@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def fitted(sample: DataFrame, order: list[str], fit: Callable[[Iterator[pa.RecordBatch]], bytes]) -> bytes | None:
+    """What fit makes of a sample of bounded size, sorted by order, in one executor task; None for no rows.
+
+    Only the model, not the sample, comes to the driver, and a lost executor costs one more try.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (model := fit(batches)) is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    rows = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").collect()
+    return bytes(rows[0].model) if rows else None
+
+
 def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
     """doc_id, or for null a number below all ids that depends on the text alone."""
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID) + F.xxhash64(text).bitwiseAND(F.lit(2**61 - 1)))

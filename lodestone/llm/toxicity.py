@@ -7,12 +7,14 @@ occurs three times or more, is a further feature each, so that repeated use coun
 with per-coordinate rates; L1 keeps most of them at exactly zero, so the model is
 a short list of slots and weights that is broadcast to the scoring tasks.
 
-Learning takes a bounded sample (`train_docs` documents at most, as the parameter
-says), chosen by a hash of the id; scoring reads every whole text.
+Learning takes a bounded sample (`train_docs` documents and `train_features` features
+at most, as the parameters say), chosen by a hash of the id; it runs in one executor
+task, and only the weights come to the driver.  Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import fitted
 from lodestone.llm.textops import ALNUM, blocks, mix64, words_of
 
 SLOT_BITS = 20
@@ -83,9 +86,8 @@ def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float, beta: float, l1:
             n[slots] = own + g * g
             bias_z += g - (np.sqrt(bias_n + g * g) - np.sqrt(bias_n)) / alpha * bias
             bias_n += g * g
-    w = weight(z, n)
-    kept = np.flatnonzero(w)
-    return Model(float(-bias_z / ((beta + np.sqrt(bias_n)) / alpha + l2)), kept.astype(np.int32), w[kept].astype(np.float32))
+    kept = np.flatnonzero(np.abs(z) > l1)
+    return Model(float(-bias_z / ((beta + np.sqrt(bias_n)) / alpha + l2)), kept.astype(np.int32), weight(z[kept], n[kept]).astype(np.float32))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
@@ -101,12 +103,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return taken.join(known, taken["doc_id"] == known["_labelled"]).select("text", "label")
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 8000, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, epochs: int = 6) -> Model:
+def train_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 8000, train_features: int = 1 << 25, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, epochs: int = 6) -> Model:
     """Fits the model on at most about train_docs of the docs that labels.toxic marks.
 
-    The features of the sample, but no texts, come to the driver: train_docs times
-    the distinct n-grams of a document, 4 bytes each.  Without usable labels the
-    model gives 0.5 everywhere.
+    Documents are taken in an order by a hash of their features for as long as they
+    have no more than train_features in all, 4 bytes each.  Without usable labels
+    the model gives 0.5 everywhere.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +119,20 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 8000, a
             rows = [leveled(own).tobytes() for own in np.split(slot, end[:-1])]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("label")], ["slots", "label"])
 
-    rows = labelled_sample(docs, labels, "toxic", train_docs).mapInArrow(encode, "slots binary, label int").collect()
-    examples = sorted((bytes(r.slots), int(r.label > 0)) for r in rows)
-    return ftrl([(np.frombuffer(s, dtype=np.int32), y) for s, y in examples], alpha, beta, l1, l2, epochs)
+    def learn(batches: Iterator[pa.RecordBatch]) -> bytes | None:
+        examples, left = [], train_features
+        for batch in batches:
+            for slots, label in zip(batch.column("slots"), batch.column("label").to_pylist(), strict=True):
+                own = np.frombuffer(slots.as_buffer(), dtype=np.int32)
+                left -= len(own)
+                if left < 0:
+                    break
+                examples.append((own, int(label > 0)))
+        return pickle.dumps(ftrl(examples, alpha, beta, l1, l2, epochs)) if examples else None
+
+    sample = labelled_sample(docs, labels, "toxic", train_docs).mapInArrow(encode, "slots binary, label int").withColumn("at", F.xxhash64("slots"))
+    model = fitted(sample, ["at", "slots", "label"], learn)
+    return pickle.loads(model) if model else ftrl([], alpha, beta, l1, l2, epochs)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
