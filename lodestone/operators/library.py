@@ -63,11 +63,17 @@ def stale_paths(recorded: DataFrame, desired: DataFrame) -> DataFrame:
 
 
 def duplicate_paths(entries: DataFrame) -> DataFrame:
-    """Entries (path, media, ord, variants) that an earlier one of the same path and media overlaps: no variants, or shared ones."""
-    w = Window.partitionBy("path", "media").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    before = entries.withColumns({"_any": F.max(F.size("variants") == 0).over(w), "_all": F.flatten(F.collect_list("variants").over(w)), "_n": F.count("*").over(w)})
-    clash = F.coalesce("_any", F.lit(False)) | ((F.size("variants") == 0) & (F.col("_n") > 0)) | F.arrays_overlap("variants", "_all")
-    return before.filter(clash).drop("_any", "_all", "_n")
+    """Entries (path, media, ord, variants) that an earlier one of the same path and media overlaps: no variants, or shared ones.
+
+    The first entry of each path and media, and of each of its variants, tells; ord is unique in them.
+    """
+    key = ["path", "media"]
+    first = entries.groupBy(*key).agg(F.min("ord").alias("_first"), F.min(F.when(F.size("variants") == 0, F.col("ord"))).alias("_empty"))
+    each = entries.select(*key, "ord", F.explode(F.array_distinct("variants")).alias("_v"))
+    made = each.groupBy(*key, "_v").agg(F.min("ord").alias("_made"))
+    shared = each.join(made, [*key, "_v"]).filter(F.col("_made") < F.col("ord")).select(*key, "ord", F.lit(True).alias("_shared")).distinct()
+    clash = F.coalesce(F.col("_empty") < F.col("ord"), F.lit(False)) | ((F.size("variants") == 0) & (F.col("_first") < F.col("ord"))) | F.coalesce("_shared", F.lit(False))
+    return entries.join(first, key).join(shared, [*key, "ord"], "left").filter(clash).select(*entries.columns)
 
 
 def resolved_variants(wanted: DataFrame, stored_: DataFrame, produced: DataFrame, live: DataFrame) -> DataFrame:
@@ -99,10 +105,13 @@ def invalid_sources(steps: DataFrame) -> DataFrame:
 
     The first step ingests, no other does, and inputs are outputs of earlier steps.
     """
-    w = Window.partitionBy("media").orderBy("ord")
-    seen = steps.withColumns({"_n": F.row_number().over(w), "_before": F.flatten(F.collect_list("outputs").over(w.rowsBetween(Window.unboundedPreceding, -1)))})
-    problem = F.when((F.col("_n") == 1) & ~F.col("ingest"), "first step must ingest").when((F.col("_n") > 1) & F.col("ingest"), "only the first step ingests").when((F.col("_n") > 1) & (F.size(F.array_except("inputs", "_before")) > 0), "unknown input")
-    return seen.select("media", "ord", problem.alias("problem")).filter("problem is not null")
+    first = steps.groupBy("media").agg(F.min("ord").alias("_first"))
+    made = steps.select("media", "ord", F.explode("outputs").alias("_v")).groupBy("media", "_v").agg(F.min("ord").alias("_made"))
+    used = steps.select("media", "ord", F.explode(F.array_distinct("inputs")).alias("_v"))
+    unknown = used.join(made, ["media", "_v"], "left").filter(F.col("_made").isNull() | (F.col("_made") >= F.col("ord"))).select("media", "ord", F.lit(True).alias("_unknown")).distinct()
+    later = F.col("ord") > F.col("_first")
+    problem = F.when(~later & ~F.col("ingest"), "first step must ingest").when(later & F.col("ingest"), "only the first step ingests").when(later & F.col("_unknown"), "unknown input")
+    return steps.join(first, "media").join(unknown, ["media", "ord"], "left").select("media", "ord", problem.alias("problem")).filter("problem is not null")
 
 
 def hierarchy_problems(nodes: DataFrame, media: DataFrame) -> DataFrame:

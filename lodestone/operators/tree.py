@@ -1,10 +1,16 @@
-"""Trees and chains as parent tables, followed by recursive queries."""
+"""Trees and chains as parent tables.
+
+Trees are walked upwards by doubling: each round a node's pointer jumps as far again
+as it has come, so a tree of any depth takes as many rounds as its depth has bits.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.rounds import cut
+
 
 def _recursive(frames: dict[str, DataFrame], sql: str) -> DataFrame:
     spark = next(iter(frames.values())).sparkSession
@@ -39,28 +45,53 @@ def after_delete(objects: DataFrame, deleted: DataFrame) -> DataFrame:
     return marked.select("hash", F.when(F.col("_g").isNull(), F.col("base_hash")).alias("base_hash"))
 
 
+def _doubled(rows: DataFrame, values: dict[str, Column], done: Column) -> DataFrame:
+    """Rows (node_id, up, ...) after their pointers have jumped until they are null, are done, or go on for ever.
+
+    values tells a row's columns from its own and, with a prefix `u_`, those of the row
+    that it points to.  A pointer to a row that doesn't exist stays.  Each round the
+    open rows grow fewer, unless all that is left is on a cycle or behind one.
+    """
+    names = ["node_id", "up", *values]
+    before, rows = -1, cut(rows.select(*names))
+    while True:
+        open_ = F.col("up").isNotNull() & ~done
+        left = rows.filter(open_).count()
+        if left in (0, before):
+            return rows
+        above = rows.select(F.col("node_id").alias("up"), *[F.col(c).alias(f"u_{c}") for c in ["up", *values]], F.lit(True).alias("u_known"))
+        met = rows.filter(open_).join(above, "up", "left")
+        moved = {"up": F.when(F.col("u_known"), F.col("u_up")).otherwise(F.col("up"))} | {c: F.when(F.col("u_known"), v).otherwise(F.col(c)) for c, v in values.items()}
+        after = met.select("node_id", *[v.alias(c) for c, v in moved.items()])
+        before, rows = left, cut(rows.filter(~open_).union(after), rows)
+
+
 def flattened(nodes: DataFrame) -> DataFrame:
-    """Every node's path and what it inherits, in pre-order: node_id, path, depth, sanitize, place.
+    """Every node's path and what it inherits: node_id, path, depth, sanitize, place.
 
-    nodes(node_id, parent_id, ord, name, sanitize); a null sanitize is inherited.
-    `place` sorts nodes in pre-order.
+    nodes(node_id, parent_id, ord, name, sanitize) with unique node_ids; a null
+    sanitize is inherited.  `place` sorts nodes in pre-order.  All but node_id are
+    null for nodes on a cycle, behind one, or under a parent that doesn't exist.
     """
-    sql = """
-    WITH RECURSIVE t(node_id, path, depth, sanitize, place) AS (
-      SELECT node_id, name, 0, coalesce(sanitize, 'default'), lpad(cast(ord AS string), 8, '0') FROM {nodes} WHERE parent_id IS NULL
-      UNION ALL
-      SELECT n.node_id, concat(t.path, '/', n.name), t.depth + 1, coalesce(n.sanitize, t.sanitize), concat(t.place, '.', lpad(cast(n.ord AS string), 8, '0'))
-      FROM t JOIN {nodes} n ON n.parent_id = t.node_id)
-    SELECT node_id, path, cast(depth AS bigint) AS depth, sanitize, place FROM t"""
-    return _recursive({"nodes": nodes}, sql)
+    digits = F.col("ord").cast("string")
+    place = F.when(F.length(digits) <= 8, F.lpad(digits, 8, "0")).otherwise(F.concat(F.lit(":"), F.lpad(digits, 19, "0")))  # a colon sorts behind digits
+    own = nodes.select("node_id", F.col("parent_id").alias("up"), F.col("name").alias("path"), F.lit(0).cast("long").alias("depth"), "sanitize", place.alias("place"))
+    values = {
+        "path": F.concat("u_path", F.lit("/"), "path"),
+        "depth": F.col("u_depth") + F.col("depth") + 1,
+        "sanitize": F.coalesce("sanitize", "u_sanitize"),
+        "place": F.concat("u_place", F.lit("."), "place"),
+    }
+    told = _doubled(own, values, F.lit(False)).withColumn("sanitize", F.coalesce("sanitize", F.lit("default")))
+    return told.select("node_id", *[F.when(F.col("up").isNull(), F.col(c)).alias(c) for c in values])
 
 
 def below(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """The ids of roots and of everything under them."""
-    sql = """
-    WITH RECURSIVE t(node_id) AS (SELECT node_id FROM {roots} UNION ALL SELECT n.node_id FROM t JOIN {nodes} n ON n.parent_id = t.node_id)
-    SELECT DISTINCT node_id FROM t"""
-    return _recursive({"nodes": nodes.select("node_id", "parent_id"), "roots": roots.select("node_id")}, sql)
+    """The ids of roots and of everything under them; a cycle that a root is on, or above, is under it as a whole."""
+    hit = roots.select("node_id", F.lit(True).alias("hit")).distinct()
+    marked = nodes.select("node_id", "parent_id").join(hit, "node_id", "left").select("node_id", F.col("parent_id").alias("up"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    found = _doubled(marked, {"hit": F.col("hit") | F.col("u_hit")}, F.col("hit")).filter("hit")
+    return found.select("node_id").union(roots.select("node_id")).distinct()
 
 
 def removed_deep(nodes: DataFrame, condition: Column) -> DataFrame:

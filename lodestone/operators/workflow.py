@@ -2,47 +2,88 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter, defaultdict
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-STEP_OUTPUT = r"\$\{step_output\.([^.}]+)\.([^}:]+)(?::zip\(([^)/\\]+)\))?\}"
+from lodestone.operators.rounds import Growing, cut
+
+#: `${step_output.step.output:selector(argument)...}`, with the selectors zip, file and folder in any order and number.
+STEP_OUTPUT = r"\$\{step_output\.[^.}]+\.[^}:]+(?::(?:zip|file|folder)\([^)]*\))*\}"
 EXTERNAL_DATA = r"\$\{external_data\.([^}]+)\}"
 SAVE_MODES = ("false", "true", "full")
 
 
-def topological_levels(steps: DataFrame, dependencies: DataFrame, rounds: int = 1000) -> DataFrame:
+def topological_levels(steps: DataFrame, dependencies: DataFrame, rest_rows: int = 1 << 20) -> DataFrame:
     """The level of each step: 0 without dependencies, else one more than the highest of them.
 
-    steps(wf, step), dependencies(wf, step, needs).  Each round settles a level of
-    all workflows at once and drops the dependencies on it, so rounds shrink; what is
-    left is checkpointed where a folder is set, so plans don't grow.  Returns wf,
-    step, level; level is null for steps on a cycle or behind one, or behind a step
-    that doesn't exist.
+    steps(wf, step), dependencies(wf, step, needs).  While more than rest_rows
+    dependencies are open, a round settles a level of all workflows at once and drops
+    the dependencies on it.  The rest, which rest_rows bounds, is settled to the end
+    workflow by workflow, however deep it is.  Returns wf, step, level; level is null
+    for steps on a cycle or behind one, or behind a step that doesn't exist.
     """
-    open_, waits, settled = steps.select("wf", "step"), dependencies.select("wf", "step", "needs"), []
-    for level in range(rounds):
-        ready = _cut(open_.join(waits.select("wf", "step"), ["wf", "step"], "left_anti"))
+    open_, waits = steps.select("wf", "step"), dependencies.select("wf", "step", "needs").distinct()
+    settled, level = Growing(), 0
+    while waits.count() > rest_rows:
+        ready = cut(open_.join(waits.select("wf", "step"), ["wf", "step"], "left_anti"))
         if ready.isEmpty():
             break
-        settled.append(ready.select("wf", "step", F.lit(level).cast("long").alias("level")))
-        waits = _cut(waits.join(ready.withColumnRenamed("step", "needs"), ["wf", "needs"], "left_anti"))
-        open_ = _cut(open_.join(ready, ["wf", "step"], "left_anti"))
-    return reduce(DataFrame.union, settled, open_.select("wf", "step", F.lit(None).cast("long").alias("level")))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.cache()
+        settled.add(ready.select("wf", "step", F.lit(level).cast("long").alias("level")))
+        waits = cut(waits.join(ready.withColumnRenamed("step", "needs"), ["wf", "needs"], "left_anti").select("wf", "step", "needs"), waits)
+        open_ = cut(open_.join(ready, ["wf", "step"], "left_anti"), open_)
+        level += 1
+    else:
+        free = open_.join(waits.select("wf", "step"), ["wf", "step"], "left_anti").select("wf", "step", F.lit(level).cast("long").alias("level"))
+        known = open_.select("wf", F.col("step").alias("needs"), F.lit(True).alias("known")).distinct()
+        told = waits.join(known, ["wf", "needs"], "left").groupBy("wf").applyInPandas(_settled, StructType([open_.schema["wf"], open_.schema["step"], StructField("ahead", LongType())]))
+        behind = open_.join(waits.select("wf", "step").distinct(), ["wf", "step"], "left_semi").join(told, ["wf", "step"], "left")
+        return settled.union(free.union(behind.select("wf", "step", (F.col("ahead") + level).alias("level"))))
+    return settled.union(open_.select("wf", "step", F.lit(None).cast("long").alias("level")))
+
+
+def _settled(own: pd.DataFrame) -> pd.DataFrame:
+    """How many levels each waiting step of one workflow is above the steps that don't wait; null if it never settles."""
+    needed_by, left = defaultdict(list), Counter(own["step"])
+    for step, needs in zip(own["step"], own["needs"], strict=True):
+        needed_by[needs].append(step)
+    ahead: dict = dict.fromkeys(left)
+    now = [x for x in own.loc[own["known"].eq(True), "needs"].unique() if x not in left]
+    depth = 0
+    while now:
+        depth, after = depth + 1, []
+        for step in (s for x in now for s in needed_by[x]):
+            left[step] -= 1
+            if not left[step]:
+                ahead[step] = depth
+                after.append(step)
+        now = after
+    return pd.DataFrame({"wf": own["wf"].iloc[0], "step": list(ahead), "ahead": pd.array(list(ahead.values()), dtype="Int64")})
+
+
+def selectors(chain: Column) -> Column:
+    """The selectors of a text such as `:zip(m):file(p)`, in order: array of kind and argument."""
+    each = F.regexp_extract_all(chain, F.lit(r":(?:zip|file|folder)\([^)]*\)"), F.lit(0))
+    return F.transform(each, lambda x: F.struct(F.substring_index(F.substr(x, F.lit(2)), "(", 1).alias("kind"), F.regexp_extract(x, r"\(([^)]*)\)$", 1).alias("argument")))
 
 
 def step_references(templates: DataFrame, column: str) -> DataFrame:
-    """All `${step_output.step.output[:zip(member)]}` of a text column: the other columns, step, output, member."""
+    """All `${step_output.step.output[:selectors]}` of a text column: the other columns, step, output, member, chain.
+
+    member is the argument of a leading zip; chain is the selectors' text, for selectors().
+    A template is searched once; a reference is cut at its first two dots and its first colon.
+    """
     found = F.regexp_extract_all(F.col(column), F.lit(STEP_OUTPUT), F.lit(0))
-    part = lambda i: F.nullif(F.regexp_extract("ref", STEP_OUTPUT, i), F.lit(""))
-    return templates.withColumn("ref", F.explode(found)).select(*[c for c in templates.columns if c != column], part(1).alias("step"), part(2).alias("output"), part(3).alias("member"))
+    inner = F.substr("ref", F.lit(3), F.length("ref") - 3)
+    rest = F.substr(inner, F.length(F.substring_index(inner, ".", 2)) + 2)
+    output = F.substring_index(rest, ":", 1)
+    chain = F.substr(rest, F.length(output) + 1)
+    member = F.when(chain.startswith(":zip("), F.nullif(F.substring_index(F.substr(chain, F.lit(6)), ")", 1), F.lit("")))
+    others = [c for c in templates.columns if c != column]
+    return templates.withColumn("ref", F.explode(found)).select(*others, F.split_part(inner, F.lit("."), F.lit(2)).alias("step"), output.alias("output"), member.alias("member"), chain.alias("chain"))
 
 
 def required_outputs(steps: DataFrame, references: DataFrame, declared: DataFrame | None = None) -> DataFrame:
@@ -97,13 +138,15 @@ def matched_instances(steps: DataFrame, instances: DataFrame) -> DataFrame:
     Relaxed takes, among instances of the tool with all required outputs, the one
     with the fewest outputs, then the newest, then the larger key.
     """
-    fits = instances.select(F.col("tool").alias("tool"), F.col("key").alias("ikey"), "outputs", "executed_at")
-    strict = steps.join(fits.drop("tool").withColumnRenamed("ikey", "key"), "key").filter(has_outputs(F.col("outputs"), F.col("required"))).select("step", F.col("key").alias("instance"), F.lit("strict").alias("how"))
-    open_ = steps.join(strict, "step", "left_anti")
-    candidates = open_.join(fits, "tool").filter(has_outputs(F.col("outputs"), F.col("required")))
-    rank = F.struct((-F.size("outputs")).alias("n"), "executed_at", "ikey")
-    relaxed = candidates.groupBy("step").agg(F.max_by("ikey", rank).alias("instance")).select("step", "instance", F.lit("relaxed").alias("how"))
-    return strict.union(relaxed)
+    fits = instances.select("tool", F.col("key").alias("ikey"), "outputs", "executed_at")
+    strict = steps.join(fits.select(F.col("ikey").alias("key"), "outputs"), "key").filter(has_outputs(F.col("outputs"), F.col("required"))).select("step", F.col("key").alias("instance"), F.lit("strict").alias("how"))
+    open_ = steps.join(strict, "step", "left_anti").withColumn("required", F.array_sort("required"))
+    # of instances with the same outputs only the best can win, and steps with the same needs share it: kinds meet kinds, not rows rows
+    kinds = fits.groupBy("tool", F.array_sort("outputs").alias("outputs")).agg(F.max(F.struct("executed_at", "ikey")).alias("best"))
+    needs = open_.select("tool", "required").distinct()
+    rank = F.struct((-F.size("outputs")).alias("n"), "best.executed_at", "best.ikey")
+    met = needs.join(kinds, "tool").filter(has_outputs(F.col("outputs"), F.col("required"))).groupBy("tool", "required").agg(F.max_by("best.ikey", rank).alias("instance"))
+    return strict.union(open_.join(met, ["tool", "required"]).select("step", "instance", F.lit("relaxed").alias("how")))
 
 
 def merged_persistence(policies: DataFrame, group: str) -> DataFrame:
