@@ -99,3 +99,53 @@ def flattened(document: Column) -> Column:
 def resolved_value(candidates: list[Column]) -> Column:
     """The first candidate that is neither null nor blank."""
     return F.coalesce(*[F.when(F.trim(c) != "", c) for c in candidates])
+
+
+#: Further tags and the flattened entries that fill them, where there is one and the tag isn't set yet.
+FURTHER_TAGS = {
+    "albumartistsort": "musicbrainz_release_artist_credit_0_artist_sort_name",
+    "artistsort": "musicbrainz_recording_artist_credit_0_artist_sort_name",
+    "artistcredit": "artist",
+    "albumartistcredit": "albumartist",
+    "releasestatus": "musicbrainz_release_status",
+    "releasetype": "musicbrainz_release_release_group_primary_type",
+    "secondaryreleasetype": "musicbrainz_release_release_group_secondary_types",
+    "primaryreleasetype": "musicbrainz_release_release_group_primary_type",
+    "releasegroup": "musicbrainz_release_release_group_title",
+    "musicbrainz_releasegroupid": "musicbrainz_release_release_group_id",
+    "musicbrainz_artistid": "musicbrainz_recording_artist_credit_0_artist_id",
+    "musicbrainz_albumartistid": "musicbrainz_release_artist_credit_0_artist_id",
+    "recordingtitle": "musicbrainz_recording_title",
+    "recordingcomment": "musicbrainz_recording_disambiguation",
+    "releasecomment": "musicbrainz_release_disambiguation",
+    "releasegroupcomment": "musicbrainz_release_release_group_disambiguation",
+    "releaselanguage": "musicbrainz_release_text_representation_language",
+    "script": "musicbrainz_release_text_representation_script",
+    "releaseannotation": "musicbrainz_release_annotation",
+    "recordingannotation": "musicbrainz_recording_annotation",
+    "releasedate": "date",
+    "releasecountry": "musicbrainz_release_country",
+    "media": "musicbrainz_release_media_0_format",
+    "asin": "musicbrainz_release_asin",
+}
+
+
+def bounded_value(value: Column) -> Column:
+    """A value as it is up to MOST_CHARS bytes of UTF-8, else its first MOST_CHARS characters."""
+    return F.when(F.octet_length(value) <= MOST_CHARS, value).otherwise(F.substring(value, 1, MOST_CHARS))
+
+
+def tag_map(known: dict[str, Column], flat: Column | None = None) -> Column:
+    """A map of tags: the known ones that aren't null, and FURTHER_TAGS from them or from a map of flattened entries.
+
+    A further tag is set where no known one has its name and its value isn't blank; it is bounded.
+    """
+    none = F.lit(None).cast("string")
+    tags = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*known.values())), lambda _, v: v.isNotNull())
+    if flat is None:
+        return tags
+    source = lambda key: F.coalesce(known.get(key, none), F.element_at(flat, key))
+    more = {tag: bounded_value(F.when(F.trim(source(key)) != "", source(key))) for tag, key in FURTHER_TAGS.items()}
+    names = F.array(*map(F.lit, more))
+    further = F.map_filter(F.map_from_arrays(names, F.array(*more.values())), lambda k, v: v.isNotNull() & ~F.array_contains(F.map_keys(tags), k))
+    return F.map_concat(tags, further)

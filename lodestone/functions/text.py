@@ -277,3 +277,14 @@ def os_selector(choices: list[tuple[str, str]]) -> str:
     for name, value in reversed(choices[:-1]):
         out = f'${{context.os == "{name}" ? {value} : {out}}}'
     return out
+
+
+def argument_problem(given: Column, known: list[str], required: list[str], non_empty: list[str], context: str) -> Column:
+    """The first rule that a map of arguments breaks, null if none: unknown keys, then missing ones, then blank ones."""
+    unknown = F.array_sort(F.array_except(F.map_keys(given), F.array(*map(F.lit, known)).cast("array<string>")))
+    problem = F.when(F.size(unknown) > 0, F.concat(F.lit(f"{context} does not accept arg '"), F.get(unknown, F.lit(0)), F.lit("'")))
+    for key in [*required, *non_empty]:
+        problem = problem.when(~F.map_contains_key(given, key), f"{context} requires '{key}'")
+        if key in non_empty:
+            problem = problem.when(F.trim(F.element_at(given, key)) == "", f"{context} requires non-empty '{key}'")
+    return problem

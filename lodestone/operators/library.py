@@ -273,3 +273,24 @@ def embedded_covers(images: DataFrame, only_front: bool) -> DataFrame:
         return images
     front = images.filter("front").groupBy("group").agg(F.min("ord").alias("ord"))
     return images.join(front, ["group", "ord"], "left_semi")
+
+
+def normalized_media(media: DataFrame, texts: list[str]) -> DataFrame:
+    """Media with their texts trimmed."""
+    return media.withColumns({c: F.trim(c) for c in texts})
+
+
+def normalized_tools(tools: DataFrame) -> DataFrame:
+    """Tools without those that ask for the latest version and have no dependencies: they say nothing."""
+    return tools.filter((F.col("version") != "latest") | (F.size("dependencies") > 0))
+
+
+def normalized_files(files: DataFrame) -> DataFrame:
+    """File records whose path, media and hash aren't blank."""
+    return files.filter((F.trim("path") != "") & (F.trim("media") != "") & (F.trim("hash") != ""))
+
+
+def merged_outputs(tools: DataFrame, steps: DataFrame) -> DataFrame:
+    """Output specs of each step (step, name, spec): the tool's, each overridden by the step's own of that name."""
+    both = tools.select("step", "name", F.col("spec").alias("t")).join(steps.select("step", "name", F.col("spec").alias("s")), ["step", "name"], "full")
+    return both.select("step", "name", F.coalesce("s", "t").alias("spec"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.rounds import cut
+
 PUTS = ("put", "put_large")
 
 
@@ -84,3 +86,23 @@ def longest_of_overlapping(segments: DataFrame, part: str) -> DataFrame:
     clusters = segments.withColumn("_b", begins).withColumn("cluster", F.sum("_b").over(w))
     best = F.max_by(F.struct("id", "first_pos", "last_pos"), F.struct((F.col("last_pos") - F.col("first_pos")).alias("n"), (-F.col("id")).alias("i"))).alias("s")
     return clusters.groupBy(part, "cluster").agg(best, F.count("*").alias("overlapping")).select(part, F.col("cluster").cast("long").alias("cluster"), "s.id", "s.first_pos", "s.last_pos", "overlapping")
+
+
+def appended(batch: DataFrame, order: list[str], head: int) -> DataFrame:
+    """A batch's entries with dense positions after head, in the batch's order.
+
+    Entries are dealt out by ranges of the order; each range is numbered by itself, and
+    only a count for each range is summed up, so no task holds the batch.
+    """
+    ranged = cut(batch.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    own = Window.partitionBy("_range").orderBy(*order)
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + head).alias("_before"))
+    return ranged.withColumn("_at", F.row_number().over(own)).join(before, "_range").withColumn("pos", (F.col("_before") + F.col("_at")).cast("long")).drop("_range", "_at", "_before")
+
+
+def maintenance_report(log: DataFrame, checkpoint: int, orphans: DataFrame) -> DataFrame:
+    """What a maintenance cycle does: entries consumed after the checkpoint, where it advances to, and whether there are orphans to sweep."""
+    new = log.agg(F.count_if(F.col("pos") > checkpoint).alias("entries_consumed"), F.greatest(F.max("pos"), F.lit(checkpoint)).alias("checkpoint"))
+    swept = orphans.agg((F.count("*") > 0).alias("maintenance_done"))
+    return new.withColumn("_k", F.lit(0)).join(swept.withColumn("_k", F.lit(0)), "_k").drop("_k")

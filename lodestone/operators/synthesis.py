@@ -81,3 +81,44 @@ def merged_tags(existing: Column, new: Column, clear: Column, failed: Column) ->
     """New tags over existing ones, or alone if a clear is asked for; after a failure the existing ones."""
     kept = F.map_filter(existing, lambda k, v: ~F.array_contains(F.map_keys(new), k))
     return F.when(failed, existing).when(clear, new).otherwise(F.map_concat(kept, new))
+
+
+def transcoding_steps(steps: DataFrame, bound: DataFrame, outputs: DataFrame, most_inputs: int, most_outputs: int) -> DataFrame:
+    """One transcoding step for each media step: media, ord, step, inputs, outputs, needs, problem.
+
+    steps(media, ord, inputs array), bound as bound_inputs gives it (media, ord,
+    variant, producer), outputs(media, ord, variant, idx).  Inputs take slots in
+    their order, outputs the slots of their idx; needs are the distinct producers in
+    the order of the inputs that first name them.  The first rule that is broken is
+    the problem: too many inputs, an unknown input, an idx too high or taken twice.
+    """
+    each = steps.select("media", "ord", F.posexplode("inputs").alias("i", "variant")).join(bound, ["media", "ord", "variant"], "left")
+    slot = F.struct("i", F.concat(F.lit("input-"), F.col("i").cast("string"), F.lit("="), F.col("variant")).alias("slot"), "producer")
+    read = each.groupBy("media", "ord").agg(F.array_sort(F.collect_list(slot)).alias("s"), F.bool_or(F.col("producer").isNull()).alias("unknown"))
+    made = outputs.groupBy("media", "ord").agg(F.array_sort(F.collect_list(F.struct("idx", "variant"))).alias("o"), F.max("idx").alias("top"), (F.countDistinct("idx") < F.count("*")).alias("twice"))
+    problem = (
+        F.when(F.size("inputs") > most_inputs, "too many inputs")
+        .when(F.coalesce("unknown", F.lit(False)), "unknown input")
+        .when(F.col("top") >= most_outputs, "index too high")
+        .when(F.coalesce("twice", F.lit(False)), "index taken twice")
+    )
+    none = F.array().cast("array<string>")
+    needs = F.filter(F.array_distinct(F.transform("s", lambda x: x["producer"])), lambda x: x.isNotNull())
+    held = F.transform("o", lambda x: F.concat(F.lit("output-"), x["idx"].cast("string"), F.lit("="), x["variant"]))
+    return steps.join(read, ["media", "ord"], "left").join(made, ["media", "ord"], "left").select(
+        "media", "ord", F.concat(F.col("ord").cast("string"), F.lit("-ffmpeg")).alias("step"),
+        F.coalesce(F.transform("s", lambda x: x["slot"]), none).alias("inputs"), F.coalesce(held, none).alias("outputs"), F.coalesce(needs, F.array()).alias("needs"), problem.alias("problem"),
+    )
+
+
+def download_steps(variants: DataFrame) -> DataFrame:
+    """One download step for each variant (media, ord, i, variant, kind) but archives: media, ord, variant, step, outputs.
+
+    A primary variant's step also yields the archive of its media step, if there is one.
+    """
+    archive = variants.filter("kind = 'archive'").select("media", "ord", F.lit(True).alias("_archive")).distinct()
+    own = variants.filter("kind <> 'archive'").join(archive, ["media", "ord"], "left")
+    output = F.when(F.col("kind") == "subtitle", "subtitles").otherwise(F.col("kind"))
+    outputs = F.when((F.col("kind") == "primary") & F.col("_archive"), F.array(output, F.lit("archive"))).otherwise(F.array(output))
+    step = F.concat_ws("-", F.col("ord").cast("string"), F.col("i").cast("string"), F.lit("yt-dlp"), "variant")
+    return own.select("media", "ord", "variant", step.alias("step"), outputs.alias("outputs"))

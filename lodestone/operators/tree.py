@@ -109,3 +109,20 @@ def inherited_versions(requirements: DataFrame, dependencies: DataFrame) -> Data
     error = F.when((F.col("version") == "inherit") & F.col("_v").isNull(), "MPM-E002").when((F.col("version") == "inherit") & (F.col("_v") == "inherit"), "MPM-E003")
     joined = dependencies.join(own, "dep", "left").withColumn("error", error)
     return joined.select("parent", "dep", F.when(F.col("error").isNotNull(), None).when(F.col("version") == "inherit", F.col("_v")).otherwise(F.col("version")).alias("version"), "error")
+
+
+def recovered_chain(wanted: DataFrame, known: DataFrame, blobs: DataFrame, most: int = 5) -> DataFrame:
+    """Metadata that is missing along the delta chains of wanted objects: hash, len, base_hash, and error rows.
+
+    wanted(base_hash), known(hash), blobs(hash, len, base_hash) as read from stored
+    files, base_hash null for whole ones.  A walk stops at known metadata, at a whole
+    object, or where there is no file; after `most` recovered deltas it is an error,
+    `chain too deep`, with the hash at which it gave up.  Each step is a join of all walks at once.
+    """
+    at, found = wanted.select(F.col("base_hash").alias("hash")).filter("hash is not null").distinct(), None
+    for _ in range(most):
+        step = cut(at.join(known.select("hash"), "hash", "left_anti").join(blobs, "hash").select("hash", "len", "base_hash"))
+        found = step if found is None else found.union(step)
+        at = step.filter("base_hash is not null").select(F.col("base_hash").alias("hash")).distinct()
+    late = at.join(known.select("hash"), "hash", "left_anti").select("hash", F.lit(None).cast("long").alias("len"), F.lit(None).cast(blobs.schema["base_hash"].dataType).alias("base_hash"), F.lit("chain too deep").alias("error"))
+    return found.distinct().withColumn("error", F.lit(None).cast("string")).union(late)

@@ -184,3 +184,16 @@ def invalidated(instances: DataFrame, rules: DataFrame, now: int, ttl: int) -> D
     first = rules.filter("expected is not null and step_index is null").groupBy("tool").agg(F.min_by("expected", "ord").alias("expected"))
     late = F.col("synced_at").isNotNull() & (F.greatest(F.lit(0), F.lit(now) - F.col("synced_at")) > ttl)
     return instances.join(first, "tool", "left").withColumn("invalid", F.when(F.col("expected").isNotNull(), F.col("hashes") != F.col("expected")).otherwise(F.coalesce(late, F.lit(False)))).drop("expected")
+
+
+def materialisable(instances: DataFrame, required: DataFrame, outputs: DataFrame, live: DataFrame, members: DataFrame) -> DataFrame:
+    """Whether all required outputs of each instance can be made: stored, live, and with the required archive members.
+
+    required(key, output, member) has a row for each member, or one with a null
+    member; outputs(key, output, hash); live(hash); members(hash, member).  An
+    instance that requires nothing can be made.
+    """
+    held = required.join(outputs, ["key", "output"], "left").join(live.select("hash", F.lit(True).alias("alive")).distinct(), "hash", "left")
+    told = held.join(members.select("hash", "member", F.lit(True).alias("inside")).distinct(), ["hash", "member"], "left")
+    ok = F.bool_and(F.coalesce("alive", F.lit(False)) & (F.col("member").isNull() | F.coalesce("inside", F.lit(False)))).alias("ok")
+    return instances.select("key").join(told.groupBy("key").agg(ok), "key", "left").select("key", F.coalesce("ok", F.lit(True)).alias("materialisable"))

@@ -22,13 +22,13 @@ _PATH = "'d' || (doc_id % 3) || '/doc-' || lpad(CAST(doc_id AS VARCHAR), 6, '0')
 def archive_round_trip(t: Tables) -> DataFrame:
     """Packed, repacked and read again."""
     again = archives.members(archives.repacked(archives.packed(_members(t)), "archive", "data"), "archive", "data")
-    return again.select("archive", "idx", "path", content_hash(F.col("bytes")).alias("hash"))
+    return archives.numbered(again).select("archive", "idx", "path", content_hash(F.col("bytes")).alias("hash"))
 
 
 @query(f"SELECT source AS archive, row_number() OVER (PARTITION BY source ORDER BY {_PATH}) - 1 AS idx, 'd' || (doc_id % 3) || '/item_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.md' AS path FROM documents")
 def archive_rename(t: Tables) -> DataFrame:
     listed = archives.members(archives.packed(_members(t)), "archive", "data", contents=False)
-    return archives.renamed(listed, [("^doc-", "item_"), (r"\.txt$", ".md")]).select("archive", "idx", "path")
+    return archives.renamed(archives.numbered(listed), [("^doc-", "item_"), (r"\.txt$", ".md")]).select("archive", "idx", "path")
 
 
 @query(f"SELECT source AS archive, '.txt' AS name, min({_PATH}) AS path FROM documents GROUP BY source UNION ALL SELECT source, 'd1/doc-000001.txt', 'd1/doc-000001.txt' FROM documents WHERE doc_id = 1")
@@ -45,7 +45,7 @@ def export_report(t: Tables) -> DataFrame:
 
 @query("SELECT source AS archive, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1")
 def archive_estimate(t: Tables) -> DataFrame:
-    return archives.estimated_sizes(archives.packed(_members(t)).withColumn("kind", F.lit("zip")), "archive", "kind", "data")
+    return archives.estimated_sizes(archives.packed(_members(t)).withColumn("kind", F.lit("zip")), "archive", "kind", "data").groupBy("archive").agg(F.sum("bytes").alias("bytes"))
 
 
 @query("SELECT source AS run, 'one' AS output, count(*) FILTER (doc_id < 20) AS n, CASE WHEN count(*) FILTER (doc_id < 20) = 1 THEN min(CASE WHEN doc_id < 20 THEN 'doc-' || doc_id END) END AS path FROM documents GROUP BY 1 UNION ALL SELECT source, 'all', count(*), NULL FROM documents GROUP BY 1 HAVING count(*) > 1")

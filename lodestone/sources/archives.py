@@ -1,20 +1,27 @@
 """Archives as tables of members: reading, packing, renaming.
 
-An archive is one row; members are rows (archive, idx, path, bytes).  Packing needs
-all members of one archive in a task, which an archive's format itself bounds.
+Members are rows (archive, path, bytes).  An archive is packed into volumes, rows of
+(archive, volume, data) of about VOLUME_BYTES: members are dealt out by ranges of
+(archive, path) and written as they come, so a task holds one volume, whatever an
+archive holds.
 """
 
 from __future__ import annotations
 
 import io
+import lzma
+import tarfile
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MEMBERS = "archive {kind}, idx bigint, path string, bytes binary"
+VOLUME_BYTES = 64 << 20
+MEMBERS = "archive {kind}, volume bigint, idx bigint, path string, bytes binary, problem string"
 #: The time that packed members carry, so that equal members give equal archives.
 EPOCH = (1980, 1, 1, 0, 0, 0)
 
@@ -29,52 +36,122 @@ def _safe(name: str) -> str | None:
     return None if name.startswith(("/", "\\")) or ".." in parts or not parts else "/".join(parts)
 
 
-def members(archives: DataFrame, key: str, data: str, contents: bool = True) -> DataFrame:
-    """File members in archive order; a name that leaves the archive is an error, data that isn't an archive has none."""
+def _zip_files(data: bytes) -> Iterator[tuple[str, Callable[[], bytes]]]:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for info in z.infolist():
+            if not info.is_dir():
+                yield info.filename, lambda i=info: z.read(i)
+
+
+def _tar_files(data: bytes, mode: str) -> Iterator[tuple[str, Callable[[], bytes]]]:
+    with tarfile.open(fileobj=io.BytesIO(data), mode=mode) as t:
+        for info in t:
+            if info.isfile():
+                yield info.name, lambda i=info: t.extractfile(i).read()
+
+
+def _files(kind: str | None, data: bytes) -> Iterator[tuple[str, Callable[[], bytes]]]:
+    """(name, reader) of an archive's files; the kind is told by the first bytes if it isn't given."""
+    if kind == "zip" or (kind is None and data[:2] == b"PK"):
+        return _zip_files(data)
+    if kind == "tar.gz" or (kind is None and data[:2] == b"\x1f\x8b"):
+        return _tar_files(data, "r|gz")
+    if kind == "tar.xz" or (kind is None and data[:6] == b"\xfd7zXZ\0"):
+        return _tar_files(data, "r|xz")
+    return iter(())
+
+
+def members(archives: DataFrame, key: str, data: str, contents: bool = True, kind: str | None = None, quarantine: bool = False) -> DataFrame:
+    """File members in the order in which they lie: archive, volume, idx (in the volume), path, bytes, problem.
+
+    zip, tar.gz and tar.xz are read; data that is none of them has no members.  A
+    column `volume` numbers an archive's volumes; without it there is one.  `kind`
+    names a column with the format.  A name that leaves its archive, and an archive
+    that breaks off, are errors; with quarantine they give a row with a problem and
+    without bytes instead, so that one archive doesn't end a job.
+    """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["archive", "volume", "idx", "path", "bytes", "problem"]
         for frame in frames:
-            rows = []
-            for archive, own in zip(frame["archive"], frame["data"], strict=True):
-                if not own or bytes(own[:2]) != b"PK":
-                    continue
-                with zipfile.ZipFile(io.BytesIO(bytes(own))) as z:
-                    files = [i for i in z.infolist() if not i.is_dir()]
-                    for idx, info in enumerate(files):
-                        path = _safe(info.filename)
-                        if path is None:
-                            raise ValueError(f"member leaves its archive: {info.filename}")
-                        rows.append((archive, idx, path, z.read(info) if contents else None))
-            yield pd.DataFrame(rows, columns=["archive", "idx", "path", "bytes"])
-
-    own = archives.select(F.col(key).alias("archive"), F.col(data).alias("data"))
+            for archive, volume, own, format_ in zip(frame["archive"], frame["volume"], frame["data"], frame["kind"], strict=True):
+                rows, size, idx = [], 0, 0
+                try:
+                    for name, content in _files(format_, bytes(own or b"")):
+                        path = _safe(name)
+                        if path is None and not quarantine:
+                            raise ValueError(f"member leaves its archive: {name}")
+                        got = content() if contents and path else None
+                        rows.append((archive, volume, idx, path or name, got, None if path else "leaves its archive"))
+                        idx += 1
+                        size += len(got or b"")
+                        if size >= VOLUME_BYTES or len(rows) >= 10000:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, size = [], 0
+                except (zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, zlib.error, OSError, EOFError) as e:
+                    if not quarantine:
+                        raise
+                    rows.append((archive, volume, idx, None, None, f"broken archive: {type(e).__name__}"))
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    volume = F.col("volume") if "volume" in archives.columns else F.lit(0).cast("long")
+    own = archives.select(F.col(key).alias("archive"), volume.alias("volume"), F.col(data).alias("data"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"))
     return own.mapInPandas(read, MEMBERS.format(kind=own.schema["archive"].dataType.simpleString()))
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """Archives of members (archive, path, bytes), stored without compression, in the order of their paths."""
+def numbered(rows: DataFrame) -> DataFrame:
+    """Members with idx counted over the whole archive instead of the volume; only counts by volume are summed up."""
+    counts = rows.groupBy("archive", "volume").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("archive").orderBy("volume").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("archive", "volume", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return rows.join(first, ["archive", "volume"]).withColumn("idx", F.col("idx") + F.col("_first")).drop("_first")
+
 
-    def write(own: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-            for path, data in own.sort_values("path")[["path", "bytes"]].itertuples(index=False):
-                z.writestr(zipfile.ZipInfo(path, EPOCH), bytes(data))
-        return pd.DataFrame({"archive": own["archive"].iloc[:1], "data": [out.getvalue()]})
+def packed(rows: DataFrame, volume_bytes: int = VOLUME_BYTES) -> DataFrame:
+    """Archives of members (archive, path, bytes), stored without compression, in the order of their paths: archive, volume, data.
+
+    A volume ends once its members have volume_bytes; volumes of an archive are in
+    the order of their numbers, which have gaps.
+    """
 
-    own = rows.select("archive", "path", "bytes")
-    return own.groupBy("archive").applyInPandas(write, f"archive {own.schema['archive'].dataType.simpleString()}, data binary")
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, now, out, size = TaskContext.get().partitionId() << 32, None, None, 0
+        for frame in frames:
+            for archive, path, data in zip(frame["archive"], frame["path"], frame["bytes"], strict=True):
+                if out is not None and (archive != now or size >= volume_bytes):
+                    out.close()
+                    yield pd.DataFrame({"archive": [now], "volume": [number], "data": [buffer.getvalue()]})
+                    number, out = number + 1, None
+                if out is None:
+                    buffer, now, size = io.BytesIO(), archive, 0
+                    out = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)
+                out.writestr(zipfile.ZipInfo(path, EPOCH), bytes(data))
+                size += len(data)
+        if out is not None:
+            out.close()
+            yield pd.DataFrame({"archive": [now], "volume": [number], "data": [buffer.getvalue()]})
+
+    own = rows.filter("archive is not null and path is not null").select("archive", "path", F.coalesce("bytes", F.lit(b"")).alias("bytes"))
+    ranged = own.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "archive", "path").sortWithinPartitions("archive", "path")
+    return ranged.mapInPandas(write, f"archive {own.schema['archive'].dataType.simpleString()}, volume bigint, data binary")
 
 
 def repacked(archives: DataFrame, key: str, data: str) -> DataFrame:
-    """Archives read and packed again: stored, with plain paths."""
-    return packed(members(archives, key, data))
+    """Archives read and packed again: stored, with plain paths; what has a problem is left out."""
+    return packed(members(archives, key, data).filter("problem is null"))
 
 
 def member_by_name(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each (archive, name) the first exact member, else, for a name like `.ext`, the first that ends with it."""
-    both = wanted.join(rows, "archive")
-    class_ = F.when(F.col("path") == F.col("name"), 0).when(F.col("name").startswith(".") & F.col("path").endswith(F.col("name")), 1)
-    return both.withColumn("_c", class_).filter("_c is not null").groupBy("archive", "name").agg(F.min_by("path", F.struct("_c", "idx")).alias("path"))
+    """For each (archive, name) the first exact member, else, for a name like `.ext`, the first that ends with it.
+
+    Members meet names by equality: of the whole path, and of its ends from each dot.
+    """
+    parts = F.split("path", r"\.")
+    ends = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat(F.lit("."), F.array_join(F.slice(parts, i, F.size(parts)), "."))))
+    exact = rows.select("archive", "path", "idx", F.lit(0).alias("_c"), F.col("path").alias("name"))
+    ending = rows.select("archive", "path", "idx", F.lit(1).alias("_c"), F.explode(ends).alias("name"))
+    return wanted.distinct().join(exact.union(ending), ["archive", "name"]).groupBy("archive", "name").agg(F.min_by("path", F.struct("_c", "idx")).alias("path"))
 
 
 def renamed(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -90,8 +167,10 @@ def captured(files: DataFrame, specs: DataFrame) -> DataFrame:
 
     A pattern is a whole regex; none or several matches are told by n.
     """
-    both = specs.join(files, "run", "left").withColumn("_hit", F.expr("path rlike pattern"))
-    return both.groupBy("run", "output").agg(F.count_if("_hit").alias("n"), F.min(F.when(F.col("_hit"), F.col("path"))).alias("p")).select("run", "output", "n", F.when(F.col("n") == 1, F.col("p")).alias("path"))
+    asked = specs.groupBy("run").agg(F.collect_list(F.struct("output", "pattern")).alias("specs"))
+    hits = files.join(asked, "run").select("run", "path", F.explode(F.expr("filter(specs, s -> path rlike s.pattern)")).alias("s"))
+    found = hits.groupBy("run", F.col("s.output").alias("output")).agg(F.count("*").alias("n"), F.min("path").alias("p"))
+    return specs.select("run", "output").join(found, ["run", "output"], "left").select("run", "output", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("p")).alias("path"))
 
 
 def export_report(rows: DataFrame) -> DataFrame:
@@ -99,11 +178,38 @@ def export_report(rows: DataFrame) -> DataFrame:
     return rows.groupBy("archive").agg(F.count("*").alias("files"), F.sum(F.octet_length("bytes")).alias("bytes"))
 
 
+def xz_size(data: bytes) -> int:
+    """The bytes that the index before the last footer adds up to; 0 if there is none."""
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 0x7F) << shift
+            if byte < 0x80:
+                return value
+            shift += 7
+
+    if len(data) < 32 or data[-2:] != b"YZ":
+        return 0
+    at = len(data) - 12 - 4 * (int.from_bytes(data[-8:-4], "little") + 1)
+    if at < 12 or data[at]:
+        return 0
+    try:
+        at += 1
+        return sum((number(), number())[1] for _ in range(number()))
+    except IndexError:
+        return 0
+
+
 def estimated_sizes(archives: DataFrame, key: str, kind: str, data: str) -> DataFrame:
     """Bytes that archives unpack to, told without unpacking them: archive, bytes.
 
     zip: the sum of its directory; tar.gz: the size in its trailer, modulo 2**32;
-    0 for other kinds.  Where that can't be read, the archive's own size.
+    tar.xz: the sizes in its streams' indexes; 0 for other kinds.  Where that can't
+    be read, the archive's own size.
     """
 
     def size(kind: str | None, own: bytes) -> int:
@@ -112,6 +218,8 @@ def estimated_sizes(archives: DataFrame, key: str, kind: str, data: str) -> Data
                 return sum(i.file_size for i in zipfile.ZipFile(io.BytesIO(own)).infolist())
             except zipfile.BadZipFile:
                 return len(own)
+        if kind == "tar.xz":
+            return xz_size(own) or len(own)
         return (int.from_bytes(own[-4:], "little") or len(own)) if kind == "tar.gz" else 0
 
     def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,3 +233,25 @@ def estimated_sizes(archives: DataFrame, key: str, kind: str, data: str) -> Data
 def ordered_members(rows: DataFrame) -> DataFrame:
     """Members numbered by path."""
     return rows.withColumn("idx", F.row_number().over(Window.partitionBy("archive").orderBy("path")) - 1)
+
+
+def imported(files: DataFrame, archive: F.Column) -> DataFrame:
+    """Files of a folder (path, bytes), as scan_folder gives them, packed as archives."""
+    return packed(files.select(archive.alias("archive"), "path", "bytes"))
+
+
+#: What can be done with members (pack, rename) or archives (unpack, repack, list), by name.
+ACTIONS: dict[str, Callable[..., DataFrame]] = {
+    "pack": packed,
+    "unpack": lambda archives: members(archives, "archive", "data"),
+    "list": lambda archives: members(archives, "archive", "data", contents=False),
+    "repack": lambda archives: repacked(archives, "archive", "data"),
+    "rename": renamed,
+}
+
+
+def acted(action: str, rows: DataFrame, **options: object) -> DataFrame:
+    """The result of an action on rows; an unknown one is an error that names what there is."""
+    if action not in ACTIONS:
+        raise ValueError(f"unknown archive action '{action}'; known are {', '.join(sorted(ACTIONS))}")
+    return ACTIONS[action](rows, **options)

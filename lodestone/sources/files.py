@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from lodestone.functions.hashing import content_hash
 
@@ -18,14 +18,20 @@ def scan_folder(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.substr(own, F.length(root) + 1).alias("path"), F.col("length").alias("len"), content_hash(F.col("content")).alias("hash"), F.col("content").alias("bytes"))
 
 
+def without(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """Files none of whose folders or names match a pattern, a regex for a whole name."""
+    names = F.split("path", "/")
+    return files.filter(~F.exists(names, lambda n: F.lit(False) if not patterns else n.rlike("^(?:" + "|".join(patterns) + ")$")))
+
+
 def expected(files: DataFrame, hashes: DataFrame) -> DataFrame:
     """Files whose hash is the expected one of their path."""
     return files.join(hashes.select("path", F.col("hash").alias("_e")), "path").filter(F.col("hash") == F.col("_e")).drop("_e")
 
 
-def load_state(spark: SparkSession, path: str, schema: StructType, version: int) -> DataFrame:
-    """JSON documents of one version; fields that the schema doesn't name, and other versions, are errors."""
-    rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+def load_state(spark: SparkSession, path: str, schema: StructType, version: int, lines: bool = False) -> DataFrame:
+    """JSON documents of one version, one a file or, as save_state writes them, one a line; fields that the schema doesn't name, and other versions, are errors."""
+    rows = spark.read.schema(schema).option("multiLine", str(not lines)).option("mode", "FAILFAST").json(path)
     return rows.withColumn("version", F.when(F.col("version") == version, F.col("version")).otherwise(F.raise_error(F.concat(F.lit("unsupported version "), F.coalesce(F.col("version").cast("string"), F.lit("none"))))))
 
 
@@ -38,9 +44,21 @@ def write_texts(rows: DataFrame, path: str) -> None:
     rows.select("name", "text").write.mode("append").partitionBy("name").text(path)
 
 
-def schema_document(df: DataFrame) -> str:
-    """A table's contract, as JSON."""
-    return df.schema.json()
+def schema_contract(spark: SparkSession, schema: StructType) -> DataFrame:
+    """A table's contract: a row for each field and each field inside it, with its path, type and whether it may be null."""
+
+    def fields(schema: StructType, above: str) -> list[tuple[str, str, bool]]:
+        out = []
+        for f in schema.fields:
+            kind, path = f.dataType, above + f.name
+            out.append((path, kind.simpleString(), f.nullable))
+            while isinstance(kind, (ArrayType, MapType)):
+                kind, path = (kind.elementType, path + "[]") if isinstance(kind, ArrayType) else (kind.valueType, path + "{}")
+            if isinstance(kind, StructType):
+                out += fields(kind, path + ".")
+        return out
+
+    return spark.createDataFrame(fields(schema, ""), "path string, type string, nullable boolean")
 
 
 def locator(text: F.Column) -> F.Column:

@@ -56,3 +56,20 @@ def opened(data: F.Column) -> F.Column:
         F.unhex(F.substr(text, F.lit(81))).alias("payload"),
     )
     return F.when(F.octet_length(data) >= 40, parts)
+
+
+#: Fixed value: the version byte of a checkpoint.
+CHECKPOINT_VERSION = "01"
+
+
+def checkpoint(position: F.Column) -> F.Column:
+    """A checkpoint: version, position in 8 bytes, and the checksum of both in 4."""
+    head = F.concat(F.lit(CHECKPOINT_VERSION), F.lpad(F.hex(position), 16, "0"))
+    return F.unhex(F.concat(head, F.lpad(F.hex(F.crc32(F.unhex(head))), 8, "0")))
+
+
+def checkpoint_position(data: F.Column) -> F.Column:
+    """The position of a checkpoint; null for one that is torn, damaged or of another version."""
+    text = F.hex(data)
+    whole = (F.octet_length(data) == 13) & text.startswith(CHECKPOINT_VERSION) & (F.lpad(F.hex(F.crc32(F.unhex(F.substring(text, 1, 18)))), 8, "0") == F.substring(text, 19, 8))
+    return F.when(whole, F.conv(F.substring(text, 3, 16), 16, 10).cast("long"))
