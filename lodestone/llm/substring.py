@@ -7,6 +7,12 @@ word is shipped about three times instead of `window` times, and equal windows
 always meet in one bucket.  There, sorting brings equal windows together; all
 but the first one in (doc_id, start) order mark the words they cover.
 
+Three words that are the minimiser of very many different windows, in template text
+for instance, would make one bucket grow with the corpus.  A sample tells such runs
+of words; they count as larger than all others, so their windows go to other
+minimisers, and a window of nothing else goes to the bucket of its own hash.  Any
+choice of such runs gives the same result, as equal windows still meet.
+
 A map task ships one copy of equal super-k-mers in a chunk and marks the others
 at once: a passage that a third of all documents share reaches its bucket once
 for each chunk instead of once for each document.
@@ -15,6 +21,7 @@ for each chunk instead of once for each document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +36,15 @@ from lodestone.llm.textops import NON_SPACE, blocks, mix64, runs, window_hashes,
 CHUNK_BYTES = 4 << 20
 #: Super-k-mers that a bucket's task unpacks at a time.
 PIECE = 8192
+#: Windows that a bucket is meant to hold.
+BUCKET_WINDOWS = 1 << 19
+#: One text in so many tells how many windows there are and which runs of words are frequent.
+SAMPLE = 16
+#: Runs of words that are told as frequent at most: a list of 8 MiB, which is broadcast.
+FREQUENT = 1 << 20
+#: Windows that a bucket's task sorts at a time; a bucket that holds more is read once for each range of their hashes.
+SORTED_WINDOWS = 1 << 22
+_LAST = np.uint64(1 << 63)
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _OUT = "bucket int, strings binary, ids binary, starts binary, marks binary"
 
@@ -43,11 +59,27 @@ def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[:n], x[size - step :][:n])
 
 
-def _minimisers(hashes: np.ndarray, window: int, mer: int) -> np.ndarray:
-    """The minimiser of every window of words."""
-    if len(hashes) < window:
-        return np.zeros(0, dtype=np.uint64)
-    return _sliding_min(window_hashes(hashes, mer), window - mer + 1)
+class Deal(NamedTuple):
+    """How windows are dealt to buckets."""
+
+    window: int
+    mer: int
+    buckets: int
+    #: Runs of mer words, sorted by hash, that are the minimisers of too many windows.
+    frequent: np.ndarray
+
+    def minimisers(self, hashes: np.ndarray) -> np.ndarray:
+        """The minimiser of every window of words, or, if all its runs are frequent, a value of its own."""
+        if len(hashes) < self.window:
+            return np.zeros(0, dtype=np.uint64)
+        mers = window_hashes(hashes, self.mer) >> np.uint64(1)
+        if not len(self.frequent):
+            return _sliding_min(mers, self.window - self.mer + 1)
+        mers[np.isin(mers, self.frequent)] |= _LAST
+        least = _sliding_min(mers, self.window - self.mer + 1)
+        if (alone := least >= _LAST).any():
+            least[alone] = window_hashes(hashes, self.window)[alone]
+        return least
 
 
 def _in_one_text(lo: np.ndarray, windows: int, window: int) -> np.ndarray:
@@ -59,10 +91,10 @@ def _in_one_text(lo: np.ndarray, windows: int, window: int) -> np.ndarray:
     return whole
 
 
-def _pack(texts: list[bytes], ids: np.ndarray, window: int, mer: int, buckets: int) -> Iterator[tuple]:
+def _pack(texts: list[bytes], ids: np.ndarray, deal: Deal) -> Iterator[tuple]:
     """Rows of _OUT for a chunk of texts, which must be in the order of their ids."""
     words = words_of(texts, NON_SPACE)
-    minimisers = _minimisers(words.hash, window, mer)
+    window, minimisers = deal.window, deal.minimisers(words.hash)
     if not len(minimisers):
         return
     whole = _in_one_text(words.lo, len(minimisers), window)
@@ -85,7 +117,7 @@ def _pack(texts: list[bytes], ids: np.ndarray, window: int, mer: int, buckets: i
     copy = origin != np.arange(len(origin))
     later = copy & ((doc != doc[origin]) | (start != start[origin]))  # a repeated row is not later than itself
     marks = np.stack([doc[later], start[later], stop[later]], axis=1).astype(np.int64) if later.any() else np.zeros((0, 3), dtype=np.int64)
-    bucket = (mix64(minimisers[first]) % np.uint64(buckets)).astype(np.int64)
+    bucket = (mix64(minimisers[first]) % np.uint64(deal.buckets)).astype(np.int64)
     ships = np.flatnonzero(~copy)
     ships = ships[np.argsort(bucket[ships], kind="stable")]
     begin = runs(bucket[ships])
@@ -95,7 +127,7 @@ def _pack(texts: list[bytes], ids: np.ndarray, window: int, mer: int, buckets: i
         yield int(bucket[at[0]]), packer.compress(b"\n".join(strings[j] for j in at.tolist())), doc[at].tobytes(), start[at].tobytes(), marks.tobytes() if i == 0 else None
 
 
-def _bucket_marks(rows: list[tuple], window: int, mer: int) -> list[np.ndarray]:
+def _bucket_marks(rows: list[tuple], window: int) -> list[np.ndarray]:
     """Marks (doc, first start, last start) of one bucket's repeated windows."""
     unpacker = zstandard.ZstdDecompressor()
     strings = [s for row in rows for s in unpacker.decompress(row[0]).split(b"\n")]
@@ -103,15 +135,27 @@ def _bucket_marks(rows: list[tuple], window: int, mer: int) -> list[np.ndarray]:
     start = np.concatenate([np.frombuffer(row[2], dtype=np.int64) for row in rows])
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
+    n_windows = sum(max(0, s.count(b" ") + 2 - window) for s in strings)
+    ranges = max(1, -(-n_windows // SORTED_WINDOWS))
+    return [m for i in range(ranges) for m in _range_marks([strings[k] for k in order.tolist()], doc, start, window, ranges, i)]
+
+
+def _range_marks(strings: list[bytes], doc: np.ndarray, start: np.ndarray, window: int, ranges: int, at_range: int) -> Iterator[np.ndarray]:
+    """Marks of the windows whose hash falls into a range, of strings that are in the order of (doc, start)."""
     parts: list[tuple[np.ndarray, ...]] = []
-    for a in range(0, len(order), PIECE):
-        words = words_of([strings[i] for i in order[a : a + PIECE].tolist()], NON_SPACE)
-        minimisers = _minimisers(words.hash, window, mer)
-        at = np.flatnonzero(_in_one_text(words.lo, len(minimisers), window))
+    for a in range(0, len(strings), PIECE):
+        words = words_of(strings[a : a + PIECE], NON_SPACE)
+        hashes = window_hashes(words.hash, window)
+        inside = _in_one_text(words.lo, len(hashes), window)
+        if ranges > 1:
+            inside &= hashes % np.uint64(ranges) == at_range
+        at = np.flatnonzero(inside)
         own = words.text_of()[at]
-        parts.append((own + a, start[own + a] + at - words.lo[own], window_hashes(words.hash, window)[at], minimisers[at]))
+        parts.append((own + a, start[own + a] + at - words.lo[own], hashes[at], window_hashes(mix64(words.hash), window)[at]))
     own, begins, whole, second = (np.concatenate(p) for p in zip(*parts, strict=True))
-    del strings, parts, words, minimisers
+    del parts, words, hashes
+    if not len(own):
+        return
     by = np.argsort(whole, kind="stable")  # stable: the first of equal windows is the earliest
     if ((whole[by[1:]] == whole[by[:-1]]) & (second[by[1:]] != second[by[:-1]])).any():
         by = np.lexsort((second, whole))
@@ -119,24 +163,50 @@ def _bucket_marks(rows: list[tuple], window: int, mer: int) -> list[np.ndarray]:
     origin = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
     repeated = (doc[own[by]] != doc[own[origin]]) | (begins[by] != begins[origin])
     hit = np.sort(by[repeated])
-    if not len(hit):
-        return []
-    cut = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (own[hit[1:]] != own[hit[:-1]])]))
-    end = np.concatenate([cut[1:], [len(hit)]]) - 1
-    return [np.stack([doc[own[hit[cut]]], begins[hit[cut]], begins[hit[end]]], axis=1)]
+    if len(hit):
+        cut = np.flatnonzero(np.concatenate([[True], (own[hit[1:]] != own[hit[:-1]]) | (begins[hit[1:]] != begins[hit[:-1]] + 1)]))
+        end = np.concatenate([cut[1:], [len(hit)]]) - 1
+        yield np.stack([doc[own[hit[cut]]], begins[hit[cut]], begins[hit[end]]], axis=1)
+
+
+def _dealt(docs: DataFrame, window: int, mer: int, least: int) -> Deal:
+    """Buckets for the windows of docs, and the runs of words that may be the minimisers of more than a quarter of a bucket.
+
+    A run is the minimiser of window - mer + 1 windows at most wherever it stands.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in blocks(batches, limit=CHUNK_BYTES):
+            words = words_of([t or b"" for t in texts], NON_SPACE)
+            begins = np.unique(window_hashes(words.hash, window), return_index=True)[1]  # copies inside a chunk are shipped once
+            own = (window_hashes(words.hash, mer) >> np.uint64(1))[begins]
+            keys, n = np.unique(own, return_counts=True)
+            often = n >= max(8, len(own) / (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), -1)), pa.array(np.append(n[often], len(own)))], ["mer", "n"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
+    counts = sample.mapInArrow(count, "mer bigint, n bigint").groupBy("mer").agg(F.sum("n").alias("n"))
+    total = counts.filter("mer < 0").agg(F.sum("n")).first()[0] or 0
+    buckets = max(least, -(-total * SAMPLE // BUCKET_WINDOWS))
+    often = counts.filter((F.col("mer") >= 0) & (F.col("n") >= max(8, total / (4 * buckets * (window - mer + 1)), total / FREQUENT))).collect()  # FREQUENT rows at most
+    return Deal(window, mer, buckets, np.sort(np.array([r.mer for r in often], dtype=np.uint64)))
 
 
 def repeated_windows(docs: DataFrame, window: int = 20, mer: int = 3, buckets: int | None = None) -> DataFrame:
-    """Intervals of windows, by first word, that repeat an earlier one: _id, lo, hi (both included)."""
+    """Intervals of windows, by first word, that repeat an earlier one: _id, lo, hi (both included).
+
+    The number of buckets follows the number of windows, which a sample tells, and is at least `buckets`.
+    """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 4 * partitions
+    dealt = _dealt(docs, window, mer, buckets or 4 * partitions)
+    shared = spark.sparkContext.broadcast(dealt)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(texts: list[bytes], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             own = np.concatenate(ids)
             order = np.argsort(own, kind="stable")
-            rows = list(_pack([texts[i] for i in order.tolist()], own[order], window, mer, buckets))
+            rows = list(_pack([texts[i] for i in order.tolist()], own[order], shared.value))
             if rows:
                 types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["bucket", "strings", "ids", "starts", "marks"])
@@ -162,7 +232,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, mer: int = 3, buckets: i
             for bucket, strings, ids, starts, marks in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if bucket != now:
                     if rows:
-                        yield from out(_bucket_marks(rows, window, mer))
+                        yield from out(_bucket_marks(rows, window))
                     now, rows = bucket, []
                 rows.append((strings, ids, starts))
                 if marks:
@@ -170,10 +240,10 @@ def repeated_windows(docs: DataFrame, window: int = 20, mer: int = 3, buckets: i
             yield from out(passed)
             passed = []
         if rows:
-            yield from out(_bucket_marks(rows, window, mer))
+            yield from out(_bucket_marks(rows, window))
 
     shipped = docs.select("_id", "text").mapInArrow(packed, _OUT)
-    return shipped.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(marked, "_id bigint, lo int, hi int")
+    return shipped.repartition(max(partitions, dealt.buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(marked, "_id bigint, lo int, hi int")
 
 
 def remove_repeated_substrings(docs: DataFrame, window: int = 20, mer: int = 3, buckets: int | None = None) -> DataFrame:
