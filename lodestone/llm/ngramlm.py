@@ -7,11 +7,12 @@ levels and answers every chunk from it; the chunk then scores its texts.  So a
 shard meets a word once per chunk and not once per text, and no model passes
 through the driver or is held whole by a task.
 
-A shard's trie: level 1 holds context words, level 2 their followers.  Keys and
-the monotone pointers from level 1 to level 2 are Elias-Fano coded, a follower's
-key relative to its context; smoothed probabilities are quantised to 8 bits and
-back-off weights to 16.  The levels lie in a memory-mapped file while the shard
-answers; a look-up is a successor search inside the context's range.
+A shard's trie: level 1 holds context words, level 2 their followers.  Keys, running
+sums of counts and the monotone pointers from level 1 to level 2 are Elias-Fano coded,
+a follower's key relative to its context; smoothed probabilities are quantised to 8
+bits and back-off weights to 16.  The levels lie in mapped memory and are read as they
+are coded; a look-up is a successor search inside the range that the context's
+pointers tell.
 
 p(w | v) = max(c(v w) - D, 0) / c(v) + b(v) p(w), with b(v) what the discounts D
 leave, and p(w) = (c(w) + 1) / (N + V + 1), which keeps 1 / (N + V + 1) for unseen
@@ -25,7 +26,7 @@ add up over the shards, so scores are those of a whole model.
 from __future__ import annotations
 
 import io
-import tempfile
+import mmap
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -42,6 +43,10 @@ from lodestone.llm.textops import NON_SPACE, blocks, mix64, words_of
 CHUNK_BYTES = 6 << 20
 END = np.uint64(0x656E64_5F656E64)
 BEGIN = np.uint64(0x626567_696E5F5F)
+#: Training tokens that a shard is meant to answer for.
+SHARD_TOKENS = 1 << 20
+#: One text in so many tells how many tokens there are and which words are frequent.
+SAMPLE = 16
 #: How many shards the followers of a frequent context are dealt to.
 SPREAD = 16
 FOLLOWER_BITS = 40
@@ -74,65 +79,109 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 
 class EliasFano:
-    """A sorted sequence of integers: high parts in unary, low parts in whole bytes."""
+    """A sorted sequence of integers: low parts of so many bits one after the other, high parts in unary.
 
-    def __init__(self, high: np.ndarray, low: np.ndarray) -> None:
-        bits = np.unpackbits(high)
-        ones = np.flatnonzero(bits)[: len(low)]
-        self.low = low
-        self.high = ones - np.arange(len(ones))
-        self.begin = np.searchsorted(self.high, np.arange(int(self.high[-1]) + 2 if len(ones) else 1))
+    Both are read where they lie.  Beside them lies how many ones there are before each
+    512 bits of the high parts, from which select finds the k-th one or zero.
+    """
+
+    BLOCK = 512
+
+    def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
+        self.n, self.width, self.top = (int(x) for x in head)
+        self.low, self.high, self.ones = low, high, ones
+        self.mask = np.uint64((1 << self.width) - 1)
 
     @staticmethod
-    def parts(values: np.ndarray, universe: int) -> tuple[np.ndarray, np.ndarray]:
-        """The high parts' bits and the low parts' bytes."""
-        n = max(1, len(values))
-        width = min(8, -(-max(0, (universe // n).bit_length() - 1) // 8))
-        low = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-        high = (values >> np.uint64(8 * width)).astype(np.int64) if width < 8 else np.zeros(len(values), dtype=np.int64)
-        bits = np.zeros((int(high[-1]) if len(high) else 0) + len(high) + 1, dtype=np.uint8)
-        bits[high + np.arange(len(high))] = 1
-        return np.packbits(bits), np.ascontiguousarray(low)
+    def parts(values: np.ndarray, universe: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the constructor takes, all of 64-bit integers: size, width and highest high part; low; high; ones."""
+        n, values = len(values), values.astype("<u8")
+        width = min(63, max(0, (universe // max(1, n)).bit_length() - 1))
+        packed = []
+        for a in range(0, n if width else 0, 1 << 16):  # a multiple of 8 values, so of whole bytes
+            bits = np.unpackbits(values[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width]
+            packed.append(np.packbits(bits.ravel(), bitorder="little"))
+        low = np.concatenate([*packed, np.zeros(16, dtype=np.uint8)])
+        high = (values >> np.uint64(width)).astype(np.int64)
+        top = int(high[-1]) if n else 0
+        bits = np.zeros(-(-(n + top + 1) // EliasFano.BLOCK) * EliasFano.BLOCK, dtype=np.uint8)
+        bits[high + np.arange(n)] = 1
+        coded = np.packbits(bits, bitorder="little").view("<u8")
+        blocks_ = np.bitwise_count(coded).reshape(-1, EliasFano.BLOCK // 64).sum(axis=1, dtype=np.uint64)
+        return np.array([n, width, top], dtype=np.uint64), low[: len(low) // 8 * 8].view("<u8"), coded, np.concatenate([[0], np.cumsum(blocks_)]).astype(np.uint64)
+
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """Where the k-th one, or zero, of the high parts stands, from 0."""
+        out = np.empty(len(k), dtype=np.int64)
+        before = self.ones.astype(np.int64) if one else np.arange(len(self.ones)) * self.BLOCK - self.ones.astype(np.int64)
+        for a in range(0, len(k), 1 << 15):
+            own = k[a : a + (1 << 15)]
+            block = np.searchsorted(before[1:], own, side="right")
+            left = own - before[block]
+            words = self.high[block[:, None] * 8 + np.arange(8)]
+            words = words if one else ~words
+            word, left = _nth(words, left)
+            byte, left = _nth(np.ascontiguousarray(words[np.arange(len(own)), word]).view(np.uint8).reshape(-1, 8), left)
+            last = np.ascontiguousarray(words[np.arange(len(own)), word]).view(np.uint8).reshape(-1, 8)[np.arange(len(own)), byte]
+            out[a : a + len(own)] = block * self.BLOCK + word * 64 + byte * 8 + _BIT_OF[last, left]
+        return out
 
     def _low_at(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), dtype=np.uint64)
-        for i in range(self.low.shape[1]):
-            out |= self.low[at, i].astype(np.uint64) << np.uint64(8 * i)
-        return out
+        bit = at.astype(np.uint64) * np.uint64(self.width)
+        word, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        upper = (self.low[word + 1] << np.uint64(1)) << (np.uint64(63) - off)
+        return ((self.low[word] >> off) | upper) & self.mask
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The values that stand at places."""
+        return ((self._select(places, True) - places).astype(np.uint64) << np.uint64(self.width)) | self._low_at(places)
 
     def values(self) -> np.ndarray:
-        width = self.low.shape[1]
-        high = self.high.astype(np.uint64) << np.uint64(8 * width) if width < 8 else np.uint64(0)
-        return high | self._low_at(np.arange(len(self.low)))
-
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Where each value stands, -1 if it isn't there: successor search within the values of equal high part."""
-        width = self.low.shape[1]
-        if not len(self.low):
-            return np.full(len(wanted), -1)
-        high = (wanted >> np.uint64(8 * width)).astype(np.int64) if width < 8 else np.zeros(len(wanted), dtype=np.int64)
-        low = wanted & np.uint64((1 << 8 * width) - 1) if width < 8 else wanted
-        known = high < len(self.begin) - 1
-        slot = np.where(known, high, 0)
-        lo, hi = self.begin[slot], self.begin[slot + 1]
-        end = np.where(known, hi, lo)
-        lo, hi = lo.copy(), end.copy()
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = np.zeros(len(lo), dtype=bool)
-            less[open_] = self._low_at(mid[open_]) < low[open_]
-            lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-        found = lo < end
-        found[found] = self._low_at(lo[found]) == low[found]
-        return np.where(found, lo, -1)
+        return self.at(np.arange(self.n))
+
+    def find(self, wanted: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Where each value stands, -1 if it isn't there, or not from lo to before hi: a successor search among equal high parts."""
+        high = (wanted >> np.uint64(self.width)).astype(np.int64)
+        known = np.flatnonzero((wanted >> np.uint64(self.width) <= np.uint64(self.top)) & ((hi > lo) if hi is not None else True)) if self.n else np.zeros(0, dtype=np.int64)
+        out = np.full(len(wanted), -1)
+        h, low = high[known], wanted[known] & self.mask
+        end = self._select(h, False) - h
+        begin = np.zeros(len(h), dtype=np.int64)
+        begin[h > 0] = self._select(h[h > 0] - 1, False) - (h[h > 0] - 1)
+        if hi is not None:
+            begin, end = np.maximum(begin, lo[known]), np.minimum(end, hi[known])
+        a, b = begin, np.maximum(begin, end)
+        while len(open_ := np.flatnonzero(a < b)):
+            mid = (a[open_] + b[open_]) >> 1
+            less = self._low_at(mid) < low[open_]
+            a[open_], b[open_] = np.where(less, mid + 1, a[open_]), np.where(less, b[open_], mid)
+        found = a < end
+        found[found] = self._low_at(a[found]) == low[found]
+        out[known[found]] = a[found]
+        return out
+
+
+#: Where the k-th one of a byte stands.
+_BIT_OF = np.zeros((256, 8), dtype=np.int64)
+for _byte in range(256):
+    _ones = [i for i in range(8) if _byte >> i & 1]
+    _BIT_OF[_byte, : len(_ones)] = _ones
+
+
+def _nth(rows: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In each row of integers, which one holds the row's k-th one bit, and which of its own bits that is."""
+    until = np.cumsum(np.bitwise_count(rows), axis=1, dtype=np.int64)
+    at = (until <= k[:, None]).sum(axis=1)
+    return at, k - np.where(at > 0, until[np.arange(len(k)), np.maximum(at, 1) - 1], 0)
 
 
 class Trie:
-    """One shard's model, over a memory-mapped file."""
+    """One shard's model, over memory-mapped levels."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, context: np.ndarray, follower: np.ndarray, seen: np.ndarray) -> None:
         """From context words with their counts, and followers (ordered by context, then key) with theirs."""
         pointers = np.searchsorted(context, np.arange(len(words) + 1)).astype(np.uint64)
+        sums = np.concatenate([[0], np.cumsum(counts)]).astype(np.uint64)
         discount = DISCOUNTS[np.minimum(seen, 3)]
         share = (seen - discount) / np.maximum(counts[context], 1)
         code = np.clip(1 + np.ceil(-np.log10(np.maximum(share, 1e-300)) * _CODE_STEPS - 1e-9), 1, 255).astype(np.uint8)
@@ -141,31 +190,36 @@ class Trie:
         backoff = np.where(counts > 0, backoff, _UNSEEN).astype(np.uint16)
         keys = (context.astype(np.uint64) << np.uint64(FOLLOWER_BITS)) | follower
         levels = (
-            *EliasFano.parts(words, 1 << 64), *EliasFano.parts(pointers, int(pointers[-1]) + 1),
-            *EliasFano.parts(keys, max(1, len(words)) << FOLLOWER_BITS), counts.astype(np.int64), backoff, code,
+            *EliasFano.parts(words, 1 << 64), *EliasFano.parts(pointers, int(pointers[-1]) + 1), *EliasFano.parts(sums, int(sums[-1]) + 1),
+            *EliasFano.parts(keys, max(1, len(words)) << FOLLOWER_BITS), backoff, code,
         )
-        with tempfile.TemporaryFile() as file:  # gone when the mapping is
-            for a in levels:
-                file.write(a.tobytes())
-            file.write(b"\0")
-            file.flush()
-            whole = np.memmap(file, dtype=np.uint8, mode="r")
+        mapped = mmap.mmap(-1, sum(a.nbytes for a in levels) + 1)  # anonymous: no folder of the machine is used
+        for a in levels:
+            mapped.write(a.tobytes())
         views, at = [], 0
         for a in levels:
-            views.append(np.frombuffer(whole, dtype=a.dtype, count=a.size, offset=at).reshape(a.shape))
+            views.append(np.frombuffer(mapped, dtype=a.dtype, count=a.size, offset=at))
             at += a.nbytes
-        self.words, self.pointers, self.keys = EliasFano(*views[:2]), EliasFano(*views[2:4]).values().astype(np.int64), EliasFano(*views[4:6])
-        self.counts, self.backoff, self.code = views[6:]
+        self.words, self.pointers, self.sums, self.keys = (EliasFano(*views[4 * i : 4 * i + 4]) for i in range(4))
+        self.backoff, self.code = views[16:]
 
     def answer(self, words: np.ndarray, children: np.ndarray, followers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts and back-off codes of words, and the probability codes of each one's children followers (0: unseen)."""
         at = self.words.find(words)
-        counts = np.where(at >= 0, self.counts[np.maximum(at, 0)], 0)
-        backoff = np.where(at >= 0, self.backoff[np.maximum(at, 0)], _UNSEEN).astype(np.uint16)
-        context = np.repeat(at, children)
-        place = self.keys.find((np.maximum(context, 0).astype(np.uint64) << np.uint64(FOLLOWER_BITS)) | followers)
-        inside = (context >= 0) & (place >= self.pointers[np.maximum(context, 0)]) & (place < self.pointers[np.maximum(context, 0) + 1])
-        return counts, backoff, np.where(inside, self.code[np.maximum(place, 0)], 0).astype(np.uint8) if len(self.code) else np.zeros(len(followers), np.uint8)
+        held = np.maximum(at, 0)
+        known = at >= 0
+        counts, backoff = np.zeros(len(at), dtype=np.int64), np.full(len(at), _UNSEEN, dtype=np.uint16)
+        lo, hi = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        if known.any():
+            own = at[known]
+            counts[known] = (self.sums.at(own + 1) - self.sums.at(own)).astype(np.int64)
+            backoff[known] = self.backoff[own]
+            lo[known], hi[known] = self.pointers.at(own).astype(np.int64), self.pointers.at(own + 1).astype(np.int64)
+        keys = (np.repeat(held, children).astype(np.uint64) << np.uint64(FOLLOWER_BITS)) | followers
+        place = self.keys.find(keys, np.repeat(lo, children), np.repeat(hi, children))
+        code = np.zeros(len(place), dtype=np.uint8)
+        code[place >= 0] = self.code[place[place >= 0]]
+        return counts, backoff, code
 
 
 class Layout(NamedTuple):
@@ -185,20 +239,21 @@ class Layout(NamedTuple):
         return entry % len(home), entry // len(home), (home[context] + np.where(is_frequent[context], spread[follower], 0)) % self.shards
 
 
-def _frequent(docs: DataFrame, shards: int) -> np.ndarray:
-    """Words that make up more than a quarter of a shard's fair share, from a sixteenth of the texts."""
+def _layout(docs: DataFrame, least: int, given: int | None) -> Layout:
+    """Shards for the tokens of docs, at least `least` or as many as given, and the words that make up more than a quarter of a shard's fair share."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in blocks(batches, limit=4 << 20):
             words, n = np.unique(words_of([(t or b"").lower() for t in texts], NON_SPACE).hash, return_counts=True)
-            often = n >= max(2, n.sum() / (16 * shards))
+            often = n >= max(2, n.sum() >> 16)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(words[often], 0).view(np.int64)), pa.array(np.append(n[often], n.sum()))], ["word", "n"])
 
-    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(16)) == 0)
+    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     counts = sample.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     total = counts.filter("word = 0").agg(F.sum("n")).first()[0] or 0
+    shards = given or max(least, -(-total * SAMPLE // SHARD_TOKENS))
     found = counts.filter((F.col("word") != 0) & (F.col("n") >= max(2, total / (4 * shards)))).collect()  # 4 * shards rows at most
-    return np.sort(np.array([r.word for r in found] + [BEGIN.astype(np.int64)], dtype=np.int64).view(np.uint64))
+    return Layout(shards, np.sort(np.array([r.word for r in found] + [BEGIN.astype(np.int64)], dtype=np.int64).view(np.uint64)))
 
 
 def _chunk_rows(chunk: int, ids: list, trains: np.ndarray, texts: list[bytes], layout: Layout) -> Iterator[tuple[int, int, bytes]]:
@@ -316,8 +371,9 @@ def language_model_scores(docs: DataFrame, learns: Column, chunk_bytes: int = CH
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learns, F.lit(False)).alias("learns"))
-    n_shards = shards or 2 * partitions
-    shared = spark.sparkContext.broadcast(Layout(n_shards, _frequent(base, n_shards)))
+    layout = _layout(base, 2 * partitions, shards)
+    partitions = max(partitions, layout.shards // 4)
+    shared = spark.sparkContext.broadcast(layout)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout, chunk = shared.value, TaskContext.get().partitionId() << 32
