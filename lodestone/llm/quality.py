@@ -6,12 +6,14 @@ learned layer over its byte histogram and a few word statistics; gated attention
 classified.  Encoder, attention and classifier are trained together from document
 labels alone.
 
-Learning takes a bounded sample (`train_docs`), chosen by a hash of the id;
-every passage of every text is scored.
+Learning takes a bounded sample (`train_docs` documents, `train_passages` passages),
+chosen by a hash of the id; it runs in one executor task, and only the model comes to
+the driver.  Every passage of every text is scored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import fitted
 from lodestone.llm.textops import NON_SPACE, blocks, words_of
 from lodestone.llm.toxicity import labelled_sample
 
@@ -121,10 +124,11 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, steps: int = 150, rate: floa
     return m
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, train_docs: int = 3000) -> Model | None:
+def train_quality(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, train_passages: int = 1 << 16) -> Model | None:
     """Fits the model on at most about train_docs of the docs that labels.quality marks; None without usable labels.
 
-    The sample's passages come to the driver as feature rows of 16-bit numbers, no texts.
+    Documents are taken in an order by a hash of their passages for as long as they
+    have no more than train_passages in all (1 KB each while learning).
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +137,21 @@ def train_quality(docs: DataFrame, labels: DataFrame, train_docs: int = 3000) ->
             own = [rows[a:b].astype(np.float16).tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column("label")], ["bag", "label"])
 
-    got = labelled_sample(docs, labels, "quality", train_docs).mapInArrow(encode, "bag binary, label int").collect()
-    usable = sorted((bytes(r.bag), int(r.label > 0)) for r in got if r.bag)
-    if not usable:
-        return None
-    bags = [np.frombuffer(b, dtype=np.float16).reshape(-1, FEATURES).astype(np.float32) for b, _ in usable]
-    return fit(bags, np.array([y for _, y in usable], dtype=np.float32))
+    def learn(batches: Iterator[pa.RecordBatch]) -> bytes | None:
+        bags, labels_, left = [], [], train_passages
+        for batch in batches:
+            for bag, label in zip(batch.column("bag"), batch.column("label").to_pylist(), strict=True):
+                own = np.frombuffer(bag.as_buffer(), dtype=np.float16).reshape(-1, FEATURES)
+                left -= len(own)
+                if left < 0:
+                    break
+                bags.append(own.astype(np.float32))
+                labels_.append(label > 0)
+        return pickle.dumps(fit(bags, np.array(labels_, dtype=np.float32))) if bags else None
+
+    sample = labelled_sample(docs, labels, "quality", train_docs).mapInArrow(encode, "bag binary, label int").filter(F.length("bag") > 0)
+    model = fitted(sample.withColumn("at", F.xxhash64("bag")), ["at", "bag", "label"], learn)
+    return pickle.loads(model) if model else None
 
 
 def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
