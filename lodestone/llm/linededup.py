@@ -8,8 +8,8 @@ all of whose positions are in the twice-seen plane are suspected; only those
 are shuffled, where exact keys are counted by document and the first occurrence
 is chosen.
 
-The broadcast plane has a fixed size (`filter_bits`, 8 MiB by default), however
-large the input is.  A filter that fills up lets more lines through to the exact
+The planes grow with the texts' bytes, from 8 MiB to 128 MiB (see plane_bits), which
+bounds what is broadcast.  A plane that fills up lets more lines through to the exact
 count and never changes the result.
 """
 
@@ -64,7 +64,12 @@ def _twice_seen(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     return bloom.plane(docs.select("text").mapInArrow(parts, bloom.PARTS), bits, 2)
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int = 1 << 26) -> DataFrame:
+def plane_bits(text_bytes: int) -> int:
+    """A power of two of about 16 bits for each 128 bytes of text, a long line, from 2**26 to 2**30."""
+    return 1 << min(30, max(26, (text_bytes // 8).bit_length()))
+
+
+def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int | None = None) -> DataFrame:
     """Drops lines whose key is found in at least min_docs documents.
 
     A key is the line with `[\\x20\\x09-\\x0D]` stripped at both ends and A-Z
@@ -77,10 +82,13 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     doc_id count as one document, and each such row is returned.  A null doc_id
     is a document of its own kind, ordered before the others.  Other columns
     pass through whatever their names are, unless they begin with an underscore
-    followed by one of this operator's names.
+    followed by one of this operator's names.  filter_bits is the size of a plane,
+    by default plane_bits of all texts.
     """
     if min_docs < 2 or keep not in ("none", "first"):
         raise ValueError("min_docs must be at least 2, keep one of none, first")
+    if filter_bits is None:
+        filter_bits = plane_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     if filter_bits & (filter_bits - 1) or not bloom.SEGMENT_BITS <= filter_bits <= 1 << 32:
         raise ValueError("filter_bits must be a power of two from 2**16 to 2**32")
     plane = docs.sparkSession.sparkContext.broadcast(_twice_seen(docs, filter_bits, min_chars))
