@@ -28,6 +28,8 @@ from lodestone.llm.textops import blocks
 GRAM = 4
 SLOT_BITS = 20
 UNKNOWN = "und"
+#: The filters of 64 languages are 8 MiB, so this bounds what is broadcast to 64 MiB.
+MOST_LANGUAGES = 512
 
 #: Bytes as the n-grams see them: letters in lower case, other ASCII as a space.
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
@@ -38,14 +40,13 @@ _FOLD[0x80:] = np.arange(0x80, 0x100)
 
 class Filters(NamedTuple):
     languages: list[str]
-    #: A bitmask of languages by slot.
+    #: Bitmasks of languages by slot, one for each 64 languages.
     masks: np.ndarray
 
     def false_positives(self) -> np.ndarray:
         """For each language, how likely an n-gram that isn't in its filter seems to be."""
-        bits = np.arange(len(self.languages), dtype=np.uint64)
-        fill = ((self.masks[:, None] >> bits) & np.uint64(1)).mean(axis=0)
-        return np.minimum(fill**2, 0.999)
+        fill = [((self.masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(self.languages))]
+        return np.minimum(np.array(fill) ** 2, 0.999)
 
 
 def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +56,8 @@ def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     folded = _FOLD[np.frombuffer(data, dtype=np.uint8)]
     text = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     space = folded == 0x20
-    kept = ~(space & np.concatenate([[False], space[:-1]]))  # runs of spaces count as one
+    kept = np.ones(len(space), dtype=bool)
+    kept[1:] = ~(space[1:] & space[:-1] & (text[1:] == text[:-1]))  # a text's runs of spaces count as one
     folded, text = folded[kept].astype(np.uint32), text[kept]
     n = len(folded) - GRAM + 1
     if n <= 0:
@@ -72,6 +74,10 @@ def _slots(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (gram * np.uint32(0x9E3779B1)) >> shift, ((gram ^ gram >> np.uint32(15)) * np.uint32(0x85EBCA77)) >> shift
 
 
+def _empty(languages: int) -> np.ndarray:
+    return np.zeros((-(-languages // 64), 1 << SLOT_BITS), dtype=np.uint64)
+
+
 def build_filters(grams: dict[str, tuple[np.ndarray, np.ndarray]], kinship: float, least: int) -> Filters:
     """Filters from each language's distinct n-grams and their counts."""
     languages = sorted(grams)
@@ -82,11 +88,11 @@ def build_filters(grams: dict[str, tuple[np.ndarray, np.ndarray]], kinship: floa
         at = np.searchsorted(every, grams[x][0])
         count[i, at] = grams[x][1]
         share[i, at] = grams[x][1] / max(1, grams[x][1].sum())
-    masks = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
+    masks = _empty(len(languages))
     for i in range(len(languages)):
         own = every[(count[i] >= least) & (share[i] >= kinship * share.max(axis=0))]
         for slot in _slots(own):
-            masks[slot] |= np.uint64(1 << i)
+            masks[i // 64, slot] |= np.uint64(1 << i % 64)
     return Filters(languages, masks)
 
 
@@ -95,14 +101,14 @@ def train_languages(docs: DataFrame, train_docs: int = 1500, kinship: float = 0.
 
     A hash of the column sample_by, best an id, chooses them.
     Counts of n-grams, not texts, come to the driver; there are few of them, as
-    n-grams are four bytes long.  Up to 64 languages; rows with null text or lang are left out.
+    n-grams are four bytes long.  Up to MOST_LANGUAGES; rows with null text or lang are left out.
     """
     known = docs.select("text", "lang", F.xxhash64(sample_by).alias("_hash")).filter("text is not null and lang is not null")
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(65).collect()}
-    if len(counts) > 64:
-        raise ValueError("a slot holds 64 languages")
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
-        return Filters([], np.zeros(1 << SLOT_BITS, dtype=np.uint64))
+        return Filters([], _empty(0))
     cut = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, train_docs / n) * (1 << 30))))])
     taken = known.filter(F.pmod("_hash", F.lit(1 << 30)) < cut[F.col("lang")])
 
@@ -136,9 +142,9 @@ def predict_languages(docs: DataFrame, filters: Filters) -> DataFrame:
         for batch, texts in blocks(batches):
             gram, text = _grams(texts)
             first, second = _slots(gram)
-            mask = masks[first] & masks[second]
+            held = [m[first] & m[second] for m in masks]
             total = np.bincount(text, minlength=len(texts))
-            hits = np.stack([np.bincount(text, weights=(mask >> np.uint64(i)) & np.uint64(1), minlength=len(texts)) for i in range(len(languages))], axis=1) if languages else np.zeros((len(texts), 0))
+            hits = np.stack([np.bincount(text, weights=(held[i // 64] >> np.uint64(i % 64)) & np.uint64(1), minlength=len(texts)) for i in range(len(languages))], axis=1) if languages else np.zeros((len(texts), 0))
             likely = np.maximum((hits - total[:, None] * wrong) / (1 - wrong), 0.0)
             langs, scores = [], []
             for i, t in enumerate(texts):
