@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import stored
+from lodestone.llm.shared import discard, stored
 
 
 def _minimum_star(pairs: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
     before = None
     for _ in range(rounds):
-        edges = stored(_small_star(_large_star(edges)), "star")
+        old, edges = edges, stored(_small_star(_large_star(edges)), "star")
+        discard(old)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
         if now == before or not now.n:
             return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))

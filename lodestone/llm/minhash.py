@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bloom
 from lodestone.llm.components import connected_components
-from lodestone.llm.shared import id_or_null, row_id, stored
+from lodestone.llm.shared import discard, id_or_null, row_id, stored
 from lodestone.llm.textops import NON_SPACE, blocks, mix64, window_hashes, words_of
 
 BASE = 1.001
@@ -46,8 +46,8 @@ DEVIATIONS = 4.0
 BEST = 2
 #: Bits of the filter that tells which texts are worth reading again; it is broadcast (8 MiB).
 FILTER_BITS = 1 << 26
-#: Sets on either side of a block of pairs to verify.
-SETS = 4096
+#: Shingles (8 bytes each) of the sets on either side of a block of pairs to verify.
+BLOCK_SHINGLES = 1 << 20
 #: Rows on either side of a block of pairs.
 BLOCK = 1024
 
@@ -193,7 +193,7 @@ def _sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 
 def _across(shared: DataFrame, classes: DataFrame, placed: DataFrame, docs: DataFrame, size: int, percent: int, least: float) -> DataFrame:
-    """Pairs of one bucket but different components that look linked, with few others: a, b.
+    """Pairs of one bucket but different components that look linked, with few others, written: a, b.
 
     In a bucket, every class outside its largest component meets every class of
     other components, in blocks of about BLOCK rows a side.
@@ -280,16 +280,20 @@ def _across(shared: DataFrame, classes: DataFrame, placed: DataFrame, docs: Data
 
     partitions = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocked = dealt.repartition(partitions, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return blocked.mapInArrow(pairs, "a bigint, b bigint").distinct()
+    found = stored(blocked.mapInArrow(pairs, "a bigint, b bigint").distinct(), "across")
+    discard(mixed)
+    return found
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of _ids, a table, those with 100 * |A and B| >= percent * |A or B| on the full sets: u, v.
 
-    Sets and pairs meet in blocks of about SETS sets a side; a set goes to a block once.
+    Sets and pairs meet in blocks of about BLOCK_SHINGLES a side, however long the sets
+    are, or of one set that is longer; a set goes to a block once.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_need")).distinct()
-    sides = max(1, -(-ids.count() // SETS))
+    total = ids.join(classes.select(F.col("rep").alias("_need"), "n"), "_need").agg(F.sum("n")).first()[0] or 0
+    sides = max(1, -(-total // BLOCK_SHINGLES))
     held = _sets_of(ids, docs, size)
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(sides)).cast("int")
     asked = pairs.select("a", "b", spot("a").alias("x"), spot("b").alias("y"))
@@ -336,13 +340,16 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
     stars = shared.select(F.col("rep").alias("a"), F.explode(F.array("l1", "l2")).alias("b")).filter("a <> b").distinct()
     order = Window.partitionBy("a").orderBy(F.desc("j"), "b")
     best = _estimated(stars, classes, least).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= BEST).select("a", "b")
-    links = stored(_verified(stored(best, "best"), keyed, shingle, percent), "links")
+    best = stored(best, "best")
+    links = stored(_verified(best, classes, keyed, shingle, percent), "links")
     first = connected_components(links).select(F.col("vertex").alias("rep"), "component")
     roots = first.select(F.col("component").alias("rep"), "component").distinct()
     placed = stored(first.union(roots), "placed")
-    more = stored(_across(shared.select("bucket", "rep"), classes, placed, keyed, shingle, percent, least), "across")
-    late = stored(_verified(more, keyed, shingle, percent), "late")
+    more = _across(shared.select("bucket", "rep"), classes, placed, keyed, shingle, percent, least)
+    discard(best, shared, placed)
+    late = stored(_verified(more, classes, keyed, shingle, percent), "late")
     final = connected_components(links.union(late)).select(F.col("vertex").alias("rep"), "component")
+    discard(more, links, late)
     labels = classes.join(final, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("_component"))
     told = members.join(labels, ["h1", "h2"], "left").withColumn("_component", F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("_id")))
     return told.select("doc_id", F.col("n").alias("n_shingles"), id_or_null("_component").alias("component_id"), (F.col("_component") == F.col("_id")).alias("kept"), "_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back; the files go when the driver's JVM ends."""
+    """df, written to the shared folder and read back; the files go with discard(), or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     schema = df.schema
@@ -35,7 +39,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that stored() gave and whose consumers have been written; other tables are left alone."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            hadoop_path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def fitted(sample: DataFrame, order: list[str], fit: Callable[[Iterator[pa.RecordBatch]], bytes]) -> bytes | None:
