@@ -16,7 +16,7 @@ from lodestone.llm.decontam import mark_contamination
 from lodestone.llm.linededup import drop_repeated_lines
 from lodestone.llm.minhash import near_duplicate_classes
 from lodestone.llm.packing import added_tokens, pack_sequences
-from lodestone.llm.shared import stored, told_apart
+from lodestone.llm.shared import discard, stored, told_apart
 from lodestone.llm.toxicity import score_toxicity, train_toxicity
 
 TOXIC = 0.7
@@ -92,5 +92,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        read, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        discard(read)
     return STAGES[-1][1](spark, docs, sf_dir)
