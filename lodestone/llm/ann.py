@@ -187,7 +187,7 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall:
     smaller vec_id; fewer than k where there are fewer candidates.  Vectors that are
     null, zero, or hold null or non-finite components take no part, nor do vectors
     of another length than most have, nor rows with a null vec_id.  Rows that repeat
-    a vec_id are one candidate.  Other columns are not read.
+    a vec_id are one vector, the one that sorts first, and ask if any of them does.  Other columns are not read.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asks")).filter("vec_id is not null")
@@ -218,15 +218,15 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall:
             if batch.num_rows:
                 x = matrix(batch)
                 rows = [r.tobytes() for r in x.astype(np.float64)]
-                yield pa.RecordBatch.from_arrays([pa.array(leaves_of(shared.value, x), pa.int32()), batch.column("vec_id"), pa.array(rows, pa.binary())], ["leaf", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaves_of(shared.value, x), pa.int32()), batch.column("vec_id"), pa.array(rows, pa.binary()), batch.column("asks")], ["leaf", "vec_id", "v", "asks"])
 
-    dealt = stored(base.select("vec_id", "embedding").dropDuplicates(["vec_id"]).mapInArrow(deal, "leaf int, vec_id bigint, v binary"), "dealt")
+    dealt = stored(base.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.bool_or("asks").alias("asks")).mapInArrow(deal, "leaf int, vec_id bigint, v binary, asks boolean"), "dealt")
     counts = dealt.groupBy("leaf").count().collect()  # a row per leaf: sample_rows / 8 at most
     rows_of = np.zeros(int(tree.leaf.max()) + 1, dtype=np.int64)
     rows_of[[r["leaf"] for r in counts]] = [r["count"] for r in counts]
     held = spark.sparkContext.broadcast(rows_of)
     sizes = spark.createDataFrame([(r["leaf"], -(-r["count"] // BLOCK_ROWS)) for r in counts], "leaf int, parts int")
-    placed = dealt.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+    placed = dealt.drop("asks").join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
 
     def pack(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("vec_id")
@@ -238,7 +238,7 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall:
         for whole in batches:
             for begin in range(0, whole.num_rows, PACK_QUERIES):
                 batch = whole.slice(begin, PACK_QUERIES)
-                x, ids = matrix(batch), batch.column("vec_id").to_numpy(zero_copy_only=False)
+                x, ids = np.frombuffer(b"".join(batch.column("v").to_pylist())).reshape(-1, dim), batch.column("vec_id").to_numpy(zero_copy_only=False)
                 asks: dict[int, list[int]] = {}
                 for i, q in enumerate(x):
                     for leaf in opened(shared.value, held.value, q, k):
@@ -247,7 +247,7 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, recall:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["leaf", "query_ids", "queries"])
 
-    asked = base.filter("asks").select("vec_id", "embedding").dropDuplicates(["vec_id"]).mapInArrow(ask, "leaf int, query_ids binary, queries binary")
+    asked = dealt.filter("asks").select("vec_id", "v").mapInArrow(ask, "leaf int, query_ids binary, queries binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

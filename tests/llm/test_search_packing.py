@@ -75,6 +75,9 @@ def test_neighbours_of_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 2.0])], "vec_id bigint, embedding array<float>")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in nearest_neighbours(few, F.col("vec_id") == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 2, 5.0), (0, 2, 1, 4.0)]
+    again = few.union(few.filter("vec_id = 1")).union(spark.createDataFrame([(0, [0.5, 9.0]), (2, [9.0, 9.0]), (None, [9.0, 9.0])], few.schema))  # of a vec_id's vectors the first counts
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in nearest_neighbours(again, F.col("vec_id") == 1).orderBy("rank").collect()]
+    assert got == [(1, 1, 0, 10.0), (1, 2, 2, 4.0)]
     assert nearest_neighbours(few.filter("false"), F.lit(True)).collect() == []
     assert nearest_neighbours(few.withColumn("embedding", F.lit(None).cast("array<float>")), F.lit(True)).collect() == []
 
@@ -186,3 +189,11 @@ def test_added_tokens_in_texts_are_tokens_as_in_the_vocabulary(spark, tmp_path):
             assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], dtype="<u4").tobytes())
             at[r.doc_id] += r.length
         assert at == {i: len(x) for i, x in want.items()}
+
+
+def test_packing_rows_without_an_id_or_with_a_repeated_one(spark):
+    rows = [(None, "a b"), (None, None), (7, "c d e"), (7, "c d e"), (7, "other")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, sequence_id string, length int")
+    got = pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {None: 2 + 1 + 1, 7: 2 * (3 + 1) + 1 + 1}
+    assert pack_sequences(docs.filter("false"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
