@@ -12,29 +12,22 @@ from pyspark.sql import functions as F
 from lodestone.operators.rounds import cut
 
 
-def _recursive(frames: dict[str, DataFrame], sql: str) -> DataFrame:
-    spark = next(iter(frames.values())).sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # read when the query runs; the default stops at a million rows
-    return spark.sql(sql, **frames)
-
-
 def delta_chains(objects: DataFrame, most: int = 5) -> DataFrame:
     """Each delta's chain of bases, `most` hops at most: hash, root, hops, complete.
 
     complete is false where the chain goes on after `most` hops or comes back to
     itself.  objects(hash, base_hash) has a null base for whole objects.
     """
-    sql = f"""
-    WITH RECURSIVE chain(hash, at, hops, seen, cyclic) AS (
-      SELECT hash, hash, 0, array(hash), false FROM {{objects}}
-      UNION ALL
-      SELECT c.hash, o.base_hash, c.hops + 1, array_append(c.seen, o.base_hash), array_contains(c.seen, o.base_hash)
-      FROM chain c JOIN {{objects}} o ON o.hash = c.at
-      WHERE o.base_hash IS NOT NULL AND c.hops < {most} AND NOT c.cyclic)
-    SELECT hash, max_by(at, hops) AS root, max(hops) AS hops, bool_or(cyclic) AS cyclic FROM chain GROUP BY hash"""
-    ends = _recursive({"objects": objects}, sql)
-    more = objects.filter("base_hash is not null").select(F.col("hash").alias("root"), F.lit(True).alias("goes_on"))
-    return ends.join(more, "root", "left").select("hash", "root", F.col("hops").cast("long").alias("hops"), (F.col("goes_on").isNull() & ~F.col("cyclic")).alias("complete"))
+    base = objects.select(F.col("hash").alias("at"), F.col("base_hash").alias("_base"))
+    ends = objects.select("hash", F.col("hash").alias("at"), F.lit(0).cast("long").alias("hops"), F.array("hash").alias("seen"), F.lit(False).alias("cyclic"))
+    for _ in range(most):  # a join a hop, of all chains at once
+        goes_on = F.col("_base").isNotNull() & ~F.col("cyclic")
+        ends = ends.join(base, "at", "left").select(
+            "hash", F.when(goes_on, F.col("_base")).otherwise(F.col("at")).alias("at"), (F.col("hops") + F.when(goes_on, 1).otherwise(0)).alias("hops"),
+            F.when(goes_on, F.array_append("seen", F.col("_base"))).otherwise(F.col("seen")).alias("seen"), (F.col("cyclic") | (goes_on & F.array_contains("seen", F.col("_base")))).alias("cyclic"),
+        )
+    more = base.filter("_base is not null").select("at", F.lit(True).alias("goes_on"))
+    return ends.join(more, "at", "left").select("hash", F.col("at").alias("root"), "hops", (F.col("goes_on").isNull() & ~F.col("cyclic")).alias("complete"))
 
 
 def after_delete(objects: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -163,3 +163,10 @@ def test_overlaps_and_sources_on_one_hot_key(spark):
     steps = [("m", 0, True, [], ["a"]), ("m", 1, False, ["a"], ["b"]), ("m", 2, False, ["c"], ["c"]), ("m", 3, True, [], []), ("n", 0, False, ["a"], [])]
     got = library.invalid_sources(spark.createDataFrame(steps, "media string, ord int, ingest boolean, inputs array<string>, outputs array<string>"))
     assert rows(got) == [("m", 2, "unknown input"), ("m", 3, "only the first step ingests"), ("n", 0, "first step must ingest")]
+
+
+def test_delta_chains_of_five_hops_and_on_cycles(spark):
+    objects = [(i, i - 1 if i else None) for i in range(8)] + [(20, 21), (21, 20), (30, 30), (40, 41), (50, None)]
+    got = tree.delta_chains(spark.createDataFrame(objects, "hash bigint, base_hash bigint"))
+    want = [(i, max(0, i - 5), min(i, 5), i <= 5) for i in range(8)] + [(20, 20, 2, False), (21, 21, 2, False), (30, 30, 1, False), (40, 41, 1, True), (50, 50, 0, True)]
+    assert rows(got, "hash", "root", "hops", "complete") == sorted(want, key=str)
