@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import is_blank
+
 #: Keys that stand in for another one, in order.
 ALIASES = {"artist": ("uploader", "channel", "track_artist"), "title": ("track",)}
 MOST_ENTRIES, MOST_CHARS = 1024, 4096
@@ -145,7 +147,7 @@ def tag_map(known: dict[str, Column], flat: Column | None = None) -> Column:
     if flat is None:
         return tags
     source = lambda key: F.coalesce(known.get(key, none), F.element_at(flat, key))
-    more = {tag: bounded_value(F.when(F.trim(source(key)) != "", source(key))) for tag, key in FURTHER_TAGS.items()}
+    more = {tag: bounded_value(F.when(~is_blank(source(key)), source(key))) for tag, key in FURTHER_TAGS.items()}
     names = F.array(*map(F.lit, more))
     further = F.map_filter(F.map_from_arrays(names, F.array(*more.values())), lambda k, v: v.isNotNull() & ~F.array_contains(F.map_keys(tags), k))
     return F.map_concat(tags, further)

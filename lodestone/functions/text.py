@@ -25,8 +25,17 @@ COVER_PROVIDERS = {
 DEFAULT_PROVIDERS = ("caa_release", "url_relationships", "caa_release_group")
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def is_blank(text: Column) -> Column:
+    return text.rlike(r"(?U)^\s*$")
+
+
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(stripped(text), F.lit(""))
 
 
 def first_non_empty(*texts: Column) -> Column:
@@ -35,7 +44,7 @@ def first_non_empty(*texts: Column) -> Column:
 
 def join_unique(values: Column) -> Column:
     """Trimmed, non-empty values in the order they first occur, joined by `; `."""
-    return F.array_join(F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")), "; ")
+    return F.array_join(F.array_distinct(F.filter(F.transform(values, stripped), lambda x: x != "")), "; ")
 
 
 def credit_text(credits: Column) -> Column:
@@ -286,5 +295,5 @@ def argument_problem(given: Column, known: list[str], required: list[str], non_e
     for key in [*required, *non_empty]:
         problem = problem.when(~F.map_contains_key(given, key), f"{context} requires '{key}'")
         if key in non_empty:
-            problem = problem.when(F.trim(F.element_at(given, key)) == "", f"{context} requires non-empty '{key}'")
+            problem = problem.when(is_blank(F.element_at(given, key)), f"{context} requires non-empty '{key}'")
     return problem

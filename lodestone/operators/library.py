@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import ancestors, escape_xml
+from lodestone.functions.text import ancestors, escape_xml, is_blank, stripped
 
 
 def selected_variants(selectors: DataFrame, available: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def embedded_covers(images: DataFrame, only_front: bool) -> DataFrame:
 
 def normalized_media(media: DataFrame, texts: list[str]) -> DataFrame:
     """Media with their texts trimmed."""
-    return media.withColumns({c: F.trim(c) for c in texts})
+    return media.withColumns({c: stripped(F.col(c)) for c in texts})
 
 
 def normalized_tools(tools: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def normalized_tools(tools: DataFrame) -> DataFrame:
 
 def normalized_files(files: DataFrame) -> DataFrame:
     """File records whose path, media and hash aren't blank."""
-    return files.filter((F.trim("path") != "") & (F.trim("media") != "") & (F.trim("hash") != ""))
+    return files.filter(~is_blank(F.col("path")) & ~is_blank(F.col("media")) & ~is_blank(F.col("hash")))
 
 
 def merged_outputs(tools: DataFrame, steps: DataFrame) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import json
 import lzma
+import random
 import tarfile
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import documents, templates, text
 from lodestone.operators import library, log, tree, workflow
 from lodestone.sources import archives, files, journal
 from lodestone.streaming import log as stream
@@ -170,3 +173,65 @@ def test_delta_chains_of_five_hops_and_on_cycles(spark):
     got = tree.delta_chains(spark.createDataFrame(objects, "hash bigint, base_hash bigint"))
     want = [(i, max(0, i - 5), min(i, 5), i <= 5) for i in range(8)] + [(20, 20, 2, False), (21, 21, 2, False), (30, 30, 1, False), (40, 41, 1, True), (50, 50, 0, True)]
     assert rows(got, "hash", "root", "hops", "complete") == sorted(want, key=str)
+
+
+def test_documents_of_random_shape_are_flattened(spark):
+    rng = random.Random(4)
+
+    def made(depth, path, want):
+        """A random value, whose scalars are put into want by path."""
+        kind = rng.choice(["text", "number", "null", "flag", "list"] + ["object", "array"] * 2 * (depth < 4))
+        if kind == "object":
+            return {k: made(depth + 1, f"{path}_{k}" if path else k, want) for k in rng.sample("abcdef", rng.randrange(4))}
+        if kind == "array":
+            return [{"k": made(depth + 1, f"{path}_{i}_k", want)} for i in range(rng.randrange(1, 3))]
+        if kind == "list":
+            own = [rng.choice([1, "x", None, True]) for _ in range(rng.randrange(3))]
+            want.append((path, "; ".join("true" if x is True else str(x) for x in own if x is not None)))
+            return own
+        value = {"text": rng.choice(["", "a b", "é", "y" * 5000]), "number": rng.choice([0, -1, 2.5]), "null": None, "flag": True}[kind]
+        if value is not None:
+            want.append((path, value[:4096] if isinstance(value, str) else "true" if value is True else str(value)))
+        return value
+
+    cases = []
+    for i in range(150):
+        want: list = []
+        cases.append((i, json.dumps({"root": made(0, "root", want)}), sorted(want)))
+    docs = spark.createDataFrame([(i, d) for i, d, _ in cases] + [(900, "no json"), (901, None)], "i int, d string")
+    got = {r.i: sorted((e.key, e.value) for e in r.f) for r in docs.select("i", documents.flattened(F.col("d")).alias("f")).collect()}
+    assert got == {i: want for i, _, want in cases} | {900: [], 901: []}
+
+
+def test_command_parts_of_random_lists(spark):
+    rng = random.Random(7)
+    cases, want = [], {}
+    for i in range(120):
+        lists = {n: [rng.choice(["a", "b c", "", "''", "é"]) for _ in range(rng.randrange(4))] for n in rng.sample(["x", "y", "z"], rng.randrange(4))}
+        parts = [rng.choice(["run", "", "''", "*x", "*y", "*none", "-v"]) for _ in range(rng.randrange(6))]
+        cases.append((i, parts, {n: json.dumps(v) for n, v in lists.items()}))
+        want[i] = [p for part in parts for p in (lists.get(part[1:], []) if part.startswith("*") else [part]) if p not in ("", "''")]
+    rows_ = spark.createDataFrame(cases, "i int, parts array<string>, lists map<string,string>")
+    assert {r.i: r.c for r in rows_.select("i", templates.command_parts(F.col("parts"), F.col("lists")).alias("c")).collect()} == want
+
+
+def test_tags_are_filled_where_absent(spark):
+    known = {"title": F.col("t"), "artist": F.lit(None).cast("string"), "date": F.lit("2001")}
+    flat = F.create_map(F.lit("musicbrainz_release_asin"), F.col("t"), F.lit("artist"), F.lit("from entries"), F.lit("musicbrainz_release_status"), F.lit(" "))
+    row = spark.createDataFrame([("é" * 3000,), ("x",)], "t string").select(documents.tag_map(known, flat).alias("m"), documents.tag_map(known).alias("plain")).collect()
+    assert row[1].m == {"title": "x", "date": "2001", "artistcredit": "from entries", "releasedate": "2001", "asin": "x"} and row[1].plain == {"title": "x", "date": "2001"}
+    assert len(row[0].m["asin"]) == 3000  # longer than the bound in bytes, not in characters
+
+
+def test_argument_contracts(spark):
+    given = [{"mode": "x", "path": "a"}, {"mode": "x", "path": "\t"}, {"path": "a"}, {"mode": "x"}, {"b": "1", "a": "1", "mode": "x", "path": "a"}, {}]
+    problem = text.argument_problem(F.col("g"), ["mode", "path"], ["mode"], ["path"], "op")
+    got = [r.p for r in spark.createDataFrame([(g,) for g in given], "g map<string,string>").select(problem.alias("p")).collect()]
+    assert got == [None, "op requires non-empty 'path'", "op requires 'mode'", "op requires 'path'", "op does not accept arg 'a'", "op requires 'mode'"]
+
+
+def test_normalising_strips_all_white_space(spark):
+    media = spark.createDataFrame([("\t a b\u00a0\n", None)], "title string, artist string")
+    assert rows(library.normalized_media(media, ["title", "artist"])) == [("a b", None)]
+    files_ = spark.createDataFrame([("p", "m", "h"), ("\n", "m", "h"), ("p", "", "h"), ("p", "m", None)], "path string, media string, hash string")
+    assert rows(library.normalized_files(files_), "path", "media", "hash") == [("p", "m", "h")]
