@@ -63,7 +63,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that of the smallest doc_id; of rows that repeat it and its text, one."""
     held = told_apart(_folded(docs))
-    kept = near_duplicate_classes(held.select(F.col("_id").alias("doc_id"), "text"), shingle=SHINGLE, percent=PERCENT).filter("kept").select("_id")
+    kept = near_duplicate_classes(held.select(F.col("_id").alias("doc_id"), "text"), shingle=SHINGLE, percent=PERCENT, apart=True).filter("kept").select("_id")
     return _unfolded(held.join(kept, "_id", "left_semi").dropDuplicates(["_id"]), docs)
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bloom
 from lodestone.llm.components import connected_components
-from lodestone.llm.shared import discard, id_or_null, row_id, stored
+from lodestone.llm.shared import discard, row_id, stored, told_apart
 from lodestone.llm.textops import NON_SPACE, blocks, mix64, window_hashes, words_of
 
 BASE = 1.001
@@ -313,7 +313,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     return asked.groupBy("x", "y").cogroup(dealt.groupBy("px", "py")).applyInPandas(confirm, "u bigint, v bigint")
 
 
-def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, apart: bool = False) -> DataFrame:
     """Components of documents linked by 100 * |A and B| >= percent * |A or B| over their shingle sets.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; the set holds
@@ -321,19 +321,23 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
     fewer words.
 
     Returns a row per row of docs: doc_id, n_shingles, component_id (the smallest
-    doc_id reachable, itself included), kept (doc_id = component_id), and _id, the
-    row's id inside this operator.  Documents without words or text have an empty
-    set, are linked with nothing and are kept.  Rows that repeat a doc_id must hold
-    the same text and are one document.  A null doc_id is smaller than all others;
-    each null one is told by its text, and component_id is null where such a
-    document is the smallest.  Other columns are not read.
+    doc_id reachable, itself included), kept (whether the row is the first document
+    of its component), and _id, the document's number inside this operator.
+    Documents without words or text have an empty set, are linked with nothing and
+    are kept.  A null doc_id is smaller than all others, and component_id is null
+    where such a document is the smallest.  Rows that repeat a doc_id and its text
+    are one document; rows of one doc_id, or of none, with different texts are
+    different documents, in an order by their texts' hashes, of which at most the
+    first of a component is kept.  With apart, no doc_id but null has several
+    texts, and none are looked for.  Other columns are not read.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100: bands are laid out for 80 and find less below")
-    keyed = docs.select(row_id().alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = keyed.withColumn("_id", row_id()) if apart else told_apart(keyed)
     least = _least_estimate(percent / 100)
     members = stored(_sketched(keyed, shingle), "members")
-    classes = stored(members.filter("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
+    classes = stored(members.filter("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.min_by("doc_id", "_id").alias("lead"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
     bands = _bands(classes)
     leads = bands.groupBy("bucket").agg(F.min("rep").alias("l1"), F.min_by("rep", F.xxhash64("rep")).alias("l2"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
     shared = stored(bands.join(leads, "bucket"), "shared")
@@ -350,6 +354,16 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
     late = stored(_verified(more, classes, keyed, shingle, percent), "late")
     final = connected_components(links.union(late)).select(F.col("vertex").alias("rep"), "component")
     discard(more, links, late)
-    labels = classes.join(final, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("_component"))
-    told = members.join(labels, ["h1", "h2"], "left").withColumn("_component", F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("_id")))
-    return told.select("doc_id", F.col("n").alias("n_shingles"), id_or_null("_component").alias("component_id"), (F.col("_component") == F.col("_id")).alias("kept"), "_id")
+    leads = classes.select(F.col("rep").alias("component"), F.col("lead").alias("first"))
+    named = classes.select("rep", "h1", "h2", "lead").join(final.join(leads, "component"), "rep", "left")
+    own = F.col("component").isNull()
+    labels = named.select("h1", "h2", F.coalesce("component", "rep").alias("_component"), F.when(own, F.col("lead")).otherwise(F.col("first")).alias("first"))
+    told = members.join(labels, ["h1", "h2"], "left")
+    empty = F.col("n") == 0
+    return told.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("first")).alias("component_id"),
+        (empty | (F.col("_component") == F.col("_id"))).alias("kept"),
+        "_id",
+    )

@@ -33,7 +33,8 @@ def _crc_mod(doc_id: str, n: int) -> F.Column:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(_table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("_id")
+    out = near_duplicate_classes(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), "kept").alias("kept"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

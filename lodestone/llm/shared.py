@@ -83,8 +83,3 @@ def told_apart(docs: DataFrame) -> DataFrame:
     texts = keyed.select(F.col("_id").alias("_row"), "_version").distinct().orderBy("_row", "_version")
     numbers = stored(texts.withColumn("_id", F.monotonically_increasing_id()), "numbers")
     return keyed.withColumnRenamed("_id", "_row").join(numbers, ["_row", "_version"]).drop("_row", "_version")
-
-
-def id_or_null(column: str | Column) -> Column:
-    c = F.col(column) if isinstance(column, str) else column
-    return F.when(c >= NULL_IDS_END, c)

@@ -77,6 +77,20 @@ def test_near_duplicates_with_null_ids_and_empty_tables(spark):
     assert near_duplicate_classes(frame(spark, [])).collect() == []
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    rng = random.Random(3)
+    a, b = (" ".join(words(rng, 80, 5000)) for _ in range(2))
+    rows = [(5, a), (5, b), (5, b), (7, a + " x"), (8, b + " x"), (4, b + " y"), (6, None), (6, "z"), (None, "u v"), (None, "w")]
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id, r.kept) for r in near_duplicate_classes(frame(spark, rows), shingle=5).collect()), key=str)
+    n = 76
+    want = [(5, n, 5, True), (5, n, 4, False), (5, n, 4, False), (7, n + 1, 5, False), (8, n + 1, 4, False), (4, n + 1, 4, True)]
+    want += [(6, 0, 6, True), (6, 1, 6, True), (-1, 1, None, True), (-1, 1, None, True)]
+    assert got == sorted(want, key=str)
+    both = near_duplicate_classes(frame(spark, [(5, a), (5, a + " x"), (9, a + " y")]), shingle=5).collect()
+    assert {r.component_id for r in both} == {5}
+    assert sorted(r.kept for r in both) == [False, False, True]
+
+
 def test_estimates_follow_the_similarity():
     rng = np.random.default_rng(0)
     for j in (0.5, 0.8, 0.95):
