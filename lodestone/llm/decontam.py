@@ -114,7 +114,7 @@ def mark_contamination(docs: DataFrame, items: DataFrame, window: int = 10, bloc
 
     Returns the columns of docs and `_n_words`, `_n_hit`, `_items` (the item_ids
     with occurring windows, as sorted strings), `_spans` (from and to, in bytes of
-    the UTF-8 text, of each hit word).  Null and empty texts, and null and empty
+    the UTF-8 text, of each hit word); input columns of these names are overwritten.  Null and empty texts, and null and empty
     items, have no words.  Repeated items count once by item_id; a null item_id is
     left out of `_items`, but its words are hit.  Each row of docs is judged by
     itself, whatever its doc_id.

@@ -131,7 +131,8 @@ def predict_languages(docs: DataFrame, filters: Filters) -> DataFrame:
     """Adds `_lang` and `_lang_score` (0 to 1) to every row of docs, from its whole text.
 
     `und` with score 0 if the text is null, has no letter, or nothing was learned.
-    Ties go to the language that sorts first.  Other columns pass through.
+    Ties go to the language that sorts first.  Other columns pass through, but for
+    input columns `_lang` and `_lang_score`, which are overwritten.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     schema = docs.withColumns({"_lang": F.lit(""), "_lang_score": F.lit(0.0)}).schema

@@ -159,7 +159,8 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Null texts and texts without words have no passages; theirs is the classifier's
     value for an empty representation, and 0.5 for all texts without a model.
-    Equal texts get equal scores; other columns pass through.
+    Equal texts get equal scores; other columns pass through, but for an input
+    column `_score`, which is overwritten.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.withColumn("_score", F.lit(0.0)).schema

@@ -139,7 +139,8 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """Adds `_score` (0 to 1, higher: toxicity likelier) to every row of docs.
 
     Whole texts are scored.  Null and empty texts have no features, so theirs is
-    the bias alone.  Equal texts get equal scores; other columns pass through.
+    the bias alone.  Equal texts get equal scores; other columns pass through, but for an input
+    column `_score`, which is overwritten.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.withColumn("_score", F.lit(0.0)).schema
