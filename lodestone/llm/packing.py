@@ -16,21 +16,18 @@ holds no more than its open sequences.
 
 from __future__ import annotations
 
-import base64
-import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
-from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-END_ID = 0
+from lodestone.llm.tokens import added_tokens, token_ids
+
+__all__ = ["Limits", "Packer", "Piece", "added_tokens", "pack_sequences", "powers_of_two"]
 
 
 class Limits(NamedTuple):
@@ -129,21 +126,6 @@ def powers_of_two(pieces: list[Piece]) -> Iterator[list[Piece]]:
         yield own
 
 
-@lru_cache(maxsize=2)
-def encoder(ranks_path: str, pattern: str, special_tokens: tuple[tuple[str, int], ...] = ()) -> tiktoken.Encoding:
-    """A byte-level BPE; strings of special tokens in a text are those tokens, whatever surrounds them."""
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks_path).read_bytes().splitlines())}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special_tokens))
-
-
-def added_tokens(json_path: str) -> tuple[tuple[str, int], ...]:
-    """The added tokens of a vocabulary in the form of `tokenizers`, with their ids."""
-    added = json.loads(Path(json_path).read_text())["added_tokens"]
-    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
-        raise ValueError("added tokens must be matched as they are")
-    return tuple((t["content"], t["id"]) for t in added)
-
-
 OUT = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _NAMES = [x.split()[0] for x in OUT.split(", ")]
 
@@ -161,7 +143,8 @@ def pack_sequences(docs: DataFrame, ranks_path: str, pattern: str, limits: Limit
     Returns a row per piece: doc_id, start (its document's ids before it), length,
     ids_crc32 (of the ids as little-endian unsigned 32-bit integers), doc_tokens
     (with the id 0), sequence_id, offset (from 0, without gaps, in the sequence),
-    and `ids` array<int> if with_ids.  Null and empty texts are the id 0 alone.
+    and `ids` array<int> if with_ids.  Null and empty texts are the id 0 alone;
+    runs of millions of blanks or newlines are encoded like any other text.
     Every row of docs is packed, rows that repeat a doc_id too; a null doc_id
     stays null.  Other columns are not read.
     """
@@ -169,8 +152,7 @@ def pack_sequences(docs: DataFrame, ranks_path: str, pattern: str, limits: Limit
         raise ValueError("limits must be positive")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(ranks_path, pattern, special_tokens)
-        encode = partial(encoding.encode, allowed_special="all") if special_tokens else encoding.encode_ordinary
+        encode = token_ids(ranks_path, pattern, special_tokens)
         packer, number = Packer(limits, open_most), TaskContext.get().partitionId() << 33
         held: dict[int, list] = {}  # documents with pieces in open sequences: doc_id, ids as bytes, tokens, tokens not yet written
         rows: list[tuple] = []
@@ -198,8 +180,7 @@ def pack_sequences(docs: DataFrame, ranks_path: str, pattern: str, limits: Limit
         for batch in batches:
             masks = batch.column("_mask").to_pylist() if loss_mask else [None] * batch.num_rows
             for doc_id, text, mask in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), masks, strict=True):
-                ids = encode(text) if text else []
-                ids.append(END_ID)
+                ids = encode(text)
                 n = len(ids)
                 sums = None
                 if mask is not None:

@@ -30,12 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back; the files go with discard(), or when the driver's JVM ends."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df, written to the shared folder and read back; the files go with discard(), or when the driver's JVM ends.
+
+    A reader that asks for one value of the column by opens only that value's files.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
