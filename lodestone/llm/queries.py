@@ -12,6 +12,7 @@ from lodestone.llm.bestfit import best_fit_pack
 from lodestone.llm.decontam import mark_contamination
 from lodestone.llm.langid import predict_languages, train_languages
 from lodestone.llm.linededup import drop_repeated_lines
+from lodestone.llm.merkle import leaf, merkle_manifest, others_digest, with_folded_root
 from lodestone.llm.minhash import near_duplicate_classes
 from lodestone.llm.ngramlm import language_model_scores
 from lodestone.llm.packing import added_tokens, pack_sequences
@@ -99,6 +100,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_crc_mod("doc_id", 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+
+    def row_leaf(n_chars: F.Column) -> F.Column:
+        return leaf([F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")])
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, row_leaf(F.col("n_chars") + 1))
+    rows = docs.select("doc_id", "lang", row_leaf(F.col("n_chars")).alias("own"), tampered.alias("tampered"))
+    out = merkle_manifest(rows, F.col("own"), F.col("lang"), [F.col("doc_id")], fanout=2, levels=10, keep=("doc_id", "tampered"))
+    folded = with_folded_root(out.withColumn("claimed", F.coalesce("tampered", "leaf")), "claimed")
+    return folded.select("doc_id", "leaf", "subroot", "root", others_digest().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -118,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
@@ -125,6 +140,9 @@ _ITEM_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "({n})", "text"))
+
 SQL: dict[str, str] = {
     "op1_minhash_near_dedup": rf"""
 WITH RECURSIVE words AS (
@@ -175,4 +193,35 @@ found AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(found.n, 0) AS BIGINT) AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS t FROM range(256) r(b)),
+rows AS (
+  SELECT doc_id, lang, n_chars, source, text, doc_id IS NOT NULL AND
+    xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)), lambda c, d: xor(c // 256, t[1 + xor(c, d) % 256]), 4294967295)) % 7 = 0 AS odd
+  FROM documents, crc_table),
+leaves AS (
+  SELECT doc_id, lang, sha256({_LEAF.format(n="n_chars")}) AS leaf, CASE WHEN odd THEN sha256({_LEAF.format(n="n_chars + 1")}) END AS tampered FROM rows),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+tree AS (
+  SELECT lang, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM placed
+  UNION ALL
+  SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, level, i // 2),
+tops AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM tree WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, i, h, count(*) OVER () AS n FROM tops
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM upper WHERE n > 1 GROUP BY level, i // 2),
+climb AS (
+  SELECT p.doc_id, p.lang, p.i AS row, 0 AS level, p.i, p.leaf, coalesce(p.tampered, p.leaf) AS folded, '' AS proof, t.n FROM placed p JOIN tree t ON p.lang IS NOT DISTINCT FROM t.lang AND t.level = 0 AND t.i = p.i
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.row, c.level + 1, c.i // 2, c.leaf, sha256(CASE WHEN c.i % 2 = 1 THEN coalesce(s.h, '') || c.folded ELSE c.folded || coalesce(s.h, '') END), c.proof || coalesce(s.h, ''), (c.n + 1) // 2
+  FROM climb c LEFT JOIN tree s ON c.lang IS NOT DISTINCT FROM s.lang AND s.level = c.level AND s.i = xor(c.i, 1) WHERE c.n > 1),
+climb_top AS (
+  SELECT c.doc_id, c.leaf, o.h AS subroot, 0 AS level, o.i, c.folded, c.proof, u.n FROM climb c JOIN tops o ON c.lang IS NOT DISTINCT FROM o.lang JOIN upper u ON u.level = 0 AND u.i = o.i WHERE c.n = 1
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.subroot, c.level + 1, c.i // 2, sha256(CASE WHEN c.i % 2 = 1 THEN coalesce(s.h, '') || c.folded ELSE c.folded || coalesce(s.h, '') END), c.proof || coalesce(s.h, ''), (c.n + 1) // 2
+  FROM climb_top c LEFT JOIN upper s ON s.level = c.level AND s.i = xor(c.i, 1) WHERE c.n > 1)
+SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = u.h AS verified
+FROM climb_top c JOIN upper u ON u.n = 1 WHERE c.n = 1""",
 }
