@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.ann import nearest_neighbours
 from lodestone.llm.bestfit import best_fit_pack
 from lodestone.llm.decontam import mark_contamination
+from lodestone.llm.divergence import divergence_audit
 from lodestone.llm.langid import predict_languages, train_languages
 from lodestone.llm.linededup import drop_repeated_lines
 from lodestone.llm.merkle import leaf, merkle_manifest, others_digest, with_folded_root
@@ -100,6 +101,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_crc_mod("doc_id", 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(_table(spark, sf_dir, "documents"), min_docs=30, top_terms=50)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
 
@@ -132,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
@@ -193,6 +199,24 @@ found AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(found.n, 0) AS BIGINT) AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op11_source_divergence": rf"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+terms AS (SELECT d, lang, source, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM (SELECT DISTINCT d, lang, term FROM terms) GROUP BY ALL HAVING count(*) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, k.term, CAST(coalesce(n, 0) AS HUGEINT) AS n, CAST(count(*) OVER (PARTITION BY g.lang, g.source) AS HUGEINT) AS v FROM groups g JOIN kept k USING (lang) LEFT JOIN counts USING (lang, source, term)),
+own AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM dense),
+by_lang AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n, any_value(v) AS v FROM dense GROUP BY ALL),
+whole AS (SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM by_lang),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f FROM own x JOIN own y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
     "op12_merkle_manifest": f"""
 WITH RECURSIVE crc_table AS (
   SELECT list(list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS t FROM range(256) r(b)),
