@@ -127,8 +127,8 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, steps: int = 150, rate: floa
 def train_quality(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, train_passages: int = 1 << 16) -> Model | None:
     """Fits the model on at most about train_docs of the docs that labels.quality marks; None without usable labels.
 
-    Documents are taken in an order by a hash of their passages for as long as they
-    have no more than train_passages in all (1 KB each while learning).
+    Documents are taken in an order by a hash of their passages; one that would bring them
+    above train_passages in all (1 KB each while learning) is passed over.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +142,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, tr
         for batch in batches:
             for bag, label in zip(batch.column("bag"), batch.column("label").to_pylist(), strict=True):
                 own = np.frombuffer(bag.as_buffer(), dtype=np.float16).reshape(-1, FEATURES)
+                if len(own) > left:
+                    continue
                 left -= len(own)
-                if left < 0:
-                    break
                 bags.append(own.astype(np.float32))
                 labels_.append(label > 0)
         return pickle.dumps(fit(bags, np.array(labels_, dtype=np.float32))) if bags else None

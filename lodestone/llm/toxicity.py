@@ -106,8 +106,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
 def train_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 8000, train_features: int = 1 << 25, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, epochs: int = 6) -> Model:
     """Fits the model on at most about train_docs of the docs that labels.toxic marks.
 
-    Documents are taken in an order by a hash of their features for as long as they
-    have no more than train_features in all, 4 bytes each.  Without usable labels
+    Documents are taken in an order by a hash of their features; one that would bring them
+    above train_features in all, 4 bytes each, is passed over.  Without usable labels
     the model gives 0.5 everywhere.
     """
 
@@ -124,9 +124,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 8000, t
         for batch in batches:
             for slots, label in zip(batch.column("slots"), batch.column("label").to_pylist(), strict=True):
                 own = np.frombuffer(slots.as_buffer(), dtype=np.int32)
+                if len(own) > left:
+                    continue
                 left -= len(own)
-                if left < 0:
-                    break
                 examples.append((own, int(label > 0)))
         return pickle.dumps(ftrl(examples, alpha, beta, l1, l2, epochs)) if examples else None
 

@@ -237,6 +237,10 @@ def test_very_long_texts_in_the_classifiers(spark, long_rows):
     assert toxic[2] > 0.5 > toxic[1] == toxic[3] and good[1] == good[3] > 0.5 > good[2]
     few = quality.train_quality(docs, labels, train_passages=1)  # only the short text fits into the bound
     assert few is not None
+    for seed in range(4):  # wherever the long text stands in the order, the others are learned from
+        rows = spark.createDataFrame([(i, f"short text {seed} {i} " * (3000 if i == 4 else 1)) for i in range(5)], "doc_id bigint, text string")
+        marks = spark.createDataFrame([(i, i % 2, i % 2) for i in range(5)], "doc_id bigint, quality int, toxic int")
+        assert quality.train_quality(rows, marks, train_passages=8) is not None
     assert toxicity.train_toxicity(docs, labels, train_features=1) is not None
 
 
