@@ -157,7 +157,7 @@ def with_folded_root(rows: DataFrame, leaf_column: str, proof_column: str = "pro
                 tops.append(node if proof is not None else None)
             yield batch.append_column(name, pa.array(tops, pa.string()))
 
-    return rows.mapInArrow(fold, rows.withColumn(name, F.lit("").cast("string")).schema)
+    return rows.mapInArrow(fold, rows.withColumn(name, F.lit(None).cast("string")).schema)
 
 
 def others_digest(proof: str = "proof") -> Column:

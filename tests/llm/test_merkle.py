@@ -71,6 +71,7 @@ def test_small_tables(spark):
     made = lambda df: merkle_manifest(df, leaf([F.col("doc_id")]), F.col("lang"), [F.col("doc_id")], keep=("doc_id",))
     (row,) = with_folded_root(made(one), "leaf").withColumn("digest", others_digest()).collect()
     assert row.leaf == row.subroot == row.root == row.folded_root == sha("1:1") and row.proof == [] and row.digest == sha("")
+    assert [r.folded_root for r in with_folded_root(made(one).withColumn("leaf", F.lit(None).cast("string")), "leaf").collect()] == [None]
     assert made(one.filter("doc_id > 1")).collect() == []
     with pytest.raises(ValueError):
         merkle_manifest(one, leaf([F.col("doc_id")]), F.col("lang"), [], fanout=1)
