@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import compare
-from lodestone.plans import config_queries, library_queries, registry, source_queries, store_queries, synthesis_queries, text_queries, workflow_queries  # noqa: F401
+from lodestone.plans import config_queries, delta_queries, library_queries, registry, source_queries, store_queries, synthesis_queries, text_queries, workflow_queries  # noqa: F401
 
 TABLES = Path("/root/testdata/sf0.001")
 
