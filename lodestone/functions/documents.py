@@ -41,7 +41,7 @@ def find_text(document: str | None, key: str) -> str | None:
     """A key's text: in format, its tags, each stream and its tags, the root; then its aliases'."""
     try:
         parsed = json.loads(document or "")
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
     if not isinstance(parsed, dict):
         return None
@@ -83,7 +83,7 @@ def flatten_json(document: str | None) -> list[tuple[str, str]]:
 
     try:
         walk("", json.loads(document or ""))
-    except ValueError:
+    except (ValueError, RecursionError):
         return []
     return out
 

@@ -21,12 +21,12 @@ def topological_levels(steps: DataFrame, dependencies: DataFrame, rest_rows: int
     """The level of each step: 0 without dependencies, else one more than the highest of them.
 
     steps(wf, step), dependencies(wf, step, needs).  While more than rest_rows
-    dependencies are open, a round settles a level of all workflows at once and drops
+    dependencies are open (a null one is none), a round settles a level of all workflows at once and drops
     the dependencies on it.  The rest, which rest_rows bounds, is settled to the end
     workflow by workflow, however deep it is.  Returns wf, step, level; level is null
     for steps on a cycle or behind one, or behind a step that doesn't exist.
     """
-    open_, waits = steps.select("wf", "step"), dependencies.select("wf", "step", "needs").distinct()
+    open_, waits = steps.select("wf", "step"), dependencies.select("wf", "step", "needs").filter("needs is not null").distinct()
     settled, level = Growing(), 0
     while waits.count() > rest_rows:
         ready = cut(open_.join(waits.select("wf", "step"), ["wf", "step"], "left_anti"))
@@ -133,13 +133,19 @@ def most_recent(instances: DataFrame, group: str) -> DataFrame:
 
 
 def matched_instances(steps: DataFrame, instances: DataFrame) -> DataFrame:
-    """An instance for each step (step, tool, key, required): strict if its key and outputs match, else relaxed.
+    """An instance for each step (step, tool, key, required): strict if tool, key and outputs match, else relaxed.
+
+    Where instances tell `made_key`, the key that their own inputs give, and it isn't their
+    key, they match no step strictly; where they tell `readable`, those whose outputs can't be read match none.
 
     Relaxed takes, among instances of the tool with all required outputs, the one
     with the fewest outputs, then the newest, then the larger key.
     """
+    if "readable" in instances.columns:
+        instances = instances.filter("readable")
     fits = instances.select("tool", F.col("key").alias("ikey"), "outputs", "executed_at")
-    strict = steps.join(fits.select(F.col("ikey").alias("key"), "outputs"), "key").filter(has_outputs(F.col("outputs"), F.col("required"))).select("step", F.col("key").alias("instance"), F.lit("strict").alias("how"))
+    own = instances.filter(F.col("made_key") == F.col("key")) if "made_key" in instances.columns else instances
+    strict = steps.join(own.select("tool", "key", "outputs"), ["tool", "key"]).filter(has_outputs(F.col("outputs"), F.col("required"))).select("step", F.col("key").alias("instance"), F.lit("strict").alias("how"))
     open_ = steps.join(strict, "step", "left_anti").withColumn("required", F.array_sort("required"))
     # of instances with the same outputs only the best can win, and steps with the same needs share it: kinds meet kinds, not rows rows
     kinds = fits.groupBy("tool", F.array_sort("outputs").alias("outputs")).agg(F.max(F.struct("executed_at", "ikey")).alias("best"))

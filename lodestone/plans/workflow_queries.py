@@ -114,12 +114,16 @@ def instance_recency(t: Tables) -> DataFrame:
     return workflow.most_recent(_instances(t), "tool")
 
 
-@query(f"""WITH {_INSTANCES}, s AS (SELECT c_custkey AS step, c_custkey AS tool, sha256(CAST(c_custkey AS VARCHAR)) AS key, CASE WHEN c_custkey % 2 = 0 THEN ['a'] ELSE ['b'] END AS required FROM customer),
-st AS (SELECT step, s.key AS instance, 'strict' AS how FROM s JOIN i ON i.key = s.key WHERE list_has_all(outputs, required))
+@query(f"""WITH {_INSTANCES}, o AS (SELECT o_custkey AS c_custkey, min(o_orderkey) AS first FROM orders GROUP BY 1),
+s AS (SELECT c_custkey AS step, c_custkey AS tool, sha256(CAST(CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE first END AS VARCHAR)) AS key, CASE WHEN c_custkey % 2 = 0 THEN ['a'] ELSE ['b'] END AS required FROM customer LEFT JOIN o USING (c_custkey)),
+st AS (SELECT step, s.key AS instance, 'strict' AS how FROM s JOIN i ON i.key = s.key AND i.tool = s.tool WHERE list_has_all(outputs, required))
 SELECT * FROM st UNION ALL SELECT step, arg_max(i.key, (-len(outputs), executed_at, i.key)), 'relaxed' FROM s JOIN i ON i.tool = s.tool WHERE list_has_all(outputs, required) AND step NOT IN (SELECT step FROM st) GROUP BY step""")
 def instance_match(t: Tables) -> DataFrame:
+    """Steps with the key of their customer's first order, or, every fifth, that of an order of perhaps another customer, which is no match."""
     required = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b")))
-    steps = t.customer.select(F.col("c_custkey").alias("step"), F.col("c_custkey").alias("tool"), hashing.content_hash(F.col("c_custkey").cast("string")).alias("key"), required.alias("required"))
+    first = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("first"))
+    key = hashing.content_hash(F.when(F.col("c_custkey") % 5 == 0, F.col("c_custkey")).otherwise(F.col("first")).cast("string"))
+    steps = t.customer.join(first, "c_custkey", "left").select(F.col("c_custkey").alias("step"), F.col("c_custkey").alias("tool"), key.alias("key"), required.alias("required"))
     return workflow.matched_instances(steps, _instances(t))
 
 

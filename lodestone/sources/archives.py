@@ -88,7 +88,7 @@ def members(archives: DataFrame, key: str, data: str, contents: bool = True, kin
                         if size >= VOLUME_BYTES or len(rows) >= 10000:
                             yield pd.DataFrame(rows, columns=names)
                             rows, size = [], 0
-                except (zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, zlib.error, OSError, EOFError) as e:
+                except (zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError, ValueError) as e:  # encrypted, an unknown compression, odd headers
                     if not quarantine:
                         raise
                     rows.append((archive, volume, idx, None, None, f"broken archive: {type(e).__name__}"))
