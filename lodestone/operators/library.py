@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,12 +222,57 @@ def primary_cover(images: DataFrame, group: str) -> DataFrame:
     return images.groupBy(group).agg(F.min_by("url", F.struct((~F.col("front")).alias("n"), "ord")).alias("url"), F.count("*").alias("images"))
 
 
+def common_length(a: str, b: str) -> int:
+    """The length of the longest sequence of characters that both have in order, a machine word of a at a time."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    open_ = every
+    for c in b:
+        found = open_ & places.get(c, 0)
+        open_ = (open_ + found | open_ - found) & every
+    return len(a) - open_.bit_count()
+
+
+def _marks(keys: DataFrame, known: DataFrame, least_share: float) -> DataFrame:
+    """tool, key, mark: each key's characters (with how often they came before), the rarest of its tool's, as many as a close key must share one of."""
+    letters = keys.select("tool", "key", F.explode(F.split("key", "")).alias("letter")).filter("letter <> ''").groupBy("tool", "key", "letter").agg(F.count("*").alias("n"))
+    marks = letters.select("tool", "key", F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(i.cast("string"), F.col("letter")))).alias("mark"))
+    often = marks.join(known, ["tool", "key"], "left_semi").groupBy("tool", "mark").agg(F.count("*").alias("often"))
+    of_key = Window.partitionBy("tool", "key").orderBy(F.coalesce("often", F.lit(0)), "mark")  # as many rows as the key has characters
+    needed = F.length("key") - F.ceil(F.length("key") * F.lit(least_share) - 1e-9) + 1
+    return marks.join(often, ["tool", "mark"], "left").withColumn("at", F.row_number().over(of_key)).filter(F.col("at") <= needed).select("tool", "key", "mark")
+
+
 def close_keys(unknown: DataFrame, known: DataFrame, most: int = 3, cutoff: float = 0.6) -> DataFrame:
-    """For each unknown key the closest known ones of the same tool, by edit distance: tool, key, near, rank."""
-    both = unknown.join(known.select("tool", F.col("key").alias("near")), "tool")
-    ratio = 1 - F.levenshtein("key", "near") / F.greatest(F.length("key"), F.length("near"))
-    ranked = both.withColumn("ratio", ratio).filter(F.col("ratio") >= cutoff).withColumn("rank", F.row_number().over(Window.partitionBy("tool", "key").orderBy(F.desc("ratio"), "near")))
-    return ranked.filter(F.col("rank") <= most).select("tool", "key", "near", F.col("rank").cast("long").alias("rank"))
+    """For each unknown key (tool, key) the closest known ones of the same tool: tool, key, near, rank.
+
+    A key that ends with `_version` names the known one that it is without that, if there is one, and no
+    other.  Else keys are compared by the share of characters in common in order, twice their
+    number by the sum of lengths; of those at cutoff and above the `most` closest, ties to the
+    later by text.  Keys meet where they share one of their rarest characters, enough of which are taken that no
+    close pair is missed, and where their lengths allow it.
+    """
+    own, all_known = unknown.select("tool", "key").filter("key is not null").distinct(), known.select("tool", "key").filter("key is not null").distinct()
+    suffix = "_version"
+    bare = own.filter(F.col("key").endswith(suffix)).select("tool", "key", F.expr(f"substr(key, 1, length(key) - {len(suffix)})").alias("near"))
+    named = bare.join(all_known.withColumnRenamed("key", "near"), ["tool", "near"], "left_semi").select("tool", "key", "near", F.lit(1).cast("long").alias("rank"))
+    share = cutoff / (2 - cutoff)  # of a key's characters that a close key shares at least
+    marks = _marks(own.unionAll(all_known).distinct(), all_known, share)
+    left = marks.join(own.join(named, ["tool", "key"], "left_anti"), ["tool", "key"], "left_semi")
+    right = marks.join(all_known, ["tool", "key"], "left_semi").withColumnRenamed("key", "near")
+    lengths = (F.least(F.length("key"), F.length("near")) >= F.greatest(F.length("key"), F.length("near")) * share - 1e-9)
+    pairs = left.join(right, ["tool", "mark"]).filter(lengths).select("tool", "key", "near").distinct()
+
+    @F.pandas_udf("int")
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([common_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    ratio = 2 * F.col("common") / (F.length("key") + F.length("near"))
+    close = pairs.withColumn("common", common("key", "near")).withColumn("ratio", ratio).filter(F.col("ratio") >= cutoff)
+    ranked = close.withColumn("rank", F.row_number().over(Window.partitionBy("tool", "key").orderBy(F.desc("ratio"), F.desc("near"))).cast("long"))
+    return ranked.filter(F.col("rank") <= most).select("tool", "key", "near", "rank").unionAll(named)
 
 
 def with_aux(objects: DataFrame, aux: DataFrame, name: str) -> DataFrame:

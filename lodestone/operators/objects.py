@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.hashing import content_hash, empty_hash
+from lodestone.operators.rounds import cut
 
 INLINE_BYTES = 1 << 20
 BUDGET_SHARE = 0.1
@@ -95,10 +96,19 @@ def cache_stats(reads: DataFrame) -> DataFrame:
 
 
 def after_eviction(entries: DataFrame, group: str, age: list[str]) -> DataFrame:
-    """Entries that stay when each group drops its older half, one at least."""
-    w = Window.partitionBy(group)
-    ranked = entries.withColumns({"_n": F.count("*").over(w), "_at": F.row_number().over(w.orderBy(*age))})
-    return ranked.filter(F.col("_at") > F.greatest(F.lit(1), F.floor(F.col("_n") / 2))).drop("_n", "_at")
+    """Entries that stay when each group drops its older half, one at least.
+
+    Entries are dealt out by ranges of group and age, so a large group is many tasks' work: each range
+    numbers its own, and counts by range say how many of a group come before.
+    """
+    ranged = cut(entries.repartitionByRange(group, *age).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_r")).agg(F.count("*").alias("_rows"))
+    of_group = Window.partitionBy("_group")
+    before = F.coalesce(F.sum("_rows").over(of_group.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_group", "_r", before.alias("_before"), F.sum("_rows").over(of_group).alias("_n"))
+    own = F.row_number().over(Window.partitionBy("_range", group).orderBy(*age))
+    placed = ranged.withColumn("_at", own).join(counts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_r")))
+    return placed.filter(F.col("_before") + F.col("_at") > F.greatest(F.lit(1), F.floor(F.col("_n") / 2))).select(*[F.col(f"`{c}`") for c in entries.columns])
 
 
 def admitted(entries: DataFrame, budget: int) -> DataFrame:

@@ -285,9 +285,17 @@ def cover_primary(t: Tables) -> DataFrame:
     return library.primary_cover(t.part.select(F.col("p_brand").alias("release"), F.concat("p_name", _str("p_partkey")).alias("url"), (F.col("p_size") == 7).alias("front"), F.col("p_partkey").alias("ord")), "release")
 
 
-@query("""WITH u AS (SELECT DISTINCT n_regionkey AS tool, n_name || 'x' AS key FROM nation), k AS (SELECT n_regionkey AS tool, n_name AS near FROM nation),
-r AS (SELECT u.tool, key, near, 1 - levenshtein(key, near) / greatest(length(key), length(near)) AS ratio FROM u JOIN k USING (tool))
-SELECT tool, key, near, rank FROM (SELECT *, row_number() OVER (PARTITION BY tool, key ORDER BY ratio DESC, near) AS rank FROM r WHERE ratio >= 0.6) WHERE rank <= 3""")
+@query("""WITH k AS (SELECT n_regionkey AS tool, lower(n_name) AS near FROM nation),
+u AS (SELECT DISTINCT n_regionkey AS tool, CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) || '_version' WHEN 1 THEN substr(lower(n_name), 2) || 'x' ELSE reverse(lower(n_name)) END AS key FROM nation),
+named AS (SELECT u.tool, key, near FROM u JOIN k ON k.tool = u.tool AND key = near || '_version'),
+c AS (SELECT u.tool, key, near FROM u JOIN k USING (tool) ANTI JOIN named n ON n.tool = u.tool AND n.key = u.key),
+t AS (SELECT tool, key, near, list_last(list_reduce(list_transform(range(1, length(key) + 1), lambda i: [CAST(i AS BIGINT)]),
+  lambda row, i: list_reduce(list_transform(range(1, length(near) + 1), lambda j: [CAST(j AS BIGINT)]),
+    lambda acc, j: list_append(acc, CASE WHEN substr(key, i[1], 1) = substr(near, j[1], 1) THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], acc[j[1]]) END), [CAST(0 AS BIGINT)]),
+  list_transform(range(length(near) + 1), lambda z: CAST(0 AS BIGINT)))) AS common FROM c),
+r AS (SELECT tool, key, near, row_number() OVER (PARTITION BY tool, key ORDER BY 2 * common / (length(key) + length(near)) DESC, near DESC) AS rank FROM t WHERE 20 * common >= 6 * (length(key) + length(near)))
+SELECT tool, key, near, rank FROM r WHERE rank <= 3 UNION ALL SELECT tool, key, near, 1 FROM named""")
 def dependency_suggestion(t: Tables) -> DataFrame:
-    unknown = t.nation.select(F.col("n_regionkey").alias("tool"), F.concat("n_name", F.lit("x")).alias("key"))
-    return library.close_keys(unknown, t.nation.select(F.col("n_regionkey").alias("tool"), F.col("n_name").alias("key")))
+    name, kind = F.lower("n_name"), F.col("n_nationkey") % 3
+    key = F.when(kind == 0, F.concat(name, F.lit("_version"))).when(kind == 1, F.concat(F.substr(name, F.lit(2)), F.lit("x"))).otherwise(F.reverse(name))
+    return library.close_keys(t.nation.select(F.col("n_regionkey").alias("tool"), key.alias("key")), t.nation.select(F.col("n_regionkey").alias("tool"), name.alias("key")))

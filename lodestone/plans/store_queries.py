@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import hashing
 from lodestone.operators import log as wal
-from lodestone.operators import objects, retention
+from lodestone.operators import chunks, objects, retention
 from lodestone.plans.registry import Tables, query
 
 _OPS = "CASE event_type WHEN 'view' THEN 'put' WHEN 'signup' THEN 'put' WHEN 'purchase' THEN 'put_large' WHEN 'click' THEN 'constraint' ELSE 'delete' END"
@@ -249,3 +249,13 @@ def provision_retain(t: Tables) -> DataFrame:
 @query("SELECT count(DISTINCT o_custkey) AS new_n FROM orders WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def new_instance_count(t: Tables) -> DataFrame:
     return retention.new_rows(t.orders.filter("o_orderstatus = 'P'"), t.orders.filter("o_orderstatus = 'O'"), "o_custkey")
+
+
+@query("""WITH d AS (SELECT DISTINCT hex(encode(text)) AS x, sha256(text) AS hash, strlen(text) AS n FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, greatest(k * 64, 100) AS a, least(k * 64 + 64, 250, n) AS stop FROM d, LATERAL (SELECT unnest(range(1, 4)) AS k) s)
+SELECT hash, CAST(a AS BIGINT) AS "at", substr(x, CAST(2 * a + 1 AS BIGINT), CAST(2 * (stop - a) AS BIGINT)) AS part FROM c WHERE stop > a""")
+def ranged_read(t: Tables) -> DataFrame:
+    """150 bytes of each text from byte 100 on, from chunks of 64."""
+    parts = chunks.chunked(t.documents.select(F.col("text").alias("data")).distinct(), 64)
+    wanted = parts.select("hash", F.lit(100).cast("long").alias("start"), F.lit(150).cast("long").alias("length")).distinct()
+    return chunks.ranges(parts, wanted).select("hash", "at", F.hex("bytes").alias("part"))

@@ -10,8 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators.log import latest_state
 
-STORED = "hash string, len long, data binary, batch long"
-
 
 def streamed_states(log: DataFrame) -> DataFrame:
     """latest_state of a stream; in update mode each batch tells the keys that changed."""
@@ -47,20 +45,3 @@ def sweeps(spark: SparkSession, sweep: Callable[[int], None], seconds: int, chec
 def log_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A folder of parquet files as a growing log."""
     return spark.readStream.schema(schema).parquet(path)
-
-
-def store_stream(payloads: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Stores a stream's payloads (data binary) by content, once each: hash, len, data in parquet below `store`.
-
-    A batch meets only the hashes of what is stored.  Its files are named by its number, so one that is applied again replaces itself.
-    """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select(F.sha2("data", 256).alias("hash"), F.octet_length("data").cast("long").alias("len"), "data").dropDuplicates(["hash"])
-        before = spark.read.schema(STORED).parquet(f"{store}/*").filter(F.col("batch") < number) if number else None
-        if before is not None:
-            new = new.join(before.select("hash"), "hash", "left_anti")
-        new.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{store}/part-{number:09d}")
-
-    return consume(payloads, apply, checkpoint)

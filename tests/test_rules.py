@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import lzma
+import os
 import random
+import shutil
 import tarfile
 import zipfile
 
@@ -13,9 +16,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import documents, templates, text
-from lodestone.operators import library, log, tree, workflow
+from lodestone.operators import library, log, objects, tree, workflow
 from lodestone.sources import archives, files, journal
 from lodestone.streaming import log as stream
+from lodestone.streaming import store
 
 
 def rows(df, *columns):
@@ -135,12 +139,130 @@ def test_appending_and_checkpoints(spark):
     assert data.select(journal.checkpoint_position(F.lit(b"")).alias("p")).first().p is None
 
 
+def _stored(spark, where):
+    """Payloads of a store, put together from their chunks."""
+    parts = {}
+    for r in store.stored_chunks(spark, where).orderBy("hash", "at").collect():
+        assert len(parts.setdefault(r.hash, b"")) == r.at
+        parts[r.hash] += bytes(r.bytes)
+    assert {r.hash: r.len for r in store.manifest(spark, where).collect()} == {h: len(v) for h, v in parts.items()}
+    return sorted(parts.values())
+
+
 def test_a_stream_of_payloads_is_stored_once(spark, tmp_path):
-    source, store, checkpoint = (str(tmp_path / x) for x in ("source", "store", "checkpoint"))
-    for payloads in (["a", "b", "a"], ["b", "c"], []):
-        spark.createDataFrame([(p.encode(),) for p in payloads], "data binary").write.mode("append").parquet(source)
-        stream.store_stream(spark.readStream.schema("data binary").parquet(source), store, checkpoint).awaitTermination()
-    assert rows(spark.read.schema(stream.STORED).parquet(f"{store}/*").select(F.col("data").cast("string"), "len")) == [("a", 1), ("b", 1), ("c", 1)]
+    source, where, checkpoint = (str(tmp_path / x) for x in ("source", "store", "checkpoint"))
+    assert _stored(spark, where) == []
+    for payloads in (["a", "b", "a", "", "long" * 9], ["b", "c", None], []):
+        spark.createDataFrame([(p if p is None else p.encode(),) for p in payloads], "data binary").write.mode("append").parquet(source)
+        store.store_stream(spark.readStream.schema("data binary").parquet(source), where, checkpoint, chunk_bytes=10).awaitTermination()
+    assert _stored(spark, where) == sorted([b"a", b"b", b"c", b"", b"long" * 9])
+    assert store.manifest(spark, where).filter("chunks = 4").count() == 1
+    # another checkpoint over the same store begins at batch 0, and replaces nothing
+    spark.createDataFrame([(b"two",)], "data binary").write.mode("append").parquet(source)
+    store.store_stream(spark.readStream.schema("data binary").parquet(source), where, str(tmp_path / "other"), chunk_bytes=10).awaitTermination()
+    assert _stored(spark, where) == sorted([b"a", b"b", b"c", b"", b"long" * 9, b"two"])
+    # files of a batch that broke off before its manifest aren't seen
+    store.chunked(spark.createDataFrame([(b"half",)], "data binary")).write.parquet(f"{where}/chunks/run=lost/batch=0")
+    assert b"half" not in _stored(spark, where)
+    hash_ = hashlib.sha256(b"long" * 9).hexdigest()
+    wanted = spark.createDataFrame([(hash_, 8, 15), (hash_, 34, 99), (hash_, 50, 3), (hash_, 4, 0), ("none", 0, 5)], "hash string, start bigint, length bigint")
+    got = store.read_ranges(spark, where, wanted).orderBy("start", "at").collect()
+    assert [(r.start, r.at, bytes(r.bytes)) for r in got] == [(8, 8, b"lo"), (8, 10, b"nglonglong"), (8, 20, b"lon"), (34, 34, b"ng")]
+
+
+def test_a_batch_that_is_applied_again_replaces_itself(spark, tmp_path):
+    source, where, checkpoint = (str(tmp_path / x) for x in ("source", "store", "checkpoint"))
+    spark.createDataFrame([(b"x",), (b"y",)], "data binary").write.parquet(source)
+    payloads = spark.readStream.schema("data binary").parquet(source)
+    store.store_stream(payloads, where, checkpoint).awaitTermination()
+    # as after a failure between the chunks and the manifest: the batch isn't committed and comes again
+    shutil.rmtree(f"{where}/manifest")
+    for name in os.listdir(f"{checkpoint}/commits"):
+        os.remove(f"{checkpoint}/commits/{name}")
+    assert _stored(spark, where) == []
+    for _ in range(2):
+        store.store_stream(payloads, where, checkpoint).awaitTermination()
+        assert _stored(spark, where) == [b"x", b"y"]
+    assert store.stored_chunks(spark, where).count() == 2
+
+
+def test_close_keys_against_all_pairs(spark):
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(70)] + ["ffmpeg", "aaaa", "a", "日本語"]
+    known = [(t, w) for t in ("x", "y") for w in words if rng.random() < 0.6] + [("x", "ffmpeg"), ("x", None)]
+    unknown = [(t, w[1:] + rng.choice(["", "a", "zz"])) for t in ("x", "y", "z") for w in words if len(w) > 1] + [("x", "ffmpeg_version"), ("y", "nothing_version"), ("x", None)]
+    want = set()
+    for t, k in set(unknown) - {("x", None)}:
+        valid = {w for o, w in known if o == t and w}
+        if k.endswith("_version") and k[:-8] in valid:
+            want.add((t, k, k[:-8], 1))
+            continue
+        near = sorted((w for w in valid if 20 * common(k, w) >= 6 * (len(k) + len(w))), reverse=True)
+        near.sort(key=lambda w: -2 * common(k, w) / (len(k) + len(w)))
+        want |= {(t, k, w, i + 1) for i, w in enumerate(near[:3])}
+    schema = "tool string, key string"
+    got = library.close_keys(spark.createDataFrame(unknown, schema), spark.createDataFrame(known, schema)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert [library.common_length(a, b) for a, b in (("", ""), ("a", ""), ("abcbdab", "bdcaba"), ("x" * 200, "x" * 90))] == [0, 0, 4, 90]
+
+
+def test_eviction_of_one_large_group(spark):
+    entries = [("hot", i * 7 % 500, i) for i in range(500)] + [("one", 1, 1000), (None, 5, 1001), (None, 4, 1002), ("tie", 3, 1003), ("tie", 3, 1004), ("tie", 3, 1005)]
+    got = rows(objects.after_eviction(spark.createDataFrame(entries, "cache string, age int, id int").repartition(5), "cache", ["age", "id"]))
+    want = []
+    for g in ("hot", "one", None, "tie"):
+        own = sorted(e for e in entries if e[0] == g) if g else [entries[502], entries[501]]
+        want += own[max(1, len(own) // 2) :]
+    assert got == sorted(want, key=str)
+
+
+def test_levels_with_null_needs_and_large_ids(spark):
+    base = 2**60
+    steps = spark.createDataFrame([(1, base + i) for i in (1, 2, 3)], "wf int, step bigint")
+    needs = spark.createDataFrame([(1, base + 2, base + 1), (1, base + 3, base + 2), (1, base + 1, None)], "wf int, step bigint, needs bigint")
+    for rest in (0, 1 << 20):
+        assert rows(workflow.topological_levels(steps, needs, rest), "step", "level") == [(base + i, i - 1) for i in (1, 2, 3)]
+
+
+def test_strict_matches_are_of_one_tool_and_of_true_keys(spark):
+    steps = spark.createDataFrame([(1, "a", "k1", ["o"]), (2, "a", "k2", ["o"]), (3, "a", "k3", ["o"])], "step int, tool string, key string, required array<string>")
+    made = [("b", "k1", ["o"], 9, "k1", True), ("a", "k2", ["o"], 5, "other", True), ("a", "k3", ["o"], 1, "k3", False)]
+    instances = spark.createDataFrame(made, "tool string, key string, outputs array<string>, executed_at int, made_key string, readable boolean")
+    assert rows(workflow.matched_instances(steps, instances)) == [(1, "k2", "relaxed"), (2, "k2", "relaxed"), (3, "k2", "relaxed")]
+    assert rows(workflow.matched_instances(steps, instances.drop("made_key", "readable"))) == [(1, "k2", "relaxed"), (2, "k2", "strict"), (3, "k3", "strict")]
+
+
+def test_quarantine_of_archives_that_cannot_be_read(spark):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("m", b"data")
+    plain = buffer.getvalue()
+    local, central = plain.index(b"PK\3\4"), plain.index(b"PK\1\2")
+
+    def patched(offset, value):
+        out = bytearray(plain)
+        out[local + offset : local + offset + 2] = out[central + offset + 2 : central + offset + 4] = value.to_bytes(2, "little")
+        return bytes(out)
+
+    table = spark.createDataFrame([("good", plain), ("locked", patched(6, 1)), ("odd", patched(8, 77)), ("cut", plain[:40])], "archive string, data binary")
+    got = {r.archive: r for r in archives.members(table, "archive", "data", quarantine=True).collect()}
+    assert bytes(got["good"].bytes) == b"data" and got["good"].problem is None
+    assert "RuntimeError" in got["locked"].problem and "NotImplementedError" in got["odd"].problem and "BadZipFile" in got["cut"].problem
+
+
+def test_deep_documents_have_no_values():
+    deep = '{"a":' * 200_000
+    assert documents.find_text(deep, "a") is None and documents.flatten_json(deep) == []
+    closed = "[" * 100_000 + "]" * 100_000
+    assert documents.find_text(closed, "a") is None and documents.flatten_json(closed) == []
 
 
 def test_reads_in_flight_wait_for_the_first(spark, tmp_path):
