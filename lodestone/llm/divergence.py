@@ -30,6 +30,8 @@ SHARDS = 1 << 16
 #: Text of a block, and rows that a task's tables hold before they are summed and handed on.
 BLOCK_BYTES = 4 << 20
 ROWS = 200_000
+#: The same for counts, which shrink the more, the more texts they come from.
+COUNTS_HELD = 600_000
 #: Texts are cut behind this many bytes at the next byte that isn't part of a term.
 CUT = 1 << 16
 
@@ -80,12 +82,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             WITH terms AS (SELECT doc, unnest(regexp_extract_all(text, '{_TERM}')) AS term FROM texts),
             by_doc AS (SELECT doc, term, count(*) AS n FROM terms GROUP BY ALL)
             SELECT lang, source, term, sum(n), count(*) FROM by_doc JOIN docs USING (doc) GROUP BY ALL""").fetchall()[0][0]
-        if rows > 2 * ROWS:
+        if rows > 2 * COUNTS_HELD:
             db.execute(f"CREATE TABLE merged AS {summed}")
             db.execute("DROP TABLE counts")
             db.execute("ALTER TABLE merged RENAME TO counts")
             rows = db.execute("SELECT count(*) FROM counts").fetchall()[0][0]
-        if rows > ROWS:
+        if rows > COUNTS_HELD:
             yield from _batches(db, "SELECT * FROM counts")
             db.execute("DELETE FROM counts")
             rows = 0
@@ -146,6 +148,7 @@ def _audited(kept: DataFrame, groups: DataFrame, top: int) -> DataFrame:
         db.execute("CREATE TABLE sums (a BIGINT, b BIGINT, v BIGINT)")
         db.execute("CREATE TABLE best (g BIGINT, term VARCHAR, v BIGINT)")
         first: list[pa.RecordBatch] = []  # the totals of all sources, which come first
+        begun = False
         held: list[pa.RecordBatch] = []
         size = 0
 
@@ -193,9 +196,9 @@ def _audited(kept: DataFrame, groups: DataFrame, top: int) -> DataFrame:
                 first.append(batch.slice(0, n_groups))
             if n_groups == batch.num_rows:
                 continue
-            if first:
+            if not begun:
                 begin()
-                first = []
+                begun = True
             held.append(batch.slice(n_groups))
             size += len(held[-1].column("sources").flatten())
             if size > ROWS:
@@ -203,7 +206,7 @@ def _audited(kept: DataFrame, groups: DataFrame, top: int) -> DataFrame:
                 held, size = [], 0
         if held:
             yield from work(held)
-        if not first:
+        if begun:
             yield from finish()
         db.close()
 

@@ -46,6 +46,7 @@ def rows_of(out):
 @pytest.mark.parametrize("rows_held", [divergence.ROWS, 40])
 def test_against_plain_sums(spark, monkeypatch, rows_held):
     monkeypatch.setattr(divergence, "ROWS", rows_held)
+    monkeypatch.setattr(divergence, "COUNTS_HELD", rows_held)
     monkeypatch.setattr(divergence, "BLOCK_BYTES", 500)
     monkeypatch.setattr(divergence, "CUT", 64)
     rng = random.Random(5)
