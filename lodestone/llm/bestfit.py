@@ -147,6 +147,11 @@ def _without_longest(lengths: dict[int, int], most: int) -> dict[int, int]:
     return left
 
 
+def _ranges(rows: int, usual: int, rows_per_range: int) -> int:
+    """How many ranges to sweep: none larger than rows_per_range, and up to the usual number of partitions as long as they aren't small."""
+    return max(rows // rows_per_range + 1, min(usual, rows // (rows_per_range >> 4 or 1) + 1))
+
+
 def place(items: DataFrame, capacity: int, rows_per_range: int = 1 << 18) -> DataFrame:
     """A sequence for each item of `item` (unique) and `length` (1 to capacity).
 
@@ -154,7 +159,7 @@ def place(items: DataFrame, capacity: int, rows_per_range: int = 1 << 18) -> Dat
     The driver holds how many pieces of each length are left: capacity numbers at most.
     """
     spark = items.sparkSession
-    least_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def counted(pieces: DataFrame) -> dict[int, int]:
         return {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -168,7 +173,7 @@ def place(items: DataFrame, capacity: int, rows_per_range: int = 1 << 18) -> Dat
             share = F.greatest(F.lit(1), F.floor(F.col("room") / top)).cast("int")
             slots = gaps.filter(F.col("room") >= low).select(F.floor(F.col("room") / share).cast("int").alias("size"), F.explode(F.array_repeat("seq", share)).alias("seq"))
             n_slots = opened + free // top
-        out = stored(_sweep(left, slots, max(least_ranges, (n_left + n_slots) // rows_per_range + 1)), "sweep")
+        out = stored(_sweep(left, slots, _ranges(n_left + n_slots, usual, rows_per_range)), "sweep")
         if held is not None:
             discard(held)
         held, across = out, _across(out)
