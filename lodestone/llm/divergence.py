@@ -31,7 +31,7 @@ SHARDS = 1 << 16
 BLOCK_BYTES = 4 << 20
 ROWS = 200_000
 #: The same for counts, which shrink the more, the more texts they come from.
-COUNTS_HELD = 600_000
+COUNTS_HELD = 300_000
 #: Texts are cut behind this many bytes at the next byte that isn't part of a term.
 CUT = 1 << 16
 
