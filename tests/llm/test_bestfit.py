@@ -48,13 +48,12 @@ def test_a_sweep_closes_brackets():
         assert missed.tolist() == none and left.tolist() == stack
 
 
-@pytest.mark.parametrize(("name", "rows"), [("mixed", 40), ("large", 1 << 18), ("alike", 30), ("small", 100)])
+@pytest.mark.parametrize(("name", "rows"), [("mixed", 40), ("alike", 30), ("small", 1 << 18)])
 def test_places_like_best_fit_decreasing(spark, name, rows):
     rng = random.Random(name)
     capacity = 256
     lengths = {
-        "mixed": [min(capacity, int(rng.lognormvariate(4, 1)) + 1) for _ in range(700)],
-        "large": [rng.randint(90, capacity) for _ in range(300)],
+        "mixed": [min(capacity, int(rng.lognormvariate(4, 1)) + 1) for _ in range(400)],
         "alike": [85] * 200,
         "small": [rng.randint(1, 12) for _ in range(900)],
     }[name]
