@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,28 +55,131 @@ def checkpoint_split(log: DataFrame, segment: str, checkpoint: int) -> DataFrame
     return log.groupBy(segment).agg(F.count_if(done).alias("applied"), F.count_if(~done).alias("to_apply"), F.max("pos").alias("advance_to"))
 
 
-def sealed_segments(log: DataFrame, part: str, size: str, most: int) -> DataFrame:
-    """Entries with the number of their segment in each part of the log.
+class Seals(NamedTuple):
+    """What a stretch of a log does to the bytes that its first segment already holds.
 
-    A segment is sealed before an append once it holds `most` bytes: a running sum
-    that starts anew, so a task folds its parts' entries in order, one at a time.
+    The segment is sealed before the stretch's first entry with `before` + held >= most, before being
+    the bytes of the stretch up to that entry.  From there on all is fixed: `seals` more segments begin, and
+    the last holds `held` bytes at the stretch's end.  Without such an entry the segment holds `total` more.
     """
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, number = object(), 0, 0
-        for frame in frames:
-            numbers = []
-            for part_, size_ in zip(frame["part"].tolist(), frame["size"].tolist(), strict=True):
-                if part_ != now:
-                    now, held, number = part_, 0, 0
-                if held >= most:
-                    number, held = number + 1, 0
-                held += size_
-                numbers.append(number)
-            yield pd.DataFrame({"part": frame["part"], "pos": frame["pos"], "segment": numbers})
-
-    own = log.select(F.col(part).alias("part"), F.col("pos").cast("long").alias("pos"), F.col(size).cast("long").alias("size"))
-    return own.repartition("part").sortWithinPartitions("part", "pos").mapInPandas(fold, f"part {own.schema['part'].dataType.simpleString()}, pos long, segment long")
+    total: int
+    before: np.ndarray
+    seals: np.ndarray
+    held: np.ndarray
+
+    def after(self, held: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Segments begun, and bytes held at the end, for each number of bytes held before."""
+        at = np.searchsorted(self.before, most - held)
+        found = at < len(self.before)
+        own = np.minimum(at, max(0, len(self.before) - 1))
+        if not len(self.before):
+            return np.zeros(len(held), dtype=np.int64), held + self.total
+        return np.where(found, self.seals[own], 0), np.where(found, self.held[own], held + self.total)
+
+
+def seals_of(sizes: np.ndarray, most: int) -> Seals:
+    """The seals of a stretch of entries of these sizes."""
+    sums = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    n, total = len(sizes), int(sums[-1])
+    next_ = np.maximum(np.searchsorted(sums[:n], sums[:n] + most), np.arange(n) + 1).tolist()  # the entry before which a segment that begins here is sealed
+    seals, held = [1] * n, (total - sums[:n]).tolist()
+    for i in range(n - 1, -1, -1):
+        if next_[i] < n:
+            seals[i], held[i] = 1 + seals[next_[i]], held[next_[i]]
+    first = min(n, int(np.searchsorted(sums[:n], most)) + 1)
+    return Seals(total, sums[:first], np.array(seals[:first], dtype=np.int64), np.array(held[:first], dtype=np.int64))
+
+
+def joined_seals(stretches: list[Seals], most: int) -> Seals:
+    """The seals of stretches that follow each other."""
+    total, parts = 0, []
+    for i, own in enumerate(stretches):
+        if len(own.before) and not (parts and parts[-1][0][-1] >= most):  # where that is reached, no later entry is the first
+            k, held = own.seals, own.held
+            for later in stretches[i + 1 :]:
+                more, held = later.after(held, most)
+                k = k + more
+            parts.append((own.before + total, k, held))
+        total += own.total
+    if not parts:
+        return Seals(total, *[np.zeros(0, dtype=np.int64)] * 3)
+    return Seals(total, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+_SEALS = "part {0}, level long, no long, total long, before array<long>, seals array<long>, held array<long>"
+
+
+def _seals(row: object) -> Seals:
+    return Seals(int(row.total), *(np.array(x, dtype=np.int64) for x in (row.before, row.seals, row.held)))
+
+
+def sealed_segments(log: DataFrame, part: str, size: str, most: int, together: int = 64) -> DataFrame:
+    """Entries with the number of their segment in each part of the log: part, pos, segment.
+
+    A segment is sealed before an append once it holds `most` bytes: a running sum that
+    starts anew.  Entries are dealt out by ranges of part and position, and a range tells
+    by itself what becomes of any number of bytes that its first segment may already hold (Seals).  Of a part in
+    several ranges, `together`
+    ranges that follow each other are joined to one such function, and those again, until a part
+    has one; then what each range begins with is told downwards, and ranges number their
+    entries.  A task holds a range, or the functions of `together` of them.  Null sizes are 0; null parts are one part.
+    """
+    own = log.select(F.col(part).alias("part"), F.col("pos").cast("long").alias("pos"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
+    kind = own.schema["part"].dataType.simpleString()
+    ranged = cut(own.repartitionByRange("part", "pos").withColumn("range", F.spark_partition_id()))
+
+    def tell(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pos", kind="stable")
+        s = seals_of(frame["size"].to_numpy(), most)
+        return pd.DataFrame({"part": frame["part"].iloc[:1].tolist(), "level": [0], "no": [int(frame["range"].iloc[0])], "total": [s.total], "before": [s.before], "seals": [s.seals], "held": [s.held]})
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("no")
+        s = joined_seals([_seals(r) for r in frame.itertuples()], most)
+        first = frame.iloc[0]
+        return pd.DataFrame({"part": [first["part"]], "level": [int(first["level"]) + 1], "no": [int(first["no"]) // together], "total": [s.total], "before": [s.before], "seals": [s.seals], "held": [s.held]})
+
+    schema = _SEALS.format(kind)
+    spans = ranged.groupBy("part").agg((F.min("range") < F.max("range")).alias("spans")).filter("spans").select(F.col("part").alias("_part"))  # two a range at most
+    crossing = ranged.join(spans, F.col("part").eqNullSafe(F.col("_part")), "left_semi")
+    levels = [cut(crossing.groupBy("part", "range").applyInPandas(tell, schema))]
+    ranges = int(ranged.agg(F.coalesce(F.max("range"), F.lit(0)).alias("n")).first().n) + 1
+    while ranges > 1:
+        levels.append(cut(levels[-1].groupBy("part", F.floor(F.col("no") / together)).applyInPandas(join, schema)))
+        ranges = -(-ranges // together)
+
+    def begin(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("no")
+        number, held, out = int(frame["number"].iloc[0]), np.array([int(frame["carried"].iloc[0])]), []
+        for r in frame.itertuples():
+            out.append((r.part, r.no, number, int(held[0])))
+            more, held = _seals(r).after(held, most)
+            number += int(more[0])
+        return pd.DataFrame(out, columns=["part", "no", "number", "carried"])
+
+    state = levels[-1].select("part", "no", F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("carried"))
+    for below in reversed(levels[:-1]):
+        up = state.select(F.col("part").alias("_part"), F.col("no").alias("_up"), "number", "carried")
+        met = below.join(up, F.col("part").eqNullSafe(F.col("_part")) & (F.floor(F.col("no") / together) == F.col("_up"))).drop("_part")
+        state = cut(met.groupBy("part", "_up").applyInPandas(begin, f"part {kind}, no long, number long, carried long"))
+
+    def number(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["part", "pos"], kind="stable")
+        now, segment, held, out = object(), 0, 0, []
+        for own, n, first, carried in zip(frame["part"].tolist(), frame["size"].tolist(), frame["number"].tolist(), frame["carried"].tolist(), strict=True):
+            if own != now and not (pd.isna(own) and now is None):
+                now, segment, held = None if pd.isna(own) else own, first, carried
+            if held >= most:
+                segment, held = segment + 1, 0
+            held += n
+            out.append(segment)
+        return pd.DataFrame({"part": frame["part"], "pos": frame["pos"], "segment": out})
+
+    begun = state.select(F.col("part").alias("_part"), F.col("no").alias("_no"), "number", "carried")
+    placed = ranged.join(begun, F.col("part").eqNullSafe(F.col("_part")) & (F.col("range") == F.col("_no")), "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("number", "carried")]
+    return placed.select("part", "pos", "size", "range", *zero).groupBy("range").applyInPandas(number, f"part {kind}, pos long, segment long")
 
 
 def longest_of_overlapping(segments: DataFrame, part: str) -> DataFrame:

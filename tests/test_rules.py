@@ -12,6 +12,7 @@ import shutil
 import tarfile
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,47 @@ def test_eviction_of_one_large_group(spark):
     assert got == sorted(want, key=str)
 
 
+def sealed(sizes, most, held=0):
+    numbers, number = [], 0
+    for n in sizes:
+        if held >= most:
+            number, held = number + 1, 0
+        held += n
+        numbers.append(number)
+    return numbers, held
+
+
+def test_seals_of_any_carry():
+    rng = random.Random(8)
+    for _ in range(150):
+        most = rng.randint(1, 30)
+        stretches = [[rng.choice([0, 1, 5, 40, rng.randint(0, 9)]) for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(1, 5))]
+        whole = log.joined_seals([log.seals_of(np.array(s, dtype=np.int64), most) for s in stretches], most)
+        sizes = [n for s in stretches for n in s]
+        for held in range(0, most + 20):
+            numbers, after = sealed(sizes, most, held)
+            k, h = whole.after(np.array([held]), most)
+            assert (k[0], h[0]) == (numbers[-1] if numbers else 0, after)
+
+
+@pytest.mark.parametrize("together", [2, 64])
+def test_segments_of_one_log_over_many_ranges(spark, together):
+    rng = random.Random(together)
+    entries = [("hot", i, rng.choice([0, 3, 250, rng.randint(0, 60)])) for i in range(1200)] + [("one", 7, 500), (None, 1, 100), (None, 2, None), (None, 3, 100), ("b", 5, 99), ("b", 6, 1), ("b", 9, 1)]
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rows(log.sealed_segments(spark.createDataFrame(entries, "name string, pos int, bytes int"), "name", "bytes", 100, together))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    for part in ("hot", "one", "b", None):
+        own = sorted(e[1:] for e in entries if e[0] == part)
+        want += [(part, p, n) for (p, _), n in zip(own, sealed([s or 0 for _, s in own], 100)[0], strict=True)]
+    assert got == sorted(want, key=str)
+
+
 def test_levels_with_null_needs_and_large_ids(spark):
     base = 2**60
     steps = spark.createDataFrame([(1, base + i) for i in (1, 2, 3)], "wf int, step bigint")
