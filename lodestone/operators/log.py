@@ -107,7 +107,7 @@ def joined_seals(stretches: list[Seals], most: int) -> Seals:
     return Seals(total, *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-_SEALS = "part {0}, level long, no long, total long, before array<long>, seals array<long>, held array<long>"
+_SEALS = "part string, level long, no long, total long, before array<long>, seals array<long>, held array<long>"
 
 
 def _seals(row: object) -> Seals:
@@ -125,8 +125,9 @@ def sealed_segments(log: DataFrame, part: str, size: str, most: int, together: i
     has one; then what each range begins with is told downwards, and ranges number their
     entries.  A task holds a range, or the functions of `together` of them.  Null sizes are 0; null parts are one part.
     """
-    own = log.select(F.col(part).alias("part"), F.col("pos").cast("long").alias("pos"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
-    kind = own.schema["part"].dataType.simpleString()
+    key = F.coalesce(F.concat(F.lit("="), F.col(part).cast("string")), F.lit(""))  # pandas would make numbers beside a null inexact
+    own = log.select(key.alias("part"), F.col("pos").cast("long").alias("pos"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
+    kind = log.schema[part].dataType.simpleString()
     ranged = cut(own.repartitionByRange("part", "pos").withColumn("range", F.spark_partition_id()))
 
     def tell(frame: pd.DataFrame) -> pd.DataFrame:
@@ -140,13 +141,12 @@ def sealed_segments(log: DataFrame, part: str, size: str, most: int, together: i
         first = frame.iloc[0]
         return pd.DataFrame({"part": [first["part"]], "level": [int(first["level"]) + 1], "no": [int(first["no"]) // together], "total": [s.total], "before": [s.before], "seals": [s.seals], "held": [s.held]})
 
-    schema = _SEALS.format(kind)
     spans = ranged.groupBy("part").agg((F.min("range") < F.max("range")).alias("spans")).filter("spans").select(F.col("part").alias("_part"))  # two a range at most
-    crossing = ranged.join(spans, F.col("part").eqNullSafe(F.col("_part")), "left_semi")
-    levels = [cut(crossing.groupBy("part", "range").applyInPandas(tell, schema))]
+    crossing = ranged.join(spans, F.col("part") == F.col("_part"), "left_semi")
+    levels = [cut(crossing.groupBy("part", "range").applyInPandas(tell, _SEALS))]
     ranges = int(ranged.agg(F.coalesce(F.max("range"), F.lit(0)).alias("n")).first().n) + 1
     while ranges > 1:
-        levels.append(cut(levels[-1].groupBy("part", F.floor(F.col("no") / together)).applyInPandas(join, schema)))
+        levels.append(cut(levels[-1].groupBy("part", F.floor(F.col("no") / together)).applyInPandas(join, _SEALS)))
         ranges = -(-ranges // together)
 
     def begin(frame: pd.DataFrame) -> pd.DataFrame:
@@ -161,15 +161,15 @@ def sealed_segments(log: DataFrame, part: str, size: str, most: int, together: i
     state = levels[-1].select("part", "no", F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("carried"))
     for below in reversed(levels[:-1]):
         up = state.select(F.col("part").alias("_part"), F.col("no").alias("_up"), "number", "carried")
-        met = below.join(up, F.col("part").eqNullSafe(F.col("_part")) & (F.floor(F.col("no") / together) == F.col("_up"))).drop("_part")
-        state = cut(met.groupBy("part", "_up").applyInPandas(begin, f"part {kind}, no long, number long, carried long"))
+        met = below.join(up, (F.col("part") == F.col("_part")) & (F.floor(F.col("no") / together) == F.col("_up"))).drop("_part")
+        state = cut(met.groupBy("part", "_up").applyInPandas(begin, "part string, no long, number long, carried long"))
 
     def number(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["part", "pos"], kind="stable")
-        now, segment, held, out = object(), 0, 0, []
+        now, segment, held, out = None, 0, 0, []
         for own, n, first, carried in zip(frame["part"].tolist(), frame["size"].tolist(), frame["number"].tolist(), frame["carried"].tolist(), strict=True):
-            if own != now and not (pd.isna(own) and now is None):
-                now, segment, held = None if pd.isna(own) else own, first, carried
+            if own != now:
+                now, segment, held = own, first, carried
             if held >= most:
                 segment, held = segment + 1, 0
             held += n
@@ -177,9 +177,9 @@ def sealed_segments(log: DataFrame, part: str, size: str, most: int, together: i
         return pd.DataFrame({"part": frame["part"], "pos": frame["pos"], "segment": out})
 
     begun = state.select(F.col("part").alias("_part"), F.col("no").alias("_no"), "number", "carried")
-    placed = ranged.join(begun, F.col("part").eqNullSafe(F.col("_part")) & (F.col("range") == F.col("_no")), "left")
+    placed = ranged.join(begun, (F.col("part") == F.col("_part")) & (F.col("range") == F.col("_no")), "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("number", "carried")]
-    return placed.select("part", "pos", "size", "range", *zero).groupBy("range").applyInPandas(number, f"part {kind}, pos long, segment long")
+    return placed.select("part", "pos", "size", "range", *zero).groupBy("range").applyInPandas(number, "part string, pos long, segment long").withColumn("part", F.when(F.col("part") != "", F.expr("substr(part, 2)")).cast(kind))
 
 
 def longest_of_overlapping(segments: DataFrame, part: str) -> DataFrame:

@@ -264,6 +264,9 @@ def test_segments_of_one_log_over_many_ranges(spark, together):
         own = sorted(e[1:] for e in entries if e[0] == part)
         want += [(part, p, n) for (p, _), n in zip(own, sealed([s or 0 for _, s in own], 100)[0], strict=True)]
     assert got == sorted(want, key=str)
+    large = spark.createDataFrame([(2**60 + 1, 1, 200), (None, 1, 5), (2**60 + 1, 2, 3)], "name bigint, pos int, bytes int")
+    assert rows(log.sealed_segments(large, "name", "bytes", 100)) == [(2**60 + 1, 1, 0), (2**60 + 1, 2, 1), (None, 1, 0)]
+    assert log.sealed_segments(large.filter("false"), "name", "bytes", 100).collect() == []
 
 
 def test_levels_with_null_needs_and_large_ids(spark):
