@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
-    """df, computed once and told apart from its plan, while the tables in done, which it is made of, are released.
+    """df, computed once and told apart from its plan by a checkpoint; the tables in done, which it is made of, are no longer kept in memory.
 
-    It is a checkpoint in the cluster's shared folder; where no folder is set, as in tests, it is cached.
+    Checkpoints lie in the folder that spark.checkpoint.dir names; where it is unset and Spark is local, as in tests,
+    in a temporary one that goes with the JVM.  A lost executor costs a round, not all before it.
     """
     context = df.sparkSession.sparkContext
-    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if folder:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(folder)
-        return df.checkpoint()
-    kept = df.cache()
-    kept.count()
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.gettempdir()}/checkpoints")
+        if not folder:
+            own = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+            own.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(own)
+    kept = df.checkpoint()
     for old in done:
         old.unpersist()
     return kept

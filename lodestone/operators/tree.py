@@ -96,10 +96,10 @@ def inherited_versions(requirements: DataFrame, dependencies: DataFrame) -> Data
     """A dependency's version, its own or by one hop the required tool's: parent, dep, version, error.
 
     requirements(tool, version); dependencies(parent, dep, version); `inherit` asks
-    for the required version.  MPM-E002: nothing to inherit; MPM-E003: that inherits too.
+    for the required version.  Errors: `nothing to inherit`, and `inherits too` of what would be inherited.
     """
     own = requirements.select(F.col("tool").alias("dep"), F.col("version").alias("_v"))
-    error = F.when((F.col("version") == "inherit") & F.col("_v").isNull(), "MPM-E002").when((F.col("version") == "inherit") & (F.col("_v") == "inherit"), "MPM-E003")
+    error = F.when((F.col("version") == "inherit") & F.col("_v").isNull(), "nothing to inherit").when((F.col("version") == "inherit") & (F.col("_v") == "inherit"), "inherits too")
     joined = dependencies.join(own, "dep", "left").withColumn("error", error)
     return joined.select("parent", "dep", F.when(F.col("error").isNotNull(), None).when(F.col("version") == "inherit", F.col("_v")).otherwise(F.col("version")).alias("version"), "error")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing
-from lodestone.operators import tree, workflow
+from lodestone.operators import runs, tree, workflow
 from lodestone.plans.registry import Tables, query
 
 
@@ -72,12 +72,12 @@ def external_data_join(t: Tables) -> DataFrame:
     return refs.join(declared, "ref", "left").select("l_orderkey", "l_linenumber", "ref", F.coalesce("d", F.lit(False)).alias("declared"))
 
 
-@query("""SELECT o_orderkey, sha256(unhex(sha256('conductor') || sha256(o_orderpriority) || CASE WHEN o_orderstatus = 'O' THEN sha256(CAST(o_custkey AS VARCHAR)) ELSE '' END || coalesce(h, ''))) AS key
+@query("""SELECT o_orderkey, sha256(unhex(sha256('tool-call') || sha256(o_orderpriority) || CASE WHEN o_orderstatus = 'O' THEN sha256(CAST(o_custkey AS VARCHAR)) ELSE '' END || coalesce(h, ''))) AS key
 FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(sha256(CAST(l_partkey AS VARCHAR)), '' ORDER BY l_linenumber, sha256(CAST(l_partkey AS VARCHAR))) AS h FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def instance_key(t: Tables) -> DataFrame:
     inputs = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", hashing.content_hash(F.col("l_partkey").cast("string")).alias("h")))).alias("i"))
     own = t.orders.join(inputs, "o_orderkey", "left").withColumn("i", F.coalesce(F.transform("i", lambda x: x["h"]), F.array().cast("array<string>")))
-    return own.select("o_orderkey", hashing.instance_key("conductor", F.col("o_orderpriority"), F.col("o_orderstatus") == "O", F.col("o_custkey"), F.col("i")).alias("key"))
+    return own.select("o_orderkey", hashing.instance_key("tool-call", F.col("o_orderpriority"), F.col("o_orderstatus") == "O", F.col("o_custkey"), F.col("i")).alias("key"))
 
 
 @query("SELECT h AS hash, 'sha256:' || h AS text, '1220' || h AS multihash, h AS parsed, h AS unpacked, true AS is_digest FROM (SELECT sha256(p_name) AS h FROM part)")
@@ -218,8 +218,38 @@ def hierarchy_contains(t: Tables) -> DataFrame:
 @query("""WITH r AS (SELECT 't' || n_nationkey AS tool, CASE WHEN n_nationkey % 3 = 0 THEN 'inherit' ELSE n_name END AS version FROM nation WHERE n_nationkey < 20),
 d AS (SELECT s_suppkey AS parent, 't' || s_nationkey AS dep, CASE WHEN s_suppkey % 2 = 0 THEN 'inherit' ELSE s_name END AS version FROM supplier)
 SELECT parent, dep, CASE WHEN d.version <> 'inherit' THEN d.version WHEN r.version = 'inherit' THEN NULL ELSE r.version END AS version,
-CASE WHEN d.version = 'inherit' AND r.version IS NULL THEN 'MPM-E002' WHEN d.version = 'inherit' AND r.version = 'inherit' THEN 'MPM-E003' END AS error FROM d LEFT JOIN r ON r.tool = d.dep""")
+CASE WHEN d.version = 'inherit' AND r.version IS NULL THEN 'nothing to inherit' WHEN d.version = 'inherit' AND r.version = 'inherit' THEN 'inherits too' END AS error FROM d LEFT JOIN r ON r.tool = d.dep""")
 def inherit_version(t: Tables) -> DataFrame:
     requirements = t.nation.filter("n_nationkey < 20").select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("tool"), F.when(F.col("n_nationkey") % 3 == 0, "inherit").otherwise(F.col("n_name")).alias("version"))
     deps = t.supplier.select(F.col("s_suppkey").alias("parent"), F.concat(F.lit("t"), F.col("s_nationkey").cast("string")).alias("dep"), F.when(F.col("s_suppkey") % 2 == 0, "inherit").otherwise(F.col("s_name")).alias("version"))
     return tree.inherited_versions(requirements, deps)
+
+
+def _call(tool: str, *texts: str) -> str:
+    return f"sha256(unhex(sha256('workflow') || sha256('{tool}') || {' || '.join(f'sha256({x})' for x in texts)}))"
+
+
+_OLD, _RUN = "o_orderdate < DATE '1998-04-01'", "o_orderkey AS wf, o_orderstatus AS st"
+
+
+@query(f"""WITH o AS (SELECT {_RUN}, {_OLD} AS old, o_orderpriority || '/' || c_name AS t0 FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey <> 7) ON c_custkey = o_custkey),
+t AS (SELECT *, sha256(t0 || '#' || st) AS t1 FROM o), k AS (SELECT *, {_call('echo', 't0')} AS k0, {_call('digest', "t0 || '#' || st")} AS k1, {_call('join', 't0', 't1')} AS k2, {_call('gone', 't1')} AS kx FROM t),
+h AS (SELECT k0 AS key FROM k WHERE old AND t0 IS NOT NULL UNION SELECT k1 FROM k WHERE old AND t0 IS NOT NULL UNION SELECT k2 FROM k WHERE old AND t0 IS NOT NULL),
+s AS (SELECT wf, 'read' AS step, 0 AS wave, k0 AS key, sha256(t0) AS hash, false AS known, false AS unknown FROM k UNION ALL SELECT wf, 'again', 1, k0, sha256(t0), true, false FROM k UNION ALL SELECT wf, 'check', 1, k1, sha256(t1), false, false FROM k
+UNION ALL SELECT wf, 'last', 2, k2, sha256(t0 || t1), false, false FROM k UNION ALL SELECT wf, 'bad', 2, kx, NULL, false, true FROM k WHERE st = 'P')
+SELECT wf, step, CAST(wave AS BIGINT) AS wave, CASE WHEN s.key IS NULL OR unknown THEN 'failed' WHEN known OR h.key IS NOT NULL THEN 'cached' ELSE 'executed' END AS status, s.key, CASE WHEN s.key IS NULL THEN 'input' WHEN unknown THEN 'tool' END AS problem, hash FROM s LEFT JOIN h ON h.key = s.key
+UNION ALL SELECT wf, 'lost', NULL, 'blocked', NULL, 'dependency', NULL FROM o WHERE st = 'P'""")
+def workflow_run(t: Tables) -> DataFrame:
+    """Each order's workflow, with what a run of the older orders' workflows left; a nation's customers are missing, as are a tool and a step."""
+    row = lambda step, tool, name, template: F.struct(F.lit(step).alias("step"), F.lit(tool).alias("tool"), F.lit(name).alias("name"), template.alias("template"))
+    read = F.concat("o_orderpriority", F.lit("/${external_data."), F.col("o_custkey").cast("string"), F.lit("}"))
+    result = lambda step: F.lit(f"${{step_output.{step}.result}}")
+    every = [row("read", "echo", "text", read), row("again", "echo", "text", result("read")), row("check", "digest", "text", F.concat(result("read"), F.lit("#"), "o_orderstatus"))]
+    every += [row("last", "join", "a", result("again")), row("last", "join", "b", result("check"))]
+    odd = F.when(F.col("o_orderstatus") == "P", F.array(row("bad", "gone", "text", result("check")), row("lost", "echo", "text", result("nowhere"))))
+    calls = t.orders.select(F.col("o_orderkey").alias("wf"), F.expr(_OLD).alias("old"), F.explode(F.concat(F.array(*every), F.coalesce(odd, F.slice(F.array(*every), 1, 0)))).alias("c")).select("wf", "old", "c.*")
+    external = t.customer.filter("c_nationkey <> 7").select(F.col("c_custkey").cast("string").alias("ref"), F.col("c_name").alias("text"))
+    steps = calls.select("wf", "old", "step", "tool").distinct()
+    former = runs.run_workflows(steps.filter("old"), calls.filter("old"), external=external)
+    now = runs.run_workflows(steps, calls, former.instances, former.objects, external)
+    return now.steps.join(now.outputs.select("wf", "step", "hash"), ["wf", "step"], "left").select("wf", "step", "wave", "status", "key", "problem", "hash")
