@@ -1,11 +1,14 @@
-"""String, path and expression scalars as column expressions, built from Spark's own functions."""
+"""String, path and expression scalars as column expressions, built from Spark's own functions but for Unicode decomposition."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that a path component can't hold, and what replaces them by default.
 RESERVED = '<>:"/\\|?*'
@@ -79,15 +82,21 @@ def escape_xml(text: Column) -> Column:
     return text
 
 
+@F.pandas_udf(StringType())
+def decomposed(text: pd.Series) -> pd.Series:
+    """Text in canonical decomposition (NFD), so that a letter with its accent is one string however it was typed; ASCII stays as it is."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFD", t))
+
+
 def sanitized(component: Column, replacements: dict[str, str] | None = None) -> Column:
-    """A path component with characters replaced one by one; replacements extend or change the defaults."""
+    """A path component, decomposed, with characters replaced one by one; replacements extend or change the defaults."""
     table = dict.fromkeys(RESERVED, "_") | (replacements or {})
-    return F.translate(component, "".join(table), "".join(table.values()))
+    return F.translate(decomposed(component), "".join(table), "".join(table.values()))
 
 
 def valid_component(component: Column) -> Column:
-    """Not empty and free of reserved characters."""
-    return component.rlike('^[^<>:"/\\\\|?*]+$')
+    """Not empty, free of reserved characters, neither `.` nor `..`, and decomposed."""
+    return component.rlike('^[^<>:"/\\\\|?*]+$') & ~component.isin(".", "..") & (component == decomposed(component))
 
 
 def normalized_path(path: Column) -> Column:

@@ -202,3 +202,11 @@ def echo(t: Tables) -> DataFrame:
 @query("SELECT user_id, arg_min(event_id, event_id) FILTER (event_type <> 'error') AS payload FROM events GROUP BY 1")
 def candidate_fallback(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.min_by("event_id", F.when(F.col("event_type") != "error", F.col("event_id"))).alias("p"), F.max(F.col("event_type") != "error").alias("any")).select("user_id", F.when(F.col("any"), F.col("p")).alias("payload"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 3 THEN '..' WHEN 4 THEN c_name ELSE c_name || 'e' || chr(769) || '_' END AS safe, c_custkey % 5 IN (1, 4) AS valid FROM customer""")
+def path_decomposition(t: Tables) -> DataFrame:
+    """Names with an accent composed, decomposed, or beside a reserved character, `..`, and plain ones: one path for both accents."""
+    kind, accent = F.col("c_custkey") % 5, F.lit("e\u0301")
+    name = F.when(kind == 0, F.concat("c_name", F.lit("\u00e9_"))).when(kind == 1, F.concat("c_name", accent, F.lit("_"))).when(kind == 2, F.concat("c_name", accent, F.lit("?"))).when(kind == 3, "..").otherwise(F.col("c_name"))
+    return t.customer.select("c_custkey", text.sanitized(name).alias("safe"), text.valid_component(name).alias("valid"))
