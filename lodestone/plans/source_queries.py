@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import documents, templates
 from lodestone.functions.hashing import content_hash
 from lodestone.plans.registry import Tables, query
-from lodestone.sources import archives, files
+from lodestone.sources import archives, files, zips
 
 
 def _members(t: Tables) -> DataFrame:
@@ -20,9 +20,17 @@ _PATH = "'d' || (doc_id % 3) || '/doc-' || lpad(CAST(doc_id AS VARCHAR), 6, '0')
 
 @query(f"SELECT source AS archive, row_number() OVER (PARTITION BY source ORDER BY {_PATH}) - 1 AS idx, {_PATH} AS path, sha256(text) AS hash FROM documents")
 def archive_round_trip(t: Tables) -> DataFrame:
-    """Packed, repacked and read again."""
-    again = archives.members(archives.repacked(archives.packed(_members(t)), "archive", "data"), "archive", "data")
-    return archives.numbered(again).select("archive", "idx", "path", content_hash(F.col("bytes")).alias("hash"))
+    """Packed as one zip an archive, read, packed again in that order and read again."""
+    once = zips.contents(zips.assembled(_members(t)))
+    again = zips.contents(zips.assembled(once, order=["at"]))
+    return zips.numbered(again.select("archive", "at", "path", content_hash(F.col("bytes")).alias("hash"))).select("archive", "idx", "path", "hash")
+
+
+@query(f"""WITH m AS (SELECT source AS archive, {_PATH} AS path, strlen(text) AS size, 30 + strlen({_PATH}) + strlen(text) AS record FROM documents)
+SELECT archive, row_number() OVER w - 1 AS idx, path, size, CAST(coalesce(sum(record) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM m WINDOW w AS (PARTITION BY archive ORDER BY path)""")
+def archive_directory(t: Tables) -> DataFrame:
+    """What the central directory of each archive says of its members."""
+    return zips.numbered(zips.directory(zips.assembled(_members(t)))).select("archive", "idx", "path", "size", "offset")
 
 
 @query(f"SELECT source AS archive, row_number() OVER (PARTITION BY source ORDER BY {_PATH}) - 1 AS idx, 'd' || (doc_id % 3) || '/item_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.md' AS path FROM documents")

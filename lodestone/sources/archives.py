@@ -1,9 +1,9 @@
 """Archives as tables of members: reading, packing, renaming.
 
-Members are rows (archive, path, bytes).  An archive is packed into volumes, rows of
-(archive, volume, data) of about VOLUME_BYTES: members are dealt out by ranges of
-(archive, path) and written as they come, so a task holds one volume, whatever an
-archive holds.
+Members are rows (archive, path, bytes).  They are packed as one zip an archive, in
+pieces (`zips`), or into volumes, rows of (archive, volume, data) of about VOLUME_BYTES,
+each a zip by itself: members are dealt out by ranges of (archive, path) and written
+as they come, so a task holds one volume, whatever an archive holds.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources import zips
+
 VOLUME_BYTES = 64 << 20
 MEMBERS = "archive {kind}, volume bigint, idx bigint, path string, bytes binary, problem string"
 #: The time that packed members carry, so that equal members give equal archives.
@@ -138,8 +140,8 @@ def packed(rows: DataFrame, volume_bytes: int = VOLUME_BYTES) -> DataFrame:
 
 
 def repacked(archives: DataFrame, key: str, data: str) -> DataFrame:
-    """Archives read and packed again: stored, with plain paths; what has a problem is left out."""
-    return packed(members(archives, key, data).filter("problem is null"))
+    """Archives read and packed again, one each, as pieces: stored, with plain paths, in their own order; what has a problem is left out."""
+    return zips.assembled(members(archives, key, data).filter("problem is null"), order=["volume", "idx"])
 
 
 def member_by_name(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -240,9 +242,10 @@ def imported(files: DataFrame, archive: F.Column) -> DataFrame:
     return packed(files.select(archive.alias("archive"), "path", "bytes"))
 
 
-#: What can be done with members (pack, rename) or archives (unpack, repack, list), by name.
+#: What can be done with members (pack, volumes, rename) or archives (unpack, repack, list), by name.
 ACTIONS: dict[str, Callable[..., DataFrame]] = {
-    "pack": packed,
+    "pack": lambda rows, folders=False: zips.assembled(zips.with_folders(rows) if folders else rows),
+    "volumes": packed,
     "unpack": lambda archives: members(archives, "archive", "data"),
     "list": lambda archives: members(archives, "archive", "data", contents=False),
     "repack": lambda archives: repacked(archives, "archive", "data"),
