@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestone.operators.rounds import Growing, cut
+from lodestone.operators.rounds import Growing, stored
 
 #: `${step_output.step.output:selector(argument)...}`, with the selectors zip, file and folder in any order and number.
 STEP_OUTPUT = r"\$\{step_output\.[^.}]+\.[^}:]+(?::(?:zip|file|folder)\([^)]*\))*\}"
 EXTERNAL_DATA = r"\$\{external_data\.([^}]+)\}"
+#: Rounds that settle a level and no more, before chains are taken out too: shallow graphs are done by then.
+PLAIN_ROUNDS = 4
 SAVE_MODES = ("false", "true", "full")
 
 
@@ -22,46 +24,120 @@ def topological_levels(steps: DataFrame, dependencies: DataFrame, rest_rows: int
 
     steps(wf, step), dependencies(wf, step, needs).  While more than rest_rows
     dependencies are open (a null one is none), a round settles a level of all workflows at once and drops
-    the dependencies on it.  The rest, which rest_rows bounds, is settled to the end
-    workflow by workflow, however deep it is.  Returns wf, step, level; level is null
-    for steps on a cycle or behind one, or behind a step that doesn't exist.
+    the dependencies on it; after PLAIN_ROUNDS of them, it also takes out steps that wait for one other only, as
+    functions of where their chain starts, so long chains cost as many joins as their length has bits.  The rest, which
+    rest_rows bounds, is settled to the end workflow by workflow, however deep it is.  Returns wf, step, level; level is
+    null for steps on a cycle or behind one, or behind a step that doesn't exist (see dependency_problems).
     """
-    open_, waits = steps.select("wf", "step"), dependencies.select("wf", "step", "needs").filter("needs is not null").distinct()
-    settled, level = Growing(), 0
-    while waits.count() > rest_rows:
-        ready = cut(open_.join(waits.select("wf", "step"), ["wf", "step"], "left_anti"))
-        if ready.isEmpty():
-            break
-        settled.add(ready.select("wf", "step", F.lit(level).cast("long").alias("level")))
-        waits = cut(waits.join(ready.withColumnRenamed("step", "needs"), ["wf", "needs"], "left_anti").select("wf", "step", "needs"), waits)
-        open_ = cut(open_.join(ready, ["wf", "step"], "left_anti"), open_)
-        level += 1
+    open_ = steps.select("wf", "step").withColumn("base", F.lit(0).cast("long"))  # a step's level is at least its base
+    waits = dependencies.select("wf", "step", "needs").filter("needs is not null").distinct().withColumn("w", F.lit(1).cast("long"))  # and at least w above that of what it needs
+    settled, chained, rounds, stuck = Growing(), [], 0, False
+    while waits.count() > rest_rows and not stuck:
+        ready = stored(open_.join(waits.select("wf", "step"), ["wf", "step"], "left_anti").withColumnRenamed("base", "level"))
+        stuck = ready.isEmpty()
+        if not stuck:
+            settled.add(ready)
+            met = waits.join(ready.select("wf", F.col("step").alias("needs"), "level"), ["wf", "needs"], "left")
+            open_, waits = _raised(open_.join(ready, ["wf", "step"], "left_anti"), stored(met, waits).withColumn("least", F.col("level") + F.col("w")))
+        rounds += 1
+        if rounds > PLAIN_ROUNDS or stuck:
+            chains = _chains(open_, waits)
+            if not chains.isEmpty():
+                stuck = False
+                chained.append(chains)
+                to_root = chains.select("wf", F.col("step").alias("needs"), "root", F.col("w").alias("_w"), "base")
+                met = waits.join(chains, ["wf", "step"], "left_anti").join(to_root, ["wf", "needs"], "left")
+                moved = met.select("wf", "step", F.coalesce("root", "needs").alias("needs"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), F.lit(None).cast("long").alias("level"), (F.col("base") + F.col("w")).alias("least"))
+                open_, waits = _raised(open_.join(chains, ["wf", "step"], "left_anti"), stored(moved, waits))
+    free = open_.join(waits.select("wf", "step"), ["wf", "step"], "left_anti").withColumnRenamed("base", "level")
+    behind = open_.join(waits.select("wf", "step").distinct(), ["wf", "step"], "left_semi")
+    if stuck:
+        last = free.union(behind.select("wf", "step", F.lit(None).cast("long").alias("level")))
     else:
-        free = open_.join(waits.select("wf", "step"), ["wf", "step"], "left_anti").select("wf", "step", F.lit(level).cast("long").alias("level"))
-        known = open_.select("wf", F.col("step").alias("needs"), F.lit(True).alias("known")).distinct()
-        told = waits.join(known, ["wf", "needs"], "left").groupBy("wf").applyInPandas(_settled, StructType([open_.schema["wf"], open_.schema["step"], StructField("ahead", LongType())]))
-        behind = open_.join(waits.select("wf", "step").distinct(), ["wf", "step"], "left_semi").join(told, ["wf", "step"], "left")
-        return settled.union(free.union(behind.select("wf", "step", (F.col("ahead") + level).alias("level"))))
-    return settled.union(open_.select("wf", "step", F.lit(None).cast("long").alias("level")))
+        told = waits.join(free.select("wf", F.col("step").alias("needs"), "level"), ["wf", "needs"], "left").join(behind.distinct(), ["wf", "step"])
+        told = told.groupBy("wf").applyInPandas(_settled, StructType([steps.schema["wf"], steps.schema["step"], StructField("level", LongType())]))
+        last = free.union(behind.select("wf", "step").join(told, ["wf", "step"], "left"))
+    levels = settled.union(last)
+    for chains in reversed(chained):
+        levels = stored(levels)
+        starts = levels.select("wf", F.col("step").alias("root"), F.col("level").alias("_l")).distinct()
+        level = F.when(F.col("_l").isNotNull(), F.greatest(F.col("base"), F.col("_l") + F.col("w")))
+        levels = levels.union(chains.join(starts, ["wf", "root"], "left").select("wf", "step", level.alias("level")))
+    return levels
+
+
+def _raised(open_: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open steps with bases raised to what met(wf, step, needs, w, level, least) gives, and the waits that are left: those without a level, the largest of each pair."""
+    least = met.filter("least is not null").groupBy("wf", "step").agg(F.max("least").alias("_least"))
+    raised = open_.join(least, ["wf", "step"], "left").select("wf", "step", F.greatest("base", "_least").alias("base"))
+    return stored(raised, open_), stored(met.filter("level is null").groupBy("wf", "step", "needs").agg(F.max("w").alias("w")))
+
+
+def _chains(open_: DataFrame, waits: DataFrame) -> DataFrame:
+    """Steps that wait for one other only, with where their chain of such steps starts: wf, step, root, w, base, so that level = max(base, level of root + w).
+
+    Pointers double, with the functions composed.  Chains that start nowhere, on a cycle or behind one, have no row.
+    """
+    one = waits.groupBy("wf", "step").agg(F.count("*").alias("n"), F.any_value("needs").alias("root"), F.any_value("w").alias("w")).filter("n = 1").drop("n")
+    links = stored(one.join(open_, ["wf", "step"]).dropDuplicates(["wf", "step"]).select("wf", "step", "root", "w", "base"))
+    inside = links.select("wf", F.col("step").alias("root"), F.lit(True).alias("inside"))
+    links, before = stored(links.join(inside, ["wf", "root"], "left").select("wf", "step", "root", "w", "base", F.col("inside").isNull().alias("ended")), links), -1
+    while (left := links.filter("not ended").count()) not in (0, before):  # each round fewer, unless all that is left goes round
+        above = links.select("wf", F.col("step").alias("root"), F.col("root").alias("_root"), F.col("w").alias("_w"), F.col("base").alias("_base"), F.col("ended").alias("_ended"))
+        met = links.filter("not ended").join(above, ["wf", "root"])
+        jumped = met.select("wf", "step", F.col("_root").alias("root"), (F.col("_w") + F.col("w")).alias("w"), F.greatest("base", F.col("_base") + F.col("w")).alias("base"), F.col("_ended").alias("ended"))
+        before, links = left, stored(links.filter("ended").union(jumped), links)
+    return links.filter("ended").drop("ended")
 
 
 def _settled(own: pd.DataFrame) -> pd.DataFrame:
-    """How many levels each waiting step of one workflow is above the steps that don't wait; null if it never settles."""
-    needed_by, left = defaultdict(list), Counter(own["step"])
-    for step, needs in zip(own["step"], own["needs"], strict=True):
-        needed_by[needs].append(step)
-    ahead: dict = dict.fromkeys(left)
-    now = [x for x in own.loc[own["known"].eq(True), "needs"].unique() if x not in left]
-    depth = 0
+    """The levels of one workflow's waiting steps (step, needs, w, base, level of needs if it is settled); null where it never settles."""
+    needed_by, left, at = defaultdict(list), Counter(own["step"]), dict(zip(own["step"], own["base"], strict=True))
+    for step, needs, w in zip(own["step"], own["needs"], own["w"], strict=True):
+        needed_by[needs].append((step, w))
+    known = own[own["level"].notna()].drop_duplicates("needs")
+    now = list(zip(known["needs"], known["level"].astype("int64"), strict=True))
+    levels: dict = dict.fromkeys(left)
     while now:
-        depth, after = depth + 1, []
-        for step in (s for x in now for s in needed_by[x]):
-            left[step] -= 1
-            if not left[step]:
-                ahead[step] = depth
-                after.append(step)
+        after = []
+        for needs, level in now:
+            for step, w in needed_by[needs]:
+                at[step] = max(at[step], level + w)
+                left[step] -= 1
+                if not left[step]:
+                    levels[step] = at[step]
+                    after.append((step, at[step]))
         now = after
-    return pd.DataFrame({"wf": own["wf"].iloc[0], "step": list(ahead), "ahead": pd.array(list(ahead.values()), dtype="Int64")})
+    return pd.DataFrame({"wf": own["wf"].iloc[0], "step": list(levels), "level": pd.array(list(levels.values()), dtype="Int64")})
+
+
+def dependency_problems(steps: DataFrame, dependencies: DataFrame, rest_rows: int = 1 << 20) -> DataFrame:
+    """Why steps have no level: wf, step, problem, needs, cycle.
+
+    problem is `unknown` for a step that needs one that doesn't exist (needs: the first of them), `cycle` for one on a
+    witness cycle (needs: the step before it on the cycle; cycle: its smallest step), and `behind` for one that waits, at
+    whatever distance, for such steps (needs: one that it waits for).  Each cycle that waits for no other has a
+    witness in its component, and what shares the component with the witness or waits for it is behind.
+    Cycles are found by doubling: in a table where each step points to one that it waits for, as many jumps as
+    there are steps end on a cycle.  A step that occurs twice, or needs something twice, counts once.
+    """
+    known, named = steps.select("wf", "step").distinct(), dependencies.select("wf", "step", "needs").filter("needs is not null").distinct()
+    lost = named.join(known.withColumnRenamed("step", "needs"), ["wf", "needs"], "left_anti").groupBy("wf", "step").agg(F.min("needs").alias("lost"))
+    open_ = stored(topological_levels(known, named, rest_rows).filter("level is null").select("wf", "step"))
+    inner = stored(named.join(open_, ["wf", "step"], "left_semi").join(open_.withColumnRenamed("step", "needs"), ["wf", "needs"], "left_semi").select("wf", "step", "needs"))
+    tangled = stored(topological_levels(open_, inner, rest_rows).filter("level is null").select("wf", "step"))
+    ways = inner.join(tangled, ["wf", "step"], "left_semi").join(tangled.withColumnRenamed("step", "needs"), ["wf", "needs"], "left_semi")
+    first = stored(ways.groupBy("wf", "step").agg(F.min("needs").alias("needs")))
+    jump = first.select("wf", "step", F.col("needs").alias("to"), F.col("needs").alias("least"))
+    longest, reach = first.groupBy("wf").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first().n, 1
+    while reach < longest:
+        above = jump.select("wf", F.col("step").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"))
+        jump, reach = stored(jump.join(above, ["wf", "to"]).select("wf", "step", F.col("_to").alias("to"), F.least("least", "_least").alias("least")), jump), 2 * reach
+    round_ = jump.select("wf", F.col("to").alias("step")).distinct().join(jump.select("wf", "step", F.col("least").alias("cycle")), ["wf", "step"])
+    waits_for = inner.groupBy("wf", "step").agg(F.min("needs").alias("ahead"))
+    told = open_.join(lost, ["wf", "step"], "left").join(first, ["wf", "step"], "left").join(round_, ["wf", "step"], "left").join(waits_for, ["wf", "step"], "left")
+    problem = F.when(F.col("lost").isNotNull(), "unknown").when(F.col("cycle").isNotNull(), "cycle").otherwise("behind")
+    return told.select("wf", "step", problem.alias("problem"), F.coalesce("lost", "needs", "ahead").alias("needs"), F.when(problem == "cycle", F.col("cycle")).alias("cycle"))
 
 
 def selectors(chain: Column) -> Column:

@@ -22,6 +22,19 @@ def dag_levels(t: Tables) -> DataFrame:
     return workflow.topological_levels(steps, needs)
 
 
+@query("""WITH RECURSIVE n AS (SELECT p_partkey // 10 AS wf, p_partkey % 10 AS step, CASE WHEN p_size % 7 = 0 THEN 100 + p_partkey % 10 WHEN p_size % 5 = 0 THEN (p_partkey + 3) % 10 WHEN p_partkey % 10 > 0 THEN p_partkey % 10 - 1 END AS needs FROM part),
+w(wf, step, place, n) AS (SELECT wf, step, step, 0 FROM n UNION ALL SELECT w.wf, w.step, n.needs, w.n + 1 FROM w JOIN n ON n.wf = w.wf AND n.step = w.place WHERE n.needs IS NOT NULL AND w.n < 10),
+r AS (SELECT w.wf, w.step, min(w.place) FILTER (w.n > 0) AS low, bool_or(w.n > 0 AND w.place = w.step) AS back, bool_or(n.step IS NOT NULL AND n.needs IS NULL) AS ends FROM w LEFT JOIN n ON n.wf = w.wf AND n.step = w.place GROUP BY 1, 2),
+p AS (SELECT r.*, n.needs, n.needs IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n m WHERE m.wf = n.wf AND m.step = n.needs) AS lost FROM r JOIN n USING (wf, step) WHERE NOT ends)
+SELECT wf, step, CASE WHEN lost THEN 'unknown' WHEN back THEN 'cycle' ELSE 'behind' END AS problem, needs, CASE WHEN back THEN low END AS cycle FROM p""")
+def dag_problems(t: Tables) -> DataFrame:
+    """Workflows of ten steps, some of which need a step that doesn't exist or one after them."""
+    own = F.col("p_partkey") % 10
+    needs = F.when(F.col("p_size") % 7 == 0, own + 100).when(F.col("p_size") % 5 == 0, (F.col("p_partkey") + 3) % 10).when(own > 0, own - 1)
+    rows = t.part.select(F.floor(F.col("p_partkey") / 10).cast("long").alias("wf"), own.alias("step"), needs.alias("needs"))
+    return workflow.dependency_problems(rows.select("wf", "step"), rows)
+
+
 _TEMPLATES = "tpl AS (SELECT l_orderkey AS wf, l_linenumber AS n, '${step_output.s' || (l_partkey % 5) || '.out' || (l_suppkey % 3) || CASE WHEN l_linenumber % 2 = 0 THEN ':zip(m' || (l_partkey % 4) || ')' ELSE '' END || '} and ${external_data.' || l_suppkey || '}' AS template FROM lineitem)"
 _REFS = r"refs AS (SELECT wf, regexp_extract(template, '\$\{step_output\.([^.}]+)\.', 1) AS step, regexp_extract(template, '\$\{step_output\.[^.}]+\.([^}:]+)', 1) AS output, nullif(regexp_extract(template, ':zip\(([^)]+)\)', 1), '') AS member FROM tpl)"
 
