@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing
@@ -219,15 +219,20 @@ def cache_status(t: Tables) -> DataFrame:
     return t.events.groupBy(F.col("event_type").alias("domain")).agg(F.count("*").alias("entries"), F.sum(F.floor("value").cast("long")).alias("bytes"))
 
 
+def _seconds(c: str) -> Column:
+    """A time as whole seconds, rounded half to even as the SQL's cast does; unix_timestamp() cuts."""
+    return F.rint(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)).cast("long")
+
+
 @query("SELECT event_id AS id, coalesce(tm - lag(tm) OVER (PARTITION BY event_type ORDER BY tm, event_id) >= 3600, true) AS runs FROM (SELECT event_id, event_type, CAST(epoch(ts) AS BIGINT) AS tm FROM events)")
 def cache_prune_throttle(t: Tables) -> DataFrame:
-    calls = t.events.select(F.col("event_id").alias("id"), "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    calls = t.events.select(F.col("event_id").alias("id"), "event_type", _seconds("ts").alias("at"))
     return retention.prune_runs(calls, "event_type", "at", 3600).select("id", "runs")
 
 
 @query("""SELECT event_id AS id, coalesce(lag(v) OVER w <> v OR tm - lag(tm) OVER w >= 300, true) AS written FROM (SELECT event_id, user_id, event_type AS v, CAST(epoch(ts) AS BIGINT) AS tm FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY tm, event_id)""")
 def cache_touch_throttle(t: Tables) -> DataFrame:
-    own = t.events.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("v"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    own = t.events.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("v"), _seconds("ts").alias("at"))
     return retention.touches(own, ["user_id"], "at", "v").select("id", "written")
 
 
