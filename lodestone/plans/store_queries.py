@@ -261,6 +261,7 @@ c AS (SELECT *, greatest(k * 64, 100) AS a, least(k * 64 + 64, 250, n) AS stop F
 SELECT hash, CAST(a AS BIGINT) AS "at", substr(x, CAST(2 * a + 1 AS BIGINT), CAST(2 * (stop - a) AS BIGINT)) AS part FROM c WHERE stop > a""")
 def ranged_read(t: Tables) -> DataFrame:
     """150 bytes of each text from byte 100 on, from chunks of 64."""
-    parts = chunks.chunked(t.documents.select(F.col("text").alias("data")).distinct(), 64)
-    wanted = parts.select("hash", F.lit(100).cast("long").alias("start"), F.lit(150).cast("long").alias("length")).distinct()
+    texts = t.documents.filter("text is not null").select("text").distinct()
+    parts = chunks.chunked(texts.select(F.col("text").alias("data")), 64)
+    wanted = texts.select(hashing.content_hash(F.col("text")).alias("hash"), F.lit(100).cast("long").alias("start"), F.lit(150).cast("long").alias("length"))
     return chunks.ranges(parts, wanted).select("hash", "at", F.hex("bytes").alias("part"))
