@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from lodestone.sources import zips
 
 VOLUME_BYTES = 64 << 20
+#: Bytes of unpacked members that are handed on at a time.
+GIVEN_BYTES = 4 << 20
 MEMBERS = "archive {kind}, volume bigint, idx bigint, path string, bytes binary, problem string"
 #: The time that packed members carry, so that equal members give equal archives.
 EPOCH = (1980, 1, 1, 0, 0, 0)
@@ -73,13 +76,16 @@ def members(archives: DataFrame, key: str, data: str, contents: bool = True, kin
     without bytes instead, so that one archive doesn't end a job.
     """
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["archive", "volume", "idx", "path", "bytes", "problem"]
-        for frame in frames:
-            for archive, volume, own, format_ in zip(frame["archive"], frame["volume"], frame["data"], frame["kind"], strict=True):
+        given = lambda kind, rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (kind, pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()), strict=True)], names)
+        for batch in batches:
+            key_kind = batch.schema.field("archive").type
+            for i in range(batch.num_rows):  # one volume at a time, of which there is one copy
+                archive, volume, format_ = (batch.column(c)[i].as_py() for c in ("archive", "volume", "kind"))
                 rows, size, idx = [], 0, 0
                 try:
-                    for name, content in _files(format_, bytes(own or b"")):
+                    for name, content in _files(format_, batch.column("data")[i].as_py() or b""):
                         path = _safe(name)
                         if path is None and not quarantine:
                             raise ValueError(f"member leaves its archive: {name}")
@@ -87,19 +93,19 @@ def members(archives: DataFrame, key: str, data: str, contents: bool = True, kin
                         rows.append((archive, volume, idx, path or name, got, None if path else "leaves its archive"))
                         idx += 1
                         size += len(got or b"")
-                        if size >= VOLUME_BYTES or len(rows) >= 10000:
-                            yield pd.DataFrame(rows, columns=names)
+                        if size >= GIVEN_BYTES or len(rows) >= 10000:
+                            yield given(key_kind, rows)
                             rows, size = [], 0
                 except (zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError, ValueError) as e:  # encrypted, an unknown compression, odd headers
                     if not quarantine:
                         raise
                     rows.append((archive, volume, idx, None, None, f"broken archive: {type(e).__name__}"))
                 if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield given(key_kind, rows)
 
     volume = F.col("volume") if "volume" in archives.columns else F.lit(0).cast("long")
     own = archives.select(F.col(key).alias("archive"), volume.alias("volume"), F.col(data).alias("data"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"))
-    return own.mapInPandas(read, MEMBERS.format(kind=own.schema["archive"].dataType.simpleString()))
+    return own.mapInArrow(read, MEMBERS.format(kind=own.schema["archive"].dataType.simpleString()))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -117,26 +123,35 @@ def packed(rows: DataFrame, volume_bytes: int = VOLUME_BYTES) -> DataFrame:
     the order of their numbers, which have gaps.
     """
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, now, out, size = TaskContext.get().partitionId() << 32, None, None, 0
-        for frame in frames:
-            for archive, path, data in zip(frame["archive"], frame["path"], frame["bytes"], strict=True):
+
+        def given(kind: pa.DataType) -> pa.RecordBatch:
+            """The volume as it lies in the buffer, not copied."""
+            out.close()
+            data = pa.py_buffer(buffer.getbuffer())
+            value = pa.Array.from_buffers(pa.binary(), 1, [None, pa.array([0, data.size], pa.int32()).buffers()[1], data])
+            return pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([number], pa.int64()), value], ["archive", "volume", "data"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("archive").type
+            for i in range(batch.num_rows):
+                archive, path, data = (batch.column(c)[i].as_py() for c in ("archive", "path", "bytes"))
                 if out is not None and (archive != now or size >= volume_bytes):
-                    out.close()
-                    yield pd.DataFrame({"archive": [now], "volume": [number], "data": [buffer.getvalue()]})
-                    number, out = number + 1, None
+                    yield given(kind)
+                    number, out, buffer = number + 1, None, None
                 if out is None:
                     buffer, now, size = io.BytesIO(), archive, 0
                     out = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)
-                out.writestr(zipfile.ZipInfo(path, EPOCH), bytes(data))
+                out.writestr(zipfile.ZipInfo(path, EPOCH), data)
                 size += len(data)
         if out is not None:
-            out.close()
-            yield pd.DataFrame({"archive": [now], "volume": [number], "data": [buffer.getvalue()]})
+            yield given(kind)
 
     own = rows.filter("archive is not null and path is not null").select("archive", "path", F.coalesce("bytes", F.lit(b"")).alias("bytes"))
     ranged = own.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "archive", "path").sortWithinPartitions("archive", "path")
-    return ranged.mapInPandas(write, f"archive {own.schema['archive'].dataType.simpleString()}, volume bigint, data binary")
+    return ranged.mapInArrow(write, f"archive {own.schema['archive'].dataType.simpleString()}, volume bigint, data binary")
 
 
 def repacked(archives: DataFrame, key: str, data: str) -> DataFrame:
