@@ -125,3 +125,18 @@ def test_python_takes_batches_in_parts():
     assert [p.num_rows for p in delta._parts(iter([many]), ["own"])] == [2000, 2000, 1000]
     rows = [[(3, 4, None), (None, 2, b"ab")], None, [], [(0, 1, None)]]
     assert delta._rows(delta._deltas(rows)) == rows and delta._rows(delta._deltas(rows).slice(2)) == rows[2:]
+
+
+def _worker_mb(spark):
+    """The most memory that any Python worker has held so far."""
+    peak = F.udf(lambda _: __import__("resource").getrusage(__import__("resource").RUSAGE_SELF).ru_maxrss, "long", useArrow=False)
+    return spark.range(0, 64, 1, 16).select(peak("id").alias("kb")).agg(F.max("kb")).first()[0] / 1024
+
+
+def test_python_holds_few_payloads_at_a_time(spark):
+    """300 MB of payloads in one partition, far fewer rows than an Arrow batch takes."""
+    before = _worker_mb(spark)
+    objects = spark.range(0, 1500, 1, 1).select(F.col("id").cast("string").alias("hash"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 3200).cast("binary").alias("data"))
+    cut = delta.block_index(objects).agg(F.count("*").alias("n"), F.min(F.size("blocks")).alias("least")).first()
+    assert cut.n == 1500 and cut.least > 0
+    assert _worker_mb(spark) - before < 200
